@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import license_scans, quality_rules, url_filters
+from . import decontamination, license_scans, packing, quality_rules, sharding, simhash_dedup, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.op2_url_filters,
     "op3_license_scans": license_scans.op3_license_scans,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_sharding": sharding.op8_sharding,
+    "op9_packing": packing.op9_packing,
+    "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
 }
 ORACLE_SQL = url_filters.ORACLE | license_scans.ORACLE | quality_rules.ORACLE
