@@ -7,7 +7,9 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Lower-case bytes of words (ASCII letters and digits, and all of non-ASCII); 0 between words.
-_FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], dtype=np.uint8)
+ALNUM = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], dtype=np.uint8)
+#: The same for words between ASCII white space, case kept.
+SPACE = np.array([0 if c == 0 or c == 32 or 9 <= c <= 13 else c for c in range(256)], dtype=np.uint8)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -27,10 +29,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], fold: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
     """(a hash of each word, the index of its text) over all texts in order; equal words have equal hashes."""
     raw = np.frombuffer(b"\0".join([*texts, b""]), dtype=np.uint8)
-    folded = _FOLD[raw]
+    folded = fold[raw]
     edge = np.diff((folded != 0).astype(np.int8), prepend=np.int8(0))
     starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
     power, inverse = _grow(len(raw) + 1)
