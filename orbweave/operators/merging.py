@@ -123,7 +123,7 @@ def _solve(n: int, estimate: np.ndarray | None, oversampling: float, most: int):
         x, steps = kernels.conjugate_gradient(apply, d, x0, most)
         return pa.table({
             "member": t.column("member")[:1], "rlambda": [r], "flambda": [f], "v1": [float(np.linalg.norm(x))],
-            "v2": [float(np.linalg.norm(apply(x) - d))], "steps": [steps], "data": pa.array([x.ravel()], pa.list_(pa.float64())),
+            "v2": [float(np.linalg.norm(apply(x) - d))], "steps": pa.array([steps], pa.int32()), "data": pa.array([x.ravel()], pa.list_(pa.float64())),
         })
 
     return run

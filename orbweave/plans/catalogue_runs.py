@@ -1,2 +1,152 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries of whole runs and of operators that SQL can't express; tests check them by other means."""
+
+from __future__ import annotations
+
+import uuid
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions import quaternion as Q
+from ..operators import evaluation as E
+from ..operators import kernels as K
+from ..operators import merging as A
+from ..operators import phasing as P
+from ..sources import mrc
+from ..sources import tables as T
+from . import reconstruct as R
+from .registry import Registry, rounded, rounded_columns
+from .settings import Settings
+
+_r = Registry()
+QUERIES, ORACLE_SQL = _r.queries, _r.sql
+SIDE = 9
+
+
+def _scratch(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/orbweave-{uuid.uuid4().hex}"
+
+
+def two_blobs(n: int = SIDE) -> np.ndarray:
+    """Two unequal Gaussians: a density without symmetry."""
+    i, j, k = np.meshgrid(*[np.arange(n) - n // 2] * 3, indexing="ij")
+    blob = lambda a, b, c, s: np.exp(-((i - a) ** 2 + (j - b) ** 2 + (k - c) ** 2) / (2 * s * s))
+    return blob(0, 0, -1, 0.9) + 0.6 * blob(1, 1, 1, 0.7)
+
+
+def synthetic_slices(spark, images: int, oversampling: float = 1.0, seed: int = 1):
+    """image_id, q, data: diffraction images of the two blobs at known orientations, on the 8 x 8 detector."""
+    import pyarrow as pa
+
+    det = R.positions(T.detector(spark), oversampling)
+    ac = np.fft.fftshift(K.autocorrelation(np.fft.ifftshift(two_blobs())))
+
+    def run(batches):
+        for b in batches:
+            data = []
+            for q in b.column(1).to_pylist():
+                h, k, l = K.matrix_of(np.array(q)).T @ det
+                data.append(K.nufft2(ac, h, k, l).real)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(data, pa.list_(pa.float64()))], names=["image_id", "q", "data"])
+
+    ids = R.random_orientations(spark.range(0, images, 1, 8).withColumnRenamed("id", "image_id"), seed)
+    return ids.mapInArrow(run, "image_id long, q array<double>, data array<double>")
+
+
+@_r.add()
+def full_reconstruction(spark, d):
+    """Three generations over all driver images; generation, voxel, density."""
+    s = Settings(side=7, n_generations=3, n_orientations=100, n_phase_loops=1, n_er=4, n_hio=2, members=2, solve_steps=30, out=_scratch(spark))
+    state = R.run(spark, T.wide(spark, d), T.detector(spark), s)
+    got = spark.read.parquet(R.checkpoint_path(s.out, state.generation))
+    return got.select("generation", F.posexplode("rho").alias("voxel", "v"))
+
+
+@_r.add()
+def align_search(spark, d):
+    """The two blobs turned by a known rotation and brought back."""
+    vol = two_blobs()
+    q = np.array([np.cos(0.4), 0, np.sin(0.4), 0])
+    _, cc, found = E.align(spark, K.rotate(vol, K.matrix_of(q)), vol, coarse=100, best=2, fine=20, rounds=4)
+    return spark.createDataFrame([(cc, *map(float, found))], "cc double, w double, x double, y double, z double")
+
+
+@_r.add()
+def cg_solve_full(spark, d):
+    """Normal equations of synthetic slices at their true orientations, solved for every regulariser."""
+    images = synthetic_slices(spark, 120).withColumn("member", F.lit(0))
+    grids = A.normal_grids(images, R.positions(T.detector(spark), 1.0), SIDE)
+    return A.solve(grids, A.lambda_grid(spark, 3, 120 * 64, SIDE), SIDE).select("member", "v1", "v2", "steps", F.size("data").alias("values"))
+
+
+@_r.add()
+def gauss_fit(spark, d):
+    return P.fit_histograms(P.histogram(T.voxels(T.wide(spark, d, "vol_id")), 20))
+
+
+@_r.add()
+def zoom_linear(spark, d):
+    got = K.map_volumes(T.wide(spark, d, "vol_id"), lambda v: {"data": np.stack([K.resample(x, 7) for x in v])}, {"data": "array<double>"})
+    return got.select("vol_id", F.posexplode("data").alias("voxel", "v"))
+
+
+@_r.add()
+def shift_to_center(spark, d):
+    got = K.map_volumes(T.wide(spark, d, "vol_id"), lambda v: {"data": np.stack([K.to_center_of_mass(np.abs(x)) for x in v])}, {"data": "array<double>"})
+    return got.select("vol_id", F.posexplode("data").alias("voxel", "v"))
+
+
+@_r.add()
+def phase_ensemble(spark, d):
+    ac = np.fft.fftshift(K.autocorrelation(np.fft.ifftshift(two_blobs())))
+    return P.ensemble(spark, ac, 4, Settings(side=SIDE)).select("member", "skew", "height", "width", F.aggregate("support", F.lit(0.0), lambda a, x: a + x).alias("inside"))
+
+
+@_r.add()
+def checkpoint_roundtrip(spark, d):
+    out, vol = _scratch(spark), two_blobs()
+    R.save(spark, out, R.State(2, vol, vol > 0.1, vol, 0.5))
+    back = R.load(spark, out, 2)
+    same = bool((back.ac == vol).all() and (back.support == (vol > 0.1)).all() and (back.rho == vol).all())
+    return spark.createDataFrame([(R.saved_generations(spark, out)[-1], same)], "generation int, same boolean")
+
+
+@_r.add()
+def mrc_roundtrip(spark, d):
+    out = _scratch(spark)
+    mrc.write_volume(spark, f"{out}/blobs.mrc", two_blobs(), 2.5)
+    return mrc.read_volumes(spark, f"{out}/blobs.mrc").select("side", "voxel", F.posexplode("data").alias("p", "v"))
+
+
+@_r.add()
+def uniform_orientations(spark, d):
+    q = R.random_orientations(T.wide(spark, d).select("image_id"), 5)
+    return q.select("image_id", *[rounded(F.col("q")[i]).alias(n) for i, n in enumerate("wxyz")])
+
+
+@_r.add()
+def preferred_orientations(spark, d):
+    """Rotations scattered around each image's own by normal angles of 0.1."""
+    q = T.orientations(spark, d)
+    draw = q.select("*", *[F.randn(11 + i).alias(f"n{i}") for i in range(4)])
+    near = Q.near(Q.quat(), tuple(F.col(f"n{i}") for i in range(3)), 0.1 * F.col("n3"))
+    return rounded_columns(draw.select("image_id", *[x.alias(n) for n, x in zip("wxyz", near, strict=True)]), "w", "x", "y", "z")
+
+
+@_r.add()
+def stream_reconstruction(spark, d):
+    """Driver images as a file stream; a mean image for each generation of 100 images, as its batch twin would give it."""
+    from ..streaming.generations import run_stream
+
+    out = _scratch(spark)
+    T.wide(spark, d).repartition(5).write.parquet(f"{out}/source")
+    rows = []
+
+    def generation(number, images):
+        got = images.select(F.explode("data").alias("v")).agg(F.count("*"), F.avg("v")).first()
+        rows.append((number, got[0], got[1]))
+
+    source = spark.readStream.schema("image_id long, data array<double>").option("maxFilesPerTrigger", 1).parquet(f"{out}/source")
+    run_stream(spark, source, f"{out}/store", f"{out}/checkpoint", 100, generation)
+    return spark.createDataFrame(rows, "generation int, n long, mean double")
