@@ -120,9 +120,10 @@ def _solve(n: int, estimate: np.ndarray | None, oversampling: float, most: int):
         x0, support = constraints(estimate, n)
         apply = normal_operator(kernel_transform(kernel), support, outside_ball(n, oversampling), r, f)
         d = rhs * support + r * x0
+        begin = float(np.linalg.norm(apply(x0) - d))
         x, steps = kernels.conjugate_gradient(apply, d, x0, most)
         return pa.table({
-            "member": t.column("member")[:1], "rlambda": [r], "flambda": [f], "v1": [float(np.linalg.norm(x))],
+            "member": t.column("member")[:1], "rlambda": [r], "flambda": [f], "v0": [begin], "v1": [float(np.linalg.norm(x))],
             "v2": [float(np.linalg.norm(apply(x) - d))], "steps": pa.array([steps], pa.int32()), "data": pa.array([x.ravel()], pa.list_(pa.float64())),
         })
 
@@ -130,13 +131,13 @@ def _solve(n: int, estimate: np.ndarray | None, oversampling: float, most: int):
 
 
 def solve(grids: DataFrame, lambdas: DataFrame, n: int, estimate: np.ndarray | None = None, oversampling: float = 1.0, most: int = 100) -> DataFrame:
-    """member, rlambda, flambda, v1 (norm), v2 (residual), steps, data: conjugate gradients for each member, one task each.
+    """member, rlambda, flambda, v0 (first residual), v1 (norm), v2 (residual), steps, data: conjugate gradients for each member, one task each.
 
     A member's input is its summed grids, (n^3 + 8 n^3) values.
     """
     # ``grids`` with a single member serve all regularisers
     both = grids.drop("member").crossJoin(F.broadcast(lambdas)) if grids.select("member").distinct().count() == 1 else grids.join(F.broadcast(lambdas), "member")
-    schema = "member int, rlambda double, flambda double, v1 double, v2 double, steps int, data array<double>"
+    schema = "member int, rlambda double, flambda double, v0 double, v1 double, v2 double, steps int, data array<double>"
     return both.groupBy("member").applyInArrow(_solve(n, estimate, oversampling, most), schema)
 
 

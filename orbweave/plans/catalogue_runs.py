@@ -77,7 +77,7 @@ def cg_solve_full(spark, d):
     """Normal equations of synthetic slices at their true orientations, solved for every regulariser."""
     images = synthetic_slices(spark, 120).withColumn("member", F.lit(0))
     grids = A.normal_grids(images, R.positions(T.detector(spark), 1.0), SIDE)
-    return A.solve(grids, A.lambda_grid(spark, 3, 120 * 64, SIDE), SIDE).select("member", "v1", "v2", "steps", F.size("data").alias("values"))
+    return A.solve(grids, A.lambda_grid(spark, 3, 120 * 64, SIDE), SIDE).select("member", "v0", "v1", "v2", "steps", F.size("data").alias("values"))
 
 
 @_r.add()
