@@ -47,6 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/orbweave"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in Arrow batches of at most so many rows, so that a worker's memory stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage is cut, and a lost executor loses none of it."""
     spark = df.sparkSession

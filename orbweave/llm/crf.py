@@ -66,7 +66,7 @@ class Crf:
     A word's scores depend on the word alone, so they are worked out once and looked up.
     """
 
-    REMEMBERED = 200_000
+    REMEMBERED = 100_000
 
     def __init__(self, weights: dict[str, np.ndarray], pairs: np.ndarray):
         self.weights, self.pairs = weights, pairs

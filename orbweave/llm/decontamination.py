@@ -21,7 +21,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .packing import grouped
 from .shingles import mix, shingle_hashes, word_hashes
 
@@ -153,6 +153,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: fl
     them. Repeated rows give one row. Rows without a doc_id are reported under null. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kinds = {c: t for c, t in [*docs.dtypes, *benchmark.dtypes] if c in ("doc_id", "item_id")}
     cuts = blocks(radius)
     keys = lambda fp: F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << n) - 1)).alias("v")) for i, (a, n) in enumerate(cuts)])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import small_batches, table, text_or_empty
 
 LIMIT = 2048
 END_ID = 1
@@ -29,7 +29,7 @@ BUCKET_BYTES = 4 << 20
 #: Estimated cost of n tokens in one piece: n + QUADRATIC * n * n.
 QUADRATIC = 1 / 1024
 #: Words whose ids a Python worker remembers; then it forgets all and begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Texts are split here only if all their characters are below this, where the tokenizer's Unicode rules are plain.
 PLAIN = 0x180
 
@@ -197,6 +197,7 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, bucket_by
     """
     total = docs.agg(F.sum(F.octet_length(text_or_empty()) + 1)).first()[0] or 0
     n_buckets = max(1, total // bucket_bytes)
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = docs.select("doc_id", "text").mapInArrow(
         _pieces(path or default_tokenizer(), limit, n_buckets), f"doc_id {kind}, start long, ids binary, doc_tokens long, bucket long"

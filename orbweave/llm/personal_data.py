@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 from .crf import TAGS, Crf, train
 from .packing import grouped
 
@@ -159,18 +159,18 @@ def labelled_rows() -> list[tuple[list[str], list[str]]]:
     return rows
 
 
-def _scan(field: Crf):
+def _scan(field: Crf, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, every = [], []
-            for texts in grouped((t.as_py() or "" for t in batch.column(0)), 1 << 19):
+            for texts in grouped((t.as_py() or "" for t in batch.column("text")), 1 << 19):
                 for text, tagged in zip(texts, field.decode([t.split() for t in texts]), strict=True):
                     own = base_spans(text)
                     base.append(own)
                     every.append(sorted(own + field_spans(text, tagged, own), key=lambda x: (x[0], KINDS.index(x[2]))))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
             cols = [pa.array([[dict(zip(("start", "end", "kind"), s, strict=True)) for s in x] for x in rows], kind) for rows in (base, every)]
-            yield pa.record_batch([*batch.columns[1:], *cols], names=[*batch.schema.names[1:], "base", "every"])
+            yield pa.record_batch([*(batch.column(c) for c in kept), *cols], names=[*kept, "base", "every"])
 
     return run
 
@@ -182,10 +182,11 @@ def find(docs: DataFrame, kept: list[str], rows: list[tuple[list[str], list[str]
     is that of its table's features, some thousand numbers.
     """
     field = train(labelled_rows() if rows is None else rows)
+    small_batches(docs.sparkSession)
     schema = docs.select(*kept).schema
     element = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
     schema = T.StructType([*schema.fields, T.StructField("base", element), T.StructField("every", element)])
-    return docs.select(F.col("text").alias("__text"), *kept).mapInArrow(_scan(field), schema)
+    return docs.select(*(kept if "text" in kept else ["text", *kept])).mapInArrow(_scan(field, kept), schema)
 
 
 def redact(docs: DataFrame) -> DataFrame:

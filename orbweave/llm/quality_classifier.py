@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import small_batches, table, text_or_empty
 from .packing import grouped
 from .shingles import SPACE, mix, word_hashes
 
-FIT_ROWS = 8192
+FIT_ROWS = 4096
 FIT_BYTES = 32 << 10
 #: Hashed features; the model's size.
 BUCKETS = 1 << 18
@@ -92,7 +92,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     ratio = log_count_ratios(rows, y)
     ratio[BIAS] = np.abs(ratio).mean()
     w, alpha = np.zeros(BUCKETS), np.zeros(len(rows))
-    scaled = [ratio[f] / np.sqrt((ratio[f] ** 2).sum()) for f in rows]
+    scaled = [(ratio[f] / np.sqrt((ratio[f] ** 2).sum())).astype(np.float32) for f in rows]
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)).tolist():
@@ -130,6 +130,8 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 def score(docs: DataFrame, model: np.ndarray, kept: list[str]) -> DataFrame:
     """The columns ``kept`` of ``docs`` and ``score`` (0.5 for all if there is no model)."""
     spark = docs.sparkSession
+    small_batches(spark)
+    sent = kept if "text" in kept else ["text", *kept]
     model = model if len(model) == 2 * BUCKETS else np.zeros(2 * BUCKETS, np.float32)
     shared = spark.sparkContext.broadcast(model)
     schema = docs.select(*kept).schema.add("score", "double")
@@ -140,13 +142,13 @@ def score(docs: DataFrame, model: np.ndarray, kept: list[str]) -> DataFrame:
         wr, rr = w * ratio, ratio * ratio
         for batch in batches:
             out = []
-            for texts in grouped(t.as_py() for t in batch.column(0)):
+            for texts in grouped(t.as_py() or "" for t in batch.column("text")):
                 for f in make.of(texts):
                     margin = wr[f].sum() / max(1e-12, np.sqrt(rr[f].sum()))
                     out.append(1 / (1 + np.exp(-STEEP * margin)))
-            yield pa.record_batch([*batch.columns[1:], pa.array(out, pa.float64())], names=[*kept, "score"])
+            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(out, pa.float64())], names=[*kept, "score"])
 
-    return docs.select(text_or_empty().alias("__text"), *kept).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, kept: list[str]) -> DataFrame:

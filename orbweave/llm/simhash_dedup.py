@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, small_batches, table
 from .components import connected_components
 
 RADIUS = 3
@@ -61,6 +61,7 @@ def fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprints_of((t.as_py() or "").encode(), shingle, xxh64_intdigest) for t in batch.column(1)], dtype=np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, remote_files, shared_dir, table, text_or_empty
+from .common import materialise, remote_files, shared_dir, small_batches, table, text_or_empty
 from .packing import grouped
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -88,6 +88,7 @@ class TokenLedger:
 
 def count_tokens(docs: DataFrame, kept: list[str], path: str | None = None) -> DataFrame:
     """The columns ``kept`` of every row of ``docs`` and n_tokens: the byte-level BPE tokens of the whole text (null and empty: 0)."""
+    small_batches(docs.sparkSession)
     schema = docs.select(*kept).schema.add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
