@@ -159,7 +159,7 @@ def labelled_rows() -> list[tuple[list[str], list[str]]]:
     return rows
 
 
-def _scan(field: Crf, kept: list[str]):
+def _scan(field: Crf, kept: list[str], names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, every = [], []
@@ -170,23 +170,24 @@ def _scan(field: Crf, kept: list[str]):
                     every.append(sorted(own + field_spans(text, tagged, own), key=lambda x: (x[0], KINDS.index(x[2]))))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
             cols = [pa.array([[dict(zip(("start", "end", "kind"), s, strict=True)) for s in x] for x in rows], kind) for rows in (base, every)]
-            yield pa.record_batch([*(batch.column(c) for c in kept), *cols], names=[*kept, "base", "every"])
+            yield pa.record_batch([*(batch.column(c) for c in kept), *cols], names=[*kept, *names])
 
     return run
 
 
-def find(docs: DataFrame, kept: list[str], rows: list[tuple[list[str], list[str]]] | None = None) -> DataFrame:
+def find(docs: DataFrame, kept: list[str], rows: list[tuple[list[str], list[str]]] | None = None, names: tuple[str, str] = ("base", "every")) -> DataFrame:
     """The columns ``kept`` of every row of ``docs``, with base and every: arrays of (start, end, kind), in code points, end exclusive.
 
-    Null and empty texts have no spans; repeated rows have equal spans. ``rows`` replaces the labelled table. The model's size
+    The two go by ``names``; columns of those names are replaced. Null and empty texts have no spans; repeated rows have equal spans. ``rows`` replaces the labelled table. The model's size
     is that of its table's features, some thousand numbers.
     """
     field = train(labelled_rows() if rows is None else rows)
     small_batches(docs.sparkSession)
+    kept = [c for c in kept if c not in names]
     schema = docs.select(*kept).schema
     element = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
-    schema = T.StructType([*schema.fields, T.StructField("base", element), T.StructField("every", element)])
-    return docs.select(*(kept if "text" in kept else ["text", *kept])).mapInArrow(_scan(field, kept), schema)
+    schema = T.StructType([*schema.fields, *(T.StructField(n, element) for n in names)])
+    return docs.select(*(kept if "text" in kept else ["text", *kept])).mapInArrow(_scan(field, kept, names), schema)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -195,7 +196,7 @@ def redact(docs: DataFrame) -> DataFrame:
     Of overlapping spans the first one gives the name, and the replaced part reaches to the end of the last.
     """
     kept = docs.columns
-    found = find(docs, kept)
+    found = find(docs, kept, names=("__base", "__every"))
 
     def join(a, s):
         fresh = s["start"] >= a["at"]
@@ -204,11 +205,11 @@ def redact(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     rest = lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.size("every") > 0, F.aggregate("every", start, join, rest)).otherwise(F.col("text"))
+    text = F.when(F.size("__every") > 0, F.aggregate("__every", start, join, rest)).otherwise(F.col("text"))
     found = found.withColumn("text", text)
     if "n_chars" in kept:
         kind = docs.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.size("every") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.size("__every") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return found.select(*kept)
 
 

@@ -127,14 +127,14 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.frombuffer(model["model"], dtype=np.float32) if model else np.zeros(0, np.float32)
 
 
-def score(docs: DataFrame, model: np.ndarray, kept: list[str]) -> DataFrame:
-    """The columns ``kept`` of ``docs`` and ``score`` (0.5 for all if there is no model)."""
+def score(docs: DataFrame, model: np.ndarray, kept: list[str], name: str = "score") -> DataFrame:
+    """The columns ``kept`` of ``docs`` and the score (0.5 for all if there is no model)."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = kept if "text" in kept else ["text", *kept]
     model = model if len(model) == 2 * BUCKETS else np.zeros(2 * BUCKETS, np.float32)
     shared = spark.sparkContext.broadcast(model)
-    schema = docs.select(*kept).schema.add("score", "double")
+    schema = docs.select(*kept).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
@@ -146,19 +146,22 @@ def score(docs: DataFrame, model: np.ndarray, kept: list[str]) -> DataFrame:
                 for f in make.of(texts):
                     margin = wr[f].sum() / max(1e-12, np.sqrt(rr[f].sum()))
                     out.append(1 / (1 + np.exp(-STEEP * margin)))
-            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(out, pa.float64())], names=[*kept, "score"])
+            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(out, pa.float64())], names=[*kept, name])
 
     return docs.select(*sent).mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, kept: list[str]) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, kept: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """The columns ``kept`` of every row of ``docs`` (doc_id, text and others), with score (0 to 1) and predicted (0 or 1).
 
+    The two go by ``names``; columns of those names are replaced.
+
     Null and empty texts have the bias feature alone. Repeated rows get equal scores. Without labels of both classes every
     score is 0.5 and every document is predicted 1.
     """
     model = train(docs, labels)
-    return score(docs, model, kept).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    kept = [c for c in kept if c not in names]
+    return score(docs, model, kept, names[0]).withColumn(names[1], (F.col(names[0]) >= 0.5).cast("int"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,33 +86,36 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, tolerance: float = TOLERANCE)
             spread.append((k,))
     whole = spark.createDataFrame(whole, "key long, placed int")
     spread = spark.createDataFrame(spread, "key long").withColumn("spread", F.lit(True))
-    own = F.xxhash64("doc_id", "key")
     rest = groups.join(F.broadcast(whole), "key", "left_anti").join(F.broadcast(spread), "key", "left_anti").select("key", "bytes")
     if spread.take(1):
         # a row of its own for each document of such a group
-        rest = rest.union(keys.join(F.broadcast(spread), "key", "left_semi").select(own.alias("key"), "bytes"))
+        rest = rest.union(keys.join(F.broadcast(spread), "key", "left_semi").select(F.xxhash64("doc_id", "key").alias("key"), "bytes"))
         rest = materialise(rest, "rest")
     room = [max(0.0, share - x) for x in load]
     fill = (rest.agg(F.sum("bytes")).first()[0] or 0) / max(1.0, sum(room))
     targets = [x * fill for x in accumulate(room)][:-1]
     splitters = _splitters(rest, targets, share * tolerance / 4) if total else [0] * (n_shards - 1)
-    above = F.size(F.filter(F.array(*[F.lit(s) for s in splitters if s < 1 << 63]).cast("array<long>"), lambda s: s <= F.col("at")))
 
     n_runs = max(1, keys.count() // (n_shards * RUN))
 
-    def placed(rows: DataFrame) -> DataFrame:
-        rows = rows.join(F.broadcast(whole), "key", "left").join(F.broadcast(spread), "key", "left")
-        rows = rows.withColumn("at", F.when(F.col("spread"), own).otherwise(F.col("key")))
-        rows = rows.withColumn("shard", F.coalesce("placed", above))
-        return rows.withColumn("run", F.pmod(own, F.lit(n_runs)).cast("int")).drop("placed", "spread")
-
-    counts = placed(keys).groupBy("shard", "run").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("shard").alias("o_shard"), F.col("run").alias("o_run"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rows = placed(docs.drop("shard", "slot", "key", "at", "run", "placed", "spread", "offset", "o_shard", "o_run").withColumn("key", F.xxhash64(text)))
-    rows = rows.join(offsets.hint("merge"), (F.col("shard") == F.col("o_shard")) & (F.col("run") == F.col("o_run")))
-    nth = F.row_number().over(Window.partitionBy("shard", "run").orderBy("at", "doc_id"))
-    return rows.withColumn("slot", F.col("offset") + nth - 1).drop("key", "at", "run", "offset", "o_shard", "o_run")
+    def placed(rows: DataFrame, text_key: str) -> DataFrame:
+        """rows with their shard and the run of rows within it that they are numbered in; names of its own begin with __."""
+        own = F.xxhash64("doc_id", text_key)
+        rows = rows.join(F.broadcast(whole.withColumnsRenamed({"key": text_key, "placed": "__placed"})), text_key, "left")
+        rows = rows.join(F.broadcast(spread.withColumnsRenamed({"key": text_key, "spread": "__spread"})), text_key, "left")
+        at = F.when(F.col("__spread"), own).otherwise(F.col(text_key))
+        below = F.size(F.filter(F.array(*[F.lit(s) for s in splitters if s < 1 << 63]).cast("array<long>"), lambda s: s <= F.col("__at")))
+        rows = rows.withColumn("__at", at).withColumn("__shard", F.coalesce("__placed", below))
+        return rows.withColumn("__run", F.pmod(own, F.lit(n_runs)).cast("int")).drop("__placed", "__spread")
+
+    counts = placed(keys, "key").groupBy("__shard", "__run").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("__shard").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__shard", "__run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    rows = placed(docs.drop("shard", "slot").withColumn("__key", F.xxhash64(text)), "__key")
+    rows = rows.join(offsets.hint("merge"), ["__shard", "__run"])
+    nth = F.row_number().over(Window.partitionBy("__shard", "__run").orderBy("__at", "doc_id"))
+    kept = [c for c in docs.columns if c not in {"shard", "slot"}]
+    return rows.withColumn("slot", F.col("__offset") + nth - 1).select(*kept, F.col("__shard").alias("shard"), "slot")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ from .common import table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    judged = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), docs.columns)
-    return judged.where("predicted = 1").select(*docs.columns)
+    judged = quality_classifier.classify(docs, table(spark, sf_dir, "labels"), docs.columns, ("__score", "__predicted"))
+    return judged.where("__predicted = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

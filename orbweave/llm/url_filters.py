@@ -93,10 +93,10 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
     met = met.where(F.col("digest") == F.col("rule_digest"))
     fits = met.select("host", "path", F.explode("rules").alias("r")).where(F.startswith(F.col("path"), F.col("r.path")))
     # 'block' sorts after 'allow', so the maximum prefers it on a tie
-    best = fits.groupBy("host", "path").agg(F.max(F.struct("r.len", "r.host_len", "r.verdict", "r.rule")).alias("best"))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct("r.len", "r.host_len", "r.verdict", "r.rule")).alias("__best"))
     return (
         rows.join(best, ["host", "path"], "left")
-        .select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        .select(*kept, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
     )
 
 
