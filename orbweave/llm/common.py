@@ -62,6 +62,26 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to this many (8 MB) are broadcast.
+BROADCAST_IDS = 1_000_000
+
+
+def _against(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    ids = materialise(ids.distinct(), "ids")
+    small = ids.count() <= BROADCAST_IDS and ids.dtypes[0][1] in ("bigint", "int")
+    return docs.join(F.broadcast(ids) if small else ids, ids.columns[0], how).select(*docs.columns)
+
+
+def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with an id in the one column of ``ids``. While the ids are few, the texts aren't shuffled."""
+    return _against(docs, ids, "left_semi")
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without an id in the one column of ``ids``; rows without an id stay."""
+    return _against(docs, ids, "left_anti")
+
+
 def remote_files(spark: SparkSession, path: str) -> bool:
     """Whether anything is at ``path``, in whatever store Spark reads."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

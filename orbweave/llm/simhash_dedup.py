@@ -145,8 +145,12 @@ def _link_leaves(radius: int):
 
 
 def link(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges a, b among distinct fingerprints (fp long) whose components are those of all pairs within ``radius`` bits."""
-    n = nodes.count()
+    """Edges a, b among distinct fingerprints (fp long) whose components are those of all pairs within ``radius`` bits.
+
+    With a column ``family`` only fingerprints of one family are linked.
+    """
+    family = ["family"] if "family" in nodes.columns else []
+    n = nodes.count() / max(1, nodes.select(*family).distinct().count() if family else 1)
     # a ring of WIDTH + 1 of the about 10 distances that occur holds about half of the points
     depth = max(1, math.ceil(math.log(max(n, 2) / LEAF) / math.log(1 / 0.53))) if n > LEAF else 1
     vantages = [r["fp"] for r in nodes.orderBy(F.xxhash64("fp", F.lit(SEED))).limit(depth).collect()]
@@ -155,7 +159,7 @@ def link(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.struct(F.lit(0).alias("tree"), F.shiftrightunsigned("fp", 32).alias("half")),
         F.struct(F.lit(1).alias("tree"), F.col("fp").bitwiseAND(F.lit(low)).alias("half")),
     )
-    rows = nodes.select("fp", F.explode(halves).alias("t")).select("fp", F.col("t.half").alias("half"), F.xxhash64("t.tree").alias("leaf"), "t.tree")
+    rows = nodes.select("fp", *family, F.explode(halves).alias("t")).select("fp", F.col("t.half").alias("half"), F.xxhash64("t.tree", *family).alias("leaf"), "t.tree")
     for v in vantages:
         v &= (1 << 64) - 1
         rings = F.when(F.col("tree") == 0, _rings(F.col("half"), v >> 32, radius // 2)).otherwise(_rings(F.col("half"), v & low, radius // 2))

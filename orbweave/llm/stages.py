@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontamination, packing, personal_data, quality_classifier, simhash_dedup
-from .common import table
+from . import decontamination, packing, personal_data, quality_classifier, similar_texts
+from .common import drop_ids, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,16 +15,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays. Rows without a doc_id stay as they are."""
-    found = simhash_dedup.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays. Rows without a doc_id stay as they are."""
+    found = similar_texts.near_duplicates(docs.select("doc_id", "text"))
+    return drop_ids(docs, found.where("doc_id != component_id").select("doc_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    gone = decontamination.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = decontamination.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return drop_ids(docs, found.select("doc_id"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

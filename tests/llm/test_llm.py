@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from orbweave.llm import components, crf, decontamination, license_scans, packing, personal_data, quality_classifier, quality_rules, sharding, simhash_dedup, stages, token_counts, url_filters
+from orbweave.llm import components, crf, decontamination, license_scans, packing, personal_data, quality_classifier, quality_rules, sharding, similar_texts, simhash_dedup, stages, token_counts, url_filters
 from orbweave.llm.queries import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, key string, host string, rule string, score string, size string, pos int"
@@ -532,6 +532,73 @@ def test_near_duplicates_of_odd_documents(spark):
     assert simhash_dedup.near_duplicates(odd_docs(spark).limit(0)).count() == 0
 
 
+def brute_similar(docs):
+    """Groups by links of 0.8 or more of the distinct five-word shingles."""
+    sets = []
+    for _, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)})
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both * 5 >= 4 * (len(a) + len(sets[j]) - both):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {docs[i][0]: docs[find(i)][0] for i in range(len(docs))}
+
+
+def families_of_copies():
+    """A base and copies with a few words changed, chains of such changes, and strangers; docs in order of doc_id."""
+    rng = random.Random(9)
+    line = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    docs = [" ".join(line(rng.randint(1, 80))) for _ in range(80)]
+    for n in (3, 12, 40):
+        base = line(200)
+        docs.append(" ".join(base))
+        for _ in range(n):
+            w = list(base)
+            for at in rng.sample(range(200), 3):
+                w[at] = "changed%d" % rng.randint(0, 99)
+            docs.append(" ".join(w).upper() if n == 3 else " ".join(w))
+        for _ in range(6):
+            w[rng.randrange(200)] = "chain"
+            docs.append("  ".join(w))
+    return [(i, t) for i, t in enumerate(docs)]
+
+
+@pytest.mark.parametrize("closed,block", [(2 << 20, 128), (100, 6)])
+def test_similar_groups_equal_brute_force(spark, monkeypatch, closed, block):
+    monkeypatch.setattr(similar_texts, "CLOSED", closed)  # the small bound sends the families through the rounds
+    monkeypatch.setattr(similar_texts, "BLOCK", block)
+    docs = families_of_copies()
+    got = dict(pairs(similar_texts.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "component_id"))
+    assert got == brute_similar(docs)
+
+
+def test_recall_of_similar_groups_on_driver_documents(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    want = brute_similar(docs)
+    got = dict(pairs(similar_texts.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "component_id"))
+    gone = {d for d, c in want.items() if d != c}
+    found = {d for d, c in got.items() if d != c}
+    assert found <= gone and len(found) >= 0.95 * len(gone)
+
+
+def test_similar_groups_of_odd_documents(spark):
+    out = similar_texts.near_duplicates(odd_docs(spark))
+    same_count(out)
+    got = pairs(out, "doc_id", "component_id")
+    assert {c for d, c in got if d in (1, 2, 3)} == {1} and {c for d, c in got if d in (5, 6)} == {5}
+    assert similar_texts.near_duplicates(odd_docs(spark).limit(0)).count() == 0
+
+
 # the pipeline
 
 
