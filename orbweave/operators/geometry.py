@@ -25,6 +25,14 @@ def normalise(positions: DataFrame, det: DataFrame, oversampling: float = 1.0) -
     return scaled.select("image_id", "panel", "r", "c", *[(F.col(n) * math.pi / (F.col("far") * oversampling)).alias(n) for n in "hkl"])
 
 
+def positions_from_energy(pixels: DataFrame, energy_ev: float) -> DataFrame:
+    """Reciprocal positions qx, qy, qz (inverse metres) from places x, y, z (metres) behind the sample and the photon energy."""
+    wavelength = 1.23984198e-6 / energy_ev
+    norm = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    q = {n: (F.col(n) / norm - (1.0 if n == "z" else 0.0)) / wavelength for n in "xyz"}
+    return pixels.withColumns({f"q{n}": c for n, c in q.items()}).drop("x", "y", "z")
+
+
 def check_domain(positions: DataFrame, most: float = 3 * math.pi) -> DataFrame:
     """One row: the largest coordinate, and whether it is within what the transforms take."""
     top = F.max(F.greatest(*[F.abs(F.col(n)) for n in "hkl"]))

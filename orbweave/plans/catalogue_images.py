@@ -284,6 +284,20 @@ def known_orientation_override(spark, d):
     return rounded_columns(M.override_known(orient, known, 0.75, orient.count()), "w", "x", "y", "z")
 
 
+@_r.add(
+    f"with {DET}, p as (select panel, r, c, qx * 0.001 as x, qy * 0.001 as y, 0.1::double as z from det), n as (select *, sqrt(x * x + y * y + z * z) as s from p) "
+    "select panel, r, c, " + ", ".join(f"round(({x} / s - {1 if x == 'z' else 0}) / (1.23984198e-6 / 9000) / 1e6, 6) + 0.0 as q{x}" for x in "xyz") + " from n"
+)
+def energy_positions(spark, d):
+    px = T.detector(spark).select("panel", "r", "c", (F.col("qx") * 0.001).alias("x"), (F.col("qy") * 0.001).alias("y"), F.lit(0.1).alias("z"))
+    return G.positions_from_energy(px, 9000).select("panel", "r", "c", *[rounded(F.col(f"q{n}") / 1e6).alias(f"q{n}") for n in "xyz"])
+
+
+@_r.add("with e as (select event_id, row_number() over (order by event_id) - 1 as rank from events) select rank % 4 + 1 as worker, rank // 4 as slot, event_id from e where rank < 200")
+def worker_fill(spark, d):
+    return S.fill(T.table(spark, d, "events"), 4, 50).select("worker", "slot", "event_id")
+
+
 _RANK = "with e as (select *, row_number() over (order by event_id) - 1 as rank from events) "
 
 

@@ -50,6 +50,13 @@ def dft3(spark, d):
     return _long(K.map_volumes(_wide(spark, d), fn, {"re": "array<double>", "im": "array<double>"}), re=6, im=6)
 
 
+@_r.add(f"with {DFT} select f.vol_id, f.i, f.j, f.k, round(sqrt(re * re + im * im), 6) + 0.0 as intensity, round(v * v, 6) + 0.0 as squared from ft f join vol using (vol_id, i, j, k)")
+def output_intensity(spark, d):
+    """Of an autocorrelation: the intensity (its transform's size) and its square, voxel by voxel."""
+    got = K.map_volumes(_wide(spark, d), lambda v: {"intensity": np.abs(np.fft.fftn(v, axes=(1, 2, 3))), "squared": v * v}, {"intensity": "array<double>", "squared": "array<double>"})
+    return _long(got, intensity=6, squared=6)
+
+
 _POINTS = (0.1, 0.2, -0.15)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, kernels, matching, merging, phasing
+from ..sources import mrc
 from .settings import Settings
 
 
@@ -46,6 +47,18 @@ def load(spark: SparkSession, out: str, generation: int, tag: str = "") -> State
     return State(r["generation"], cube(r["ac"]), cube(r["support"]) > 0, cube(r["rho"]), r["cc"], r["converged"])
 
 
+def write_outputs(spark: SparkSession, out: str, state: State, voxel: float = 1.0) -> None:
+    """Density, autocorrelation, its square and the intensity of a generation as MRC files, centred."""
+    volumes = {
+        "rho": np.fft.fftshift(state.rho),
+        "ac": state.ac,
+        "ac_squared": state.ac**2,
+        "intensity": np.fft.fftshift(np.abs(np.fft.fftn(np.fft.ifftshift(state.ac)))),
+    }
+    for name, vol in volumes.items():
+        mrc.write_volume(spark, f"{out.rstrip('/')}/{name}_{state.generation}.mrc", vol, voxel)
+
+
 def saved_generations(spark: SparkSession, out: str) -> list[int]:
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(out)

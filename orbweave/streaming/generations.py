@@ -41,6 +41,12 @@ def route(events: DataFrame, workers: int, order: str = "event_id") -> DataFrame
     return ranked(events, order).withColumn("worker", F.col("rank") % workers + 1).drop("rank")
 
 
+def fill(events: DataFrame, workers: int, most: int, order: str = "event_id") -> DataFrame:
+    """events with the worker that gets them in turn, until each worker has ``most``; further events are left out."""
+    routed = ranked(events, order).where(F.col("rank") < workers * most)
+    return routed.withColumn("worker", F.col("rank") % workers + 1).withColumn("slot", F.floor(F.col("rank") / workers)).drop("rank")
+
+
 def run_stream(spark: SparkSession, source: DataFrame, store: str, checkpoint: str, size: int, generation: Callable[[int, DataFrame], bool | None], cap: int | None = None) -> int:
     """Appends a stream's micro-batches to ``store`` and calls ``generation(number, all images so far)`` for each that is full.
 

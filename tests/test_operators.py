@@ -149,3 +149,26 @@ def test_stream_stops_when_converged(spark, tmp_path):
     source = spark.readStream.schema("image_id long, data array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     n = S.run_stream(spark, source, str(tmp_path / "store"), str(tmp_path / "cp"), 10, lambda k, df: k == 2, cap=50)
     assert n == 3
+
+
+@pytest.mark.parametrize("warm", [True, False])
+def test_streamed_reconstruction(spark, tmp_path, warm):
+    from orbweave.plans import stream
+
+    C.synthetic_slices(spark, 30).select("image_id", "data").repartition(3).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("image_id long, data array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    s = Settings(side=5, n_generations=4, n_orientations=20, n_phase_loops=1, n_er=1, n_hio=1, members=2, solve_steps=5, out=str(tmp_path / "out"))
+    last = stream.run(spark, source, T.detector(spark), s, 10, warm_start=warm)
+    assert np.isfinite(last.rho).all() and (last.generation == 3 if warm else last.generation == 0)
+
+
+def test_outputs_and_command_line(spark, tmp_path, capsys):
+    from orbweave.__main__ import main, volume
+
+    vol = C.two_blobs()
+    R.write_outputs(spark, str(tmp_path), R.State(1, np.fft.fftshift(vol), vol > 0, np.fft.ifftshift(vol)))
+    assert np.allclose(volume(spark, str(tmp_path / "rho_1.mrc")), vol, atol=1e-6)
+    main(["toml", "algorithm.members=7"])
+    assert "members = 7" in capsys.readouterr().out
+    main(["evaluate", "--images", str(tmp_path / "rho_1.mrc"), "--reference", str(tmp_path / "rho_1.mrc")])
+    assert float(capsys.readouterr().out.split()[1].rstrip(",")) > 0.8
