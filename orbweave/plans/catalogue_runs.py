@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -23,11 +21,6 @@ QUERIES, ORACLE_SQL = _r.queries, _r.sql
 SIDE = 9
 
 
-def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/orbweave-{uuid.uuid4().hex}"
-
-
 def two_blobs(n: int = SIDE) -> np.ndarray:
     """Two unequal Gaussians: a density without symmetry."""
     i, j, k = np.meshgrid(*[np.arange(n) - n // 2] * 3, indexing="ij")
@@ -57,7 +50,7 @@ def synthetic_slices(spark, images: int, oversampling: float = 1.0, seed: int =
 @_r.add()
 def full_reconstruction(spark, d):
     """Three generations over all driver images; generation, voxel, density."""
-    s = Settings(side=7, n_generations=3, n_orientations=100, n_phase_loops=1, n_er=4, n_hio=2, members=2, solve_steps=30, out=_scratch(spark))
+    s = Settings(side=7, n_generations=3, n_orientations=100, n_phase_loops=1, n_er=4, n_hio=2, members=2, solve_steps=30, out=T.scratch(spark))
     state = R.run(spark, T.wide(spark, d), T.detector(spark), s)
     got = spark.read.parquet(R.checkpoint_path(s.out, state.generation))
     return got.select("generation", F.posexplode("rho").alias("voxel", "v"))
@@ -105,7 +98,7 @@ def phase_ensemble(spark, d):
 
 @_r.add()
 def checkpoint_roundtrip(spark, d):
-    out, vol = _scratch(spark), two_blobs()
+    out, vol = T.scratch(spark), two_blobs()
     R.save(spark, out, R.State(2, vol, vol > 0.1, vol, 0.5))
     back = R.load(spark, out, 2)
     same = bool((back.ac == vol).all() and (back.support == (vol > 0.1)).all() and (back.rho == vol).all())
@@ -114,7 +107,7 @@ def checkpoint_roundtrip(spark, d):
 
 @_r.add()
 def mrc_roundtrip(spark, d):
-    out = _scratch(spark)
+    out = T.scratch(spark)
     mrc.write_volume(spark, f"{out}/blobs.mrc", two_blobs(), 2.5)
     return mrc.read_volumes(spark, f"{out}/blobs.mrc").select("side", "voxel", F.posexplode("data").alias("p", "v"))
 
@@ -139,7 +132,7 @@ def stream_reconstruction(spark, d):
     """Driver images as a file stream; a mean image for each generation of 100 images, as its batch twin would give it."""
     from ..streaming.generations import run_stream
 
-    out = _scratch(spark)
+    out = T.scratch(spark)
     T.wide(spark, d).repartition(5).write.parquet(f"{out}/source")
     rows = []
 

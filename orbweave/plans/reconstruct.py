@@ -7,7 +7,6 @@ fixed size. Each generation's result is a table under ``settings.out``, from whi
 from __future__ import annotations
 
 import math
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, kernels, matching, merging, phasing
 from ..sources import mrc
+from ..sources.tables import scratch
 from .settings import Settings
 
 
@@ -147,7 +147,7 @@ def run(spark: SparkSession, images: DataFrame, det: DataFrame, s: Settings, ref
     """All generations, or as many as it takes to converge. Raises if convergence is asked for and not met."""
     if s.check_convergence and reference is None:
         raise ValueError("convergence is judged against a reference density; none is given")
-    out = s.out or f"/tmp/checkpoints/orbweave-{uuid.uuid4().hex}"
+    out = s.out or scratch(spark)
     last = None
     if resume and (found := saved_generations(spark, out)):
         last = load(spark, out, found[-1])

@@ -7,6 +7,8 @@ image of 4 x 4 pixels, or a 4 x 4 x 4 volume.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or in /tmp/checkpoints where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/orbweave-{uuid.uuid4().hex}"
+
+
 def wide(spark: SparkSession, sf_dir: str, id_name: str = "image_id") -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(id_name), F.col("embedding").cast("array<double>").alias("data"))
 
