@@ -44,7 +44,7 @@ def select_corner(solved: DataFrame) -> DataFrame:
     return solved.agg(F.expr("min_by(member, struct(v1 + v2, member))").alias("member"))
 
 
-def _grids(det: np.ndarray, n: int, members: int):
+def _grids(det: np.ndarray, n: int):
     """Partial right-hand sides (side n) and kernels (side 2n) of each member, one of each per task."""
     big = 2 * n
 
@@ -77,9 +77,9 @@ def _add(t: pa.Table) -> pa.Table:
     return pa.table({"member": t.column("member")[:1], "part": t.column("part")[:1], "slab": t.column("slab")[:1], "data": pa.array([total], pa.list_(pa.float64()))})
 
 
-def normal_grids(images: DataFrame, det: np.ndarray, n: int, members: int = 1) -> DataFrame:
+def normal_grids(images: DataFrame, det: np.ndarray, n: int) -> DataFrame:
     """member, part (rhs or kernel), slab, data. images: member, q (array w, x, y, z), data; det: 3 x pixels in radians."""
-    parts = images.select(F.col("member").cast("int"), "q", "data").mapInArrow(_grids(det, n, members), "member int, part string, slab int, data array<double>")
+    parts = images.select(F.col("member").cast("int"), "q", "data").mapInArrow(_grids(det, n), "member int, part string, slab int, data array<double>")
     return parts.groupBy("member", "part", "slab").applyInArrow(_add, "member int, part string, slab int, data array<double>")
 
 
