@@ -179,6 +179,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: fl
         for i in reversed(range(len(cuts))):
             first = F.when(agree(apart, i), i).otherwise(first)
         met = met.where((F.bit_count(apart) <= radius) & (F.col("k.i") == first)).select("doc_id", "item_id", "start", "window", "item")
+        # candidates are few; a stage of their own keeps a task at one Python worker
+        met = met.repartition("doc_id", "item_id", "start")
         scored = met.mapInArrow(_verify, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start long, similarity double").where(F.col("similarity") >= least)
         found = scored if found is None else found.union(scored)
     if found is None:
