@@ -13,6 +13,7 @@ import itertools
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from .common import small_batches, table, text_or_empty
 
 LIMIT = 2048
 END_ID = 1
+_END = END_ID.to_bytes(4, "little")
 #: UTF-8 bytes of text to a bucket, about: some hundred sequences, a few MB of ids.
 BUCKET_BYTES = 4 << 20
 #: Estimated cost of n tokens in one piece: n + QUADRATIC * n * n.
@@ -50,13 +52,13 @@ def _byte_level() -> dict[int, str]:
 
 
 class _Words(dict):
-    """A word's ids, worked out when first asked for."""
+    """A word's ids (unsigned 32-bit, little-endian), worked out when first asked for."""
 
     def __init__(self, model):
         self.model, self.letters = model, _byte_level()
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple([t.id for t in self.model.tokenize(word.translate(self.letters))])
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", [t.id for t in self.model.tokenize(word.translate(self.letters))]).tobytes()
         self[word] = ids
         return ids
 
@@ -85,10 +87,10 @@ class WordTokenizer:
         get, out = self.known.__getitem__, []
         for t in texts:
             if self.odd(t):
-                got = self.whole.encode(t, add_special_tokens=False).ids
+                got = np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
-                got = itertools.chain.from_iterable(map(get, self.split(t.lower())))
-            out.append(np.fromiter(itertools.chain(got, (END_ID,)), dtype="<u4"))
+                got = b"".join(map(get, self.split(t.lower())))
+            out.append(np.frombuffer(got + _END, dtype="<u4"))
         return out
 
 
