@@ -11,13 +11,12 @@ getting less similar, so every best window of an item begins with one of the ite
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +30,8 @@ SIMILARITY = 0.8
 RADIUS = 16
 #: Benchmark items that are broadcast in one pass; more items take more passes over the documents.
 PASS_ITEMS = 20_000
-#: Bytes of items' text in a pass.
-PASS_BYTES = 32 << 20
+#: Characters of items' text in a pass.
+PASS_BYTES = 8 << 20
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -160,14 +159,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: fl
     agree = lambda x, i: F.shiftrightunsigned(x, cuts[i][0]).bitwiseAND(F.lit((1 << cuts[i][1]) - 1)) == 0
     found = None
     for slice_ in _passes(benchmark):
-        rows = []
-        for item, text in slice_:
+        prints, texts = [], []
+        for nth, (item, text) in enumerate(slice_):
             w = words_of(text.encode())
             if len(w) >= SHINGLE:
                 h, _ = shingle_hashes(*word_hashes([text.encode()]), SHINGLE)
-                rows.append((item, len(w), simhash(h), b" ".join(w)))
-        items = spark.createDataFrame(rows, f"item_id {kinds['item_id']}, size int, item_fp long, item binary")
-        items = items.select("*", F.explode(keys("item_fp")).alias("k"))
+                prints.append((nth, len(w), simhash(h)))
+                texts.append((nth, item, b" ".join(w)))
+        items = spark.createDataFrame(prints, "nth int, size int, item_fp long").select("*", F.explode(keys("item_fp")).alias("k"))
+        texts = spark.createDataFrame(texts, f"nth int, item_id {kinds['item_id']}, item binary")
         windows = docs.select("doc_id", "text").mapInArrow(
             _find(Items([t for _, t in slice_])), f"doc_id {kinds['doc_id']}, start long, size int, fp long, window binary"
         )
@@ -178,9 +178,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: fl
         first = F.lit(len(cuts))
         for i in reversed(range(len(cuts))):
             first = F.when(agree(apart, i), i).otherwise(first)
-        met = met.where((F.bit_count(apart) <= radius) & (F.col("k.i") == first)).select("doc_id", "item_id", "start", "window", "item")
+        met = met.where((F.bit_count(apart) <= radius) & (F.col("k.i") == first)).select("doc_id", "nth", "start", "window")
         # candidates are few; a stage of their own keeps a task at one Python worker
-        met = met.repartition("doc_id", "item_id", "start")
+        met = met.repartition("doc_id", "nth", "start").join(F.broadcast(texts), "nth").select("doc_id", "item_id", "start", "window", "item")
         scored = met.mapInArrow(_verify, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start long, similarity double").where(F.col("similarity") >= least)
         found = scored if found is None else found.union(scored)
     if found is None:
