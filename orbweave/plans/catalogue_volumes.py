@@ -13,6 +13,7 @@ from ..operators import kernels as K
 from ..operators import merging as A
 from ..operators import phasing as P
 from ..operators.detector import mean_image
+from ..sources import pdb
 from ..sources import tables as T
 from .registry import PX, VOL, Registry, rounded, rounded_columns, sql_columns
 
@@ -102,6 +103,24 @@ def antisupport_mask(spark, d):
     return G.antisupport(spark, 5, 1.5)
 
 
+_ATOMS = [(1.25, -2.5, 0.75, "N"), (2.0, 1.5, -1.25, "C"), (-1.5, 0.25, 2.0, "O"), (0.5, -0.75, -2.25, "S"), (-2.25, 1.0, 0.5, ""), (0.0, 0.5, 0.0, "ZN")]
+_PDB = ["HEADER    A MADE-UP MOLECULE"] + [f"ATOM  {n:5d}  CA  GLY A{n:4d}    {x:8.3f}{y:8.3f}{z:8.3f}  1.00  0.00          {e:>2s}" for n, (x, y, z, e) in enumerate(_ATOMS)] + ["TER", "END"]
+
+
+@_r.add(
+    "with lines(value) as (values " + ", ".join(f"('{x}')" for x in _PDB) + "), "
+    "a as (select trim(substr(value, 31, 8))::double as x, trim(substr(value, 39, 8))::double as y, trim(substr(value, 47, 8))::double as z, trim(substr(value, 77, 2)) as e from lines where value like 'ATOM  %'), "
+    "w as (select *, case e when 'N' then 7 when 'O' then 8 when 'S' then 16 when 'ZN' then 30 else 6 end as n from a), "
+    "m as (select avg(x) as mx, avg(y) as my, avg(z) as mz from w), p as (select n, (x - mx) / 1.0 + 4 as x, (y - my) / 1.0 + 4 as y, (z - mz) / 1.0 + 4 as z from w cross join m), "
+    "s as (select unnest(range(0, 9))::int as a) "
+    "select i.a as i, j.a as j, k.a as k, round(sum(n * exp(-((i.a - x) * (i.a - x) + (j.a - y) * (j.a - y) + (k.a - z) * (k.a - z)) / (2 * 0.64))), 6) + 0.0 as v "
+    "from p cross join s i cross join s j cross join s k where abs(i.a - floor(x + 0.5)) <= 3 and abs(j.a - floor(y + 0.5)) <= 3 and abs(k.a - floor(z + 0.5)) <= 3 group by 1, 2, 3"
+)
+def atom_density(spark, d):
+    lines = spark.createDataFrame([(x,) for x in _PDB], "value string")
+    return rounded_columns(pdb.density(pdb.parse(lines), 9, 1.0, 0.8), "v")
+
+
 # Frequencies of a side of 4 that lie outside the ball, with the origin first; and what they make of an impulse.
 _OUT = (
     "s4 as (select unnest(range(0, 4))::int as a), fq as (select a, ((a + 2) % 4) * 2 * pi() / 3 - pi() as q from s4), "

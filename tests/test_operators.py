@@ -172,3 +172,15 @@ def test_outputs_and_command_line(spark, tmp_path, capsys):
     assert "members = 7" in capsys.readouterr().out
     main(["evaluate", "--images", str(tmp_path / "rho_1.mrc"), "--reference", str(tmp_path / "rho_1.mrc")])
     assert float(capsys.readouterr().out.split()[1].rstrip(",")) > 0.8
+
+
+def test_atoms_of_odd_files(spark, tmp_path):
+    from orbweave.sources import pdb
+
+    good = "HETATM    1  O   HOH A   1      10.000  20.000  30.000  1.00  0.00           O"
+    (tmp_path / "a.pdb").write_text("\n".join([good, good.replace("10.000", "  oops"), "ATOM", "", "REMARK", good.replace("30.000", "31.000")[:54]]))
+    rows = sorted(map(tuple, pdb.read_atoms(spark, str(tmp_path)).collect()))
+    assert rows == [(10.0, 20.0, 30.0, 8.0), (10.0, 20.0, 31.0, 8.0)]
+    one = pdb.density(pdb.parse(spark.createDataFrame([(good,)], "value string")), 7, 1.0, 1.0).collect()
+    assert len(one) == 343 and max(one, key=lambda r: r["v"])[:3] == (3, 3, 3) and max(r["v"] for r in one) == 8.0
+    assert pdb.density(pdb.parse(spark.createDataFrame([], "value string")), 7, 1.0, 1.0).count() == 0
