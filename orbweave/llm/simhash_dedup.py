@@ -1,7 +1,8 @@
 """Operator 10: near duplicates by SimHash, with fingerprints linked through vantage-point trees.
 
 Two fingerprints within RADIUS bits differ in at most RADIUS // 2 bits on one of their two halves, so a tree over each half
-needs a search radius of one bit instead of three. At each level of a tree a vantage point, itself a fingerprint, splits the
+needs a search radius of one bit instead of three. (Over QUARTERS_FROM fingerprints there are four trees, over quarters: one
+of them agrees in full, the search radius is 0, and no point is copied.) At each level of a tree a vantage point, itself a fingerprint, splits the
 points by Hamming distance into rings; by the triangle inequality two points within the search radius lie at most that far
 apart in distance to the vantage point, so rings that overlap by the radius put every such pair into a ring together, and all
 other branches are pruned. Points near a boundary go to both rings. What reaches a leaf is compared exactly over all 64 bits.
@@ -27,6 +28,8 @@ RADIUS = 3
 SHINGLE = 3
 #: Ring width. 3 prunes most for each copy of a point that it makes.
 WIDTH = 3
+#: From so many fingerprints on, copies of points cost more than the comparisons that halves save over quarters.
+QUARTERS_FROM = 4_000_000
 #: Comparisons that a point meets in the leaves of a tree, about; deeper trees make fewer and copy more.
 LEAF = 1500
 #: Leaves over this many points are split further, inside their task, by vantage points of their own.
@@ -66,8 +69,10 @@ def fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _rings(half: Column, vantage: int, radius: int) -> Column:
-    d = F.bit_count(half.bitwiseXOR(F.lit(vantage)))
+def _rings(part: Column, vantage: int, radius: int) -> Column:
+    d = F.bit_count(part.bitwiseXOR(F.lit(vantage)))
+    if not radius:
+        return F.array(d)
     k = F.floor(d / WIDTH).cast("int")
     return F.when((d % WIDTH < radius) & (k > 0), F.array(k - 1, k)).otherwise(F.array(k))
 
@@ -151,21 +156,21 @@ def link(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     family = ["family"] if "family" in nodes.columns else []
     n = nodes.count() / max(1, nodes.select(*family).distinct().count() if family else 1)
-    # a ring of WIDTH + 1 of the about 10 distances that occur holds about half of the points
-    depth = max(1, math.ceil(math.log(max(n, 2) / LEAF) / math.log(1 / 0.53))) if n > LEAF else 1
+    trees = 2 if n < QUARTERS_FROM else 4
+    bits, search = 64 // trees, radius // trees
+    mask = (1 << bits) - 1
+    # of the about 10 distances that occur on a half, a ring of WIDTH + 1 holds half of the points; without overlap it holds a seventh
+    depth = max(1, math.ceil(math.log(max(n, 2) / LEAF) / math.log(1 / 0.53 if search else 1 / 0.2))) if n > LEAF else 1
     vantages = [r["fp"] for r in nodes.orderBy(F.xxhash64("fp", F.lit(SEED))).limit(depth).collect()]
-    low = 0xFFFFFFFF
-    halves = F.array(
-        F.struct(F.lit(0).alias("tree"), F.shiftrightunsigned("fp", 32).alias("half")),
-        F.struct(F.lit(1).alias("tree"), F.col("fp").bitwiseAND(F.lit(low)).alias("half")),
-    )
-    rows = nodes.select("fp", *family, F.explode(halves).alias("t")).select("fp", F.col("t.half").alias("half"), F.xxhash64("t.tree", *family).alias("leaf"), "t.tree")
+    parts = F.array(*[F.struct(F.lit(i).alias("tree"), F.shiftrightunsigned("fp", bits * i).bitwiseAND(F.lit(mask)).alias("part")) for i in range(trees)])
+    rows = nodes.select("fp", *family, F.explode(parts).alias("t")).select("fp", F.col("t.part").alias("part"), F.xxhash64("t.tree", *family).alias("leaf"), "t.tree")
     for v in vantages:
-        v &= (1 << 64) - 1
-        rings = F.when(F.col("tree") == 0, _rings(F.col("half"), v >> 32, radius // 2)).otherwise(_rings(F.col("half"), v & low, radius // 2))
-        rows = rows.select("fp", "half", "tree", "leaf", F.explode(rings).alias("ring")).withColumn("leaf", F.xxhash64("leaf", "ring")).drop("ring")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    leaves = rows.select("leaf", "fp").repartition(parts, "leaf").sortWithinPartitions("leaf")
+        rings = F.lit(None)
+        for i in range(trees):
+            rings = F.when(F.col("tree") == i, _rings(F.col("part"), v >> bits * i & mask, search)).otherwise(rings)
+        rows = rows.select("fp", "part", "tree", "leaf", F.explode(rings).alias("ring")).withColumn("leaf", F.xxhash64("leaf", "ring")).drop("ring")
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = rows.select("leaf", "fp").repartition(tasks, "leaf").sortWithinPartitions("leaf")
     return leaves.mapInArrow(_link_leaves(radius), "a long, b long")
 
 

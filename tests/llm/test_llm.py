@@ -486,11 +486,12 @@ def test_near_duplicates_equal_brute_force(spark, data, duck):
     assert pairs(QUERIES["op10_simhash_dedup"](spark, data), "doc_id", "fingerprint", "component_id") == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("leaf,split", [(1500, 4096), (20, 64)])
-def test_trees_find_every_link(spark, monkeypatch, leaf, split):
+@pytest.mark.parametrize("leaf,split,quarters", [(1500, 4096, 4_000_000), (20, 64, 4_000_000), (20, 64, 0)])
+def test_trees_find_every_link(spark, monkeypatch, leaf, split, quarters):
     """Chains, dense balls and strangers, through deep trees and through leaves that split."""
     monkeypatch.setattr(simhash_dedup, "LEAF", leaf)
     monkeypatch.setattr(simhash_dedup, "SPLIT", split)
+    monkeypatch.setattr(simhash_dedup, "QUARTERS_FROM", quarters)
     rng = random.Random(7)
     fps = [rng.getrandbits(64) for _ in range(1500)]
     for _ in range(40):
