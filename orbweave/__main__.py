@@ -41,6 +41,7 @@ def main(argv: list[str] | None = None) -> None:
     reference = volume(spark, a.reference) if a.reference else None
     if a.mode == "run":
         images = spark.read.parquet(a.images)
+        images = reconstruct.reduced(tables.range_scan(images, 0, s.n_images) if s.n_images else images, s)
         state = reconstruct.run(spark, images, tables.detector(spark, *s.reduced_det_shape[1:]), s, reference, a.resume)
         reconstruct.write_outputs(spark, s.out, state)
         print(f"generation {state.generation}, cc {state.cc:.4f}, converged {state.converged}")

@@ -222,7 +222,7 @@ def autocorrelation(rho: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.ifftn(np.abs(np.fft.fftn(rho, axes=_AXES)) ** 2, axes=_AXES))
 
 
-def phase(ac, support, rho, quarter, loops, n_er, n_hio, beta, method="std", weight=1.0, seed=0):
+def phase(ac, support, rho, quarter, loops, n_er, n_hio, beta, method="std", weight=1.0, seed=0, cutoff=0.05):
     """One phasing run of one centred autocorrelation volume: (centred autocorrelation of the density, support, density)."""
     smooth = np.fft.ifftshift(gauss(np.maximum(ac, 0), 1.0, "constant", 2.0))
     amplitude = np.sqrt(np.abs(np.fft.fftn(smooth)))
@@ -241,7 +241,7 @@ def phase(ac, support, rho, quarter, loops, n_er, n_hio, beta, method="std", wei
         for _ in range(n_hio):
             rho = hybrid(beta, rho, amplitude, mask, support)
         rho = reduce(rho)
-        support = shrink_wrap(rho, method, weight)
+        support = shrink_wrap(rho, method, weight, cutoff)
     rho = reduce(rho)
     if np.abs(rho).sum() > 0:
         shift = center_of_mass(rho[None])

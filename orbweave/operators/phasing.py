@@ -102,7 +102,7 @@ def ensemble(spark, ac: np.ndarray, members: int, settings, support: np.ndarray
             for k in b.column(0).to_pylist():
                 got = kernels.phase(
                     ac, support, rho, n // 4, settings.n_phase_loops, settings.n_er, settings.n_hio, settings.beta,
-                    settings.shrinkwrap, 0.5 + k / members, seed + k,
+                    settings.shrinkwrap, 0.5 + k / members, seed + k, settings.cutoff,
                 )
                 positive = got[2][got[2] > 0]
                 counts = np.histogram(positive, BINS)[0].astype(float) if len(positive) else np.zeros(BINS)

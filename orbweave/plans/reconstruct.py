@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, kernels, matching, merging, phasing
+from ..operators import detector, evaluation, kernels, matching, merging, phasing
 from ..sources import mrc
-from ..sources.tables import scratch
+from ..sources.tables import pixels, scratch
 from .settings import Settings
 
 
@@ -69,6 +69,20 @@ def saved_generations(spark: SparkSession, out: str) -> list[int]:
     return sorted(g for g in done if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{checkpoint_path(out, g)}/_SUCCESS")))
 
 
+def reduced(images: DataFrame, s: Settings) -> DataFrame:
+    """Images clipped and binned as the settings say, wide again."""
+    if not s.n_clipping and not s.n_binning:
+        return images
+    panels, rows, cols = s.det_shape
+    px = pixels(images, rows, cols)
+    if s.n_clipping:
+        px = detector.clip(px, s.n_clipping, rows, cols, panels)
+    if s.n_binning:
+        px = detector.bin_pixels(px, s.n_binning, "mean")
+    every = F.array_sort(F.collect_list(F.struct("panel", "r", "c", "v")))  # one image's pixels
+    return px.groupBy("image_id").agg(F.transform(every, lambda x: x["v"]).alias("data"))
+
+
 def positions(det: DataFrame, oversampling: float) -> np.ndarray:
     """3 x pixels, in radians; the detector has a fixed size."""
     rows = det.orderBy("panel", "r", "c").select("qx", "qy", "qz").collect()

@@ -22,7 +22,8 @@ _PLACES = {
 
 @dataclass(frozen=True)
 class Settings:
-    n_images: int = 500
+    #: Images to use; 0 takes all.
+    n_images: int = 0
     workers: int = 4
     out: str = ""
     verbose: bool = False

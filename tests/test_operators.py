@@ -184,3 +184,10 @@ def test_atoms_of_odd_files(spark, tmp_path):
     one = pdb.density(pdb.parse(spark.createDataFrame([(good,)], "value string")), 7, 1.0, 1.0).collect()
     assert len(one) == 343 and max(one, key=lambda r: r["v"])[:3] == (3, 3, 3) and max(r["v"] for r in one) == 8.0
     assert pdb.density(pdb.parse(spark.createDataFrame([], "value string")), 7, 1.0, 1.0).count() == 0
+
+
+def test_reduced_images(spark):
+    images = spark.createDataFrame([(3, [float(x) for x in range(64)])], "image_id long, data array<double>")
+    s = Settings(det_shape=(1, 8, 8), n_clipping=1, n_binning=1)
+    assert R.reduced(images, s).first()["data"] == [22.5, 24.5, 38.5, 40.5] and s.reduced_det_shape == (1, 2, 2)
+    assert R.reduced(images, Settings()).first()["data"][63] == 63
