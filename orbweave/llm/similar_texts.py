@@ -1,8 +1,10 @@
 """Operator 10 for texts of a given similarity: groups of documents that share 0.8 or more of their five-word shingles.
 
-A pair of that similarity has most of its words in common, so SimHashes over the sets of words are close: with FAMILIES
-independent ones, 99 of 100 such pairs are within RADIUS bits in one of them at least (measured in the tests). Those are linked
-through the vantage-point trees, and what hangs together is a candidate component. Within it the exact similarities decide:
+Candidates come from two sides. The minima of the shingles' hashes under BANDS x ROWS functions agree, one by one, as often as
+the similarity says, whatever the edit was (words changed here and there, a passage cut, added or replaced); two texts are linked
+if all ROWS minima of a band agree. A pair at 0.8 has one of BANDS such bands but for a chance of (1 - 0.8^5)^48, 5 in a billion;
+more similar pairs less. Beside that, scattered edits leave the sets of words close: SimHashes over them, FAMILIES of them, are
+linked through the vantage-point trees. What hangs together is a candidate component. Within it the exact similarities decide:
 documents are one group if links of 0.8 or more lead from one to the other.
 
 A component of bounded size is closed in one task. A larger one is closed in rounds: a block of its members is compared with
@@ -21,33 +23,57 @@ from pyspark.sql import functions as F
 from .common import SPACE_WORD, ascii_lower, keep_ids, let, materialise, small_batches, text_or_empty, words
 from .components import connected_components
 from .packing import grouped
-from .shingles import SPACE, mix, word_hashes
+from .shingles import SPACE, mix, shingle_hashes, word_hashes
 from .simhash_dedup import RADIUS, link
 
 SHINGLE = 5
 #: Similarity as a ratio of whole numbers, so that ties are exact.
 LEAST = (4, 5)
 FAMILIES = 6
+#: Minima of a band, and bands: see above.
+ROWS, BANDS = 5, 48
 #: Shingles of a component that one task closes: 16 MB of hashes.
 CLOSED = 2 << 20
 #: Members of a larger component that a round compares with all of it, about.
 BLOCK = 128
 
 _SEEDS = [(0x632BE59BD9B4E019 * (2 * i + 1)) % (1 << 64) for i in range(64)]
+_FACTORS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(_SEEDS[1])) | np.uint64(1)
 
 
-def word_set_prints(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
-    """doc_id, node (a hash of the lower-cased words in order), fps: SimHashes over the document's distinct words."""
+def band_keys(shingle: np.ndarray, owner: np.ndarray, n: int) -> list[list[int]]:
+    """For each of n texts a key for each band, equal where all minima of the band are; none for a text without a shingle.
+
+    shingle: hashes of the shingles of all texts in order (repeats don't matter); owner: the index of each one's text.
+    """
+    has, first = np.unique(owner, return_index=True)
+    keys = np.zeros((len(has), BANDS), dtype=np.uint64)
+    for band in range(BANDS if len(has) else 0):
+        key = np.full(len(has), band, dtype=np.uint64)
+        for f in _FACTORS[band * ROWS : (band + 1) * ROWS]:
+            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(shingle * f, first))
+        keys[:, band] = key
+    found: list[list[int]] = [[] for _ in range(n)]
+    for i, k in zip(has.tolist(), keys.view(np.int64).tolist(), strict=True):
+        found[i] = k
+    return found
+
+
+def prints_of(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
+    """doc_id, node (a hash of the lower-cased words in order), fps: SimHashes over the document's distinct words, bands: keys of
+    its five-word shingles' bands (a text of fewer words has none, as it is only similar to one of the same words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            nodes, prints = [], []
+            nodes, prints, bands = [], [], []
             for texts in grouped(t.as_py() or "" for t in batch.column(1)):
                 raw = [b" ".join(t.encode().lower().split()) for t in texts]
                 nodes += [xxh64_intdigest(t, 42) for t in raw]  # as Spark's xxhash64
-                w, owner = word_hashes(raw, SPACE)
+                w, owner = word_hashes([t.replace(b"\0", b"\1") for t in raw], SPACE)  # 0 is no white space
+                h, whole = shingle_hashes(w, owner, SHINGLE)
+                bands += band_keys(h[whole], owner[: len(h)][whole], len(raw))
                 cut = np.searchsorted(owner, np.arange(len(raw) + 1))
                 for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                     own, each = np.unique(w[a:z]), []
@@ -56,11 +82,18 @@ def word_set_prints(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
                         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                         each.append(int(np.packbits(bits * 2 > len(h), bitorder="little").view("<i8")[0]))
                     prints.append(each)
-            yield pa.record_batch([batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "node", "fps"])
+            yield pa.record_batch([batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(prints, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "fps", "bands"])
 
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fps array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fps array<long>, bands array<long>")
+
+
+def _banded(nodes: DataFrame) -> DataFrame:
+    """Edges a, b from each node to the smallest one that agrees with it in a band. nodes: node, bands."""
+    each = nodes.select("node", F.explode("bands").alias("key"))
+    shared = each.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return each.join(shared, "key").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
 
 
 def node_of(text: Column) -> Column:
@@ -174,15 +207,15 @@ def near_duplicates(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
     Texts of the same words in the same order are one group whatever their case and spacing; so are all texts without a word.
     Null doc_ids don't count as the smallest; a group with none but those has null. Repeated rows stay repeated.
     """
-    prints = materialise(word_set_prints(docs, families), "sets")
-    nodes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fps").alias("fps")), "nodes")
+    prints = materialise(prints_of(docs, families), "sets")
+    nodes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fps").alias("fps"), F.min("bands").alias("bands")), "nodes")
     each = materialise(nodes.select("node", F.posexplode("fps").alias("family", "fp")), "families")
     shared = materialise(each.groupBy("family", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "shared")
     close = link(shared.select("family", "fp"), RADIUS)
     equal = each.join(shared.where("n > 1"), ["family", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
     first = shared.groupBy("fp").agg(F.min("first").alias("first"))
     ends = close.join(first.withColumnsRenamed({"fp": "a", "first": "x"}), "a").join(first.withColumnsRenamed({"fp": "b", "first": "y"}), "b")
-    candidates = materialise(connected_components(equal.union(ends.select("x", "y"))), "candidates")
+    candidates = materialise(connected_components(equal.union(ends.select("x", "y")).union(_banded(nodes))), "candidates")
     # one document speaks for all of the same words
     members = candidates.join(nodes, "node").select("node", F.col("root").alias("component"), F.col("least").alias("doc_id")).where("doc_id is not null")
     members = materialise(members, "members")

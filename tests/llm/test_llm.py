@@ -592,6 +592,48 @@ def test_recall_of_similar_groups_on_driver_documents(spark):
     assert found <= gone and len(found) >= 0.95 * len(gone)
 
 
+def edited_passages(n=120):
+    """Pairs at a shingle similarity from 0.8 on, and some just below: the tail cut, a foreign tail, one passage replaced."""
+    rng = random.Random(4)
+    line = lambda n: [f"v{rng.randint(0, 20_000)}" for _ in range(n)]
+    docs, kinds = [], []
+    for i in range(3 * n):
+        w = line(rng.randint(60, 900))
+        share, kind = rng.uniform(0.78, 0.84), ("cut", "appended", "replaced")[i % 3]
+        if kind == "cut":
+            x = w[: round(share * len(w)) + 1]
+        elif kind == "appended":
+            x = w + line(round(len(w) * (1 / share - 1)))
+        else:
+            gone = round(len(w) * (1 - share) / (1 + share)) - 4
+            at = rng.randint(0, len(w) - max(gone, 1))
+            x = w[:at] + line(max(gone, 1)) + w[at + max(gone, 1) :]
+        docs += [" ".join(w), " ".join(x)]
+        kinds += [kind, kind]
+    return list(enumerate(docs)), kinds
+
+
+def test_cut_added_and_replaced_passages_are_found(spark):
+    docs, kinds = edited_passages()
+    want = brute_similar(docs)
+    got = dict(pairs(similar_texts.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "component_id"))
+    count = lambda x: Counter(kinds[d] for d, c in x.items() if d != c)
+    assert min(count(want).values()) > 60 and len(count(want)) == 3
+    assert count(got) == count(want) and got == want
+
+
+def test_bands_agree_as_often_as_shingles_do():
+    rng = np.random.default_rng(2)
+    hits = []
+    for _ in range(60):
+        x = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+        a, b = similar_texts.band_keys(np.concatenate((x[:450], x[50:])), np.repeat([0, 1], 450), 2)  # 400 of 500
+        hits.append(np.mean(np.array(a) == np.array(b)))
+    assert abs(np.mean(hits) - 0.8**similar_texts.ROWS) < 0.03 and min(hits) > 0
+    assert (1 - 0.8**similar_texts.ROWS) ** similar_texts.BANDS < 1e-8
+    assert similar_texts.band_keys(np.zeros(0, np.uint64), np.zeros(0, int), 2) == [[], []]
+
+
 def test_similar_groups_of_odd_documents(spark):
     out = similar_texts.near_duplicates(odd_docs(spark))
     same_count(out)
