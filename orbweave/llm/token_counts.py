@@ -107,11 +107,15 @@ def count_tokens(docs: DataFrame, kept: list[str], path: str | None = None) -> D
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document arrives with an estimate of a token per four bytes, is revised to its exact count, and goes again if it
-    repeats the text of a document with a smaller doc_id; then the revision is sent once more, which changes nothing."""
+    repeats the text of a document with a smaller doc_id; then the revision is sent once more, which changes nothing.
+
+    So the totals are those of distinct texts. A row without a doc_id comes after those that have one, under a key made from it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     docs = docs.withColumn("estimate", F.ceil(F.octet_length(text_or_empty()) / 4)).withColumn("digest", F.sha2(text_or_empty(), 256))
     counted = materialise(count_tokens(docs, ["doc_id", "source", "lang", "estimate", "digest"]), "counted")
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    unnamed = F.col("doc_id").isNull()
+    counted = counted.withColumns({"unnamed": unnamed, "doc_id": F.coalesce("doc_id", F.xxhash64("source", "lang", "digest"))})
+    first = counted.groupBy("digest").agg(F.min(F.struct("unnamed", "doc_id"))["doc_id"].alias("doc_id"))
     copies = counted.join(first, "doc_id", "left_anti")
     ledger = TokenLedger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
 

@@ -87,6 +87,14 @@ def test_token_counts_of_odd_documents(spark):
     assert token_counts.count_tokens(odd_docs(spark).limit(0), ["doc_id"]).count() == 0
 
 
+def test_token_totals_hold_rows_without_an_id(spark, tmp_path):
+    rows = [(None, "alpha beta", "z"), (1, "alpha beta", "a"), (2, "one", "a"), (None, "gamma", "a"), (None, "gamma", "a"), (None, None, "a"), (None, "one", "b")]
+    spark.createDataFrame([(i, t, s, "en") for i, t, s in rows], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_token_counts"](spark, str(tmp_path))
+    n = token_counts.count_tokens(spark.createDataFrame([("alpha beta",), ("one",), ("gamma",)], "text string"), ["text"]).agg(F.sum("n_tokens")).first()[0]
+    assert pairs(got, "source", "lang", "n_docs", "n_tokens") == [("a", "en", 4, n)]
+
+
 # 2 url filters
 
 
