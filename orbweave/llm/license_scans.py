@@ -1,9 +1,14 @@
 """Operator 3: licence scans by diagonal voting.
 
 All rolling word k-gram hashes of a document are joined to the positions that they have in the templates. A hit at document
-word p and template word o votes for the diagonal p - o; votes are added up by diagonal, neighbouring diagonals (small
-insertions and deletions) are merged, and a span counts once enough of its template is covered. The join confirms the words
-themselves beside their hash, so that a diagonal with all of its votes is an exact occurrence.
+word p and template offset o votes for the diagonal p - o. Each diagonal with a vote opens a span, into which the neighbouring
+diagonals up to DRIFT further on (small insertions) are merged; the span's vote is the number of *distinct* template offsets that
+it hits, so a k-gram that repeats counts once. A span is then verified: the document's words from its first hit to its last are
+compared with the whole template by edit distance over words. Its score is the lesser of the share of offsets hit and the share
+of words that agree, and it counts from COVER on.
+
+The join confirms the words themselves beside their hash, and an exact phrase must have all its votes on one diagonal, so that
+it is an exact occurrence.
 """
 
 from __future__ import annotations
@@ -14,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import ALNUM_WORD, ascii_lower, let, table, text_or_empty, words
 
 K = 2
-#: Diagonals at most this far apart belong to one span.
-MERGE = 2
-#: Share of a template's k-grams that a merged span must cover.
+#: Diagonals of a span lie at most this far apart, all in all.
+DRIFT = 2
+#: Share of a template's k-grams that a span must hit, and of its words that must agree.
 COVER = 0.8
 #: Phrases that count exactly, and their labels.
 PHRASES = [
@@ -55,50 +60,68 @@ def _gram_rows(rows: list[tuple[int, str, str, bool]]) -> list[tuple[str, list[t
     return list(at.items())
 
 
-def _grams(w: Column) -> Column:
-    """(hash, words) of every rolling k-gram of the word array."""
+def _hits(w: Column, known: list[str], most: int) -> Column:
+    """(position, hash, words, the words from there on) of every rolling k-gram of the word array that some template has."""
+
     def one(i: Column) -> Column:
         return F.concat_ws(" ", *[F.get(w, i + j) for j in range(K)])
 
-    hashed = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: let(one(i), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
-    return F.when(F.size(w) >= K, hashed)
+    grams = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.struct(i.alias("pos"), one(i).alias("g")))
+    kept = F.filter(grams, lambda x: x["g"].isin(known))
+    hit = F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["g"]).alias("h"), x["g"].alias("g"), F.slice(w, x["pos"] + 1, most).alias("next")))
+    return F.when(F.size(w) >= K, hit)
+
+
+def _letters(words_: Column, template: Column, alphabet: str) -> Column:
+    """One letter for each word: that of its first place in the template, or the first of the alphabet."""
+    return F.array_join(F.transform(words_, lambda x: F.substring(F.lit(alphabet), F.array_position(template, x).cast("int") + 1, F.lit(1))), "")
 
 
 def scan_licenses(docs: DataFrame, rows: list[tuple[int, str, str, bool]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(spans, documents).
 
-    docs: doc_id, text. spans: one row for each verified span (doc_id, sig, template, label, exact, start, votes, cover,
-    n_words); documents: one row for each document. Null and empty texts have no words and no spans. Equal rows stay as
-    many as they were; documents of one doc_id and different texts are told apart by a hash of the text (``sig``).
-    The templates are a fixed list of a few lines, so the broadcast is bounded.
+    docs: doc_id, text. spans: one row for each verified span (doc_id, sig, template, label, exact, start, votes, score,
+    n_words); spans of one notice that overlap within DRIFT are all given. documents: one row for each document. Null and empty
+    texts have no words and no spans. Equal rows stay as many as they were; documents of one doc_id and different texts are told
+    apart by a hash of the text (``sig``). Very long texts give one row for each hit. The templates are a fixed list of a few
+    lines, so the broadcast is bounded, and a hit carries no more words than the longest of them.
     """
     spark = docs.sparkSession
     rows = templates() if rows is None else rows
-    grams = spark.createDataFrame(_gram_rows(rows), "gram string, hits array<struct<tid:int,off:int>>").withColumn("gram_hash", F.xxhash64("gram"))
+    longest = max((len(p.split(" ")) for _, p, _, _ in rows), default=1)
+    alphabet = "".join(chr(0x4E00 + i) for i in range(longest + 1))
+    found = _gram_rows(rows)
+    grams = spark.createDataFrame(found, "gram string, hits array<struct<tid:int,off:int>>").withColumn("gram_hash", F.xxhash64("gram"))
     names = spark.createDataFrame(
-        [(i, l, e, len(p.split(" ")) - K + 1) for i, p, l, e in rows], "tid int, label string, exact boolean, size int"
+        [(i, l, e, len(p.split(" ")) - K + 1, p.split(" ")) for i, p, l, e in rows], "tid int, label string, exact boolean, size int, template array<string>"
     )
     text = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("sig"), words(ascii_lower(text_or_empty()), ALNUM_WORD).alias("w"))
-    text = text.select("doc_id", "sig", F.size("w").cast("long").alias("n_words"), _grams(F.col("w")).alias("grams"))
-    each = text.select("doc_id", "sig", "n_words", F.posexplode_outer("grams").alias("pos", "x"))
+    text = text.select("doc_id", "sig", F.size("w").cast("long").alias("n_words"), _hits(F.col("w"), [g for g, _ in found], longest + DRIFT).alias("grams"))
+    each = text.select("doc_id", "sig", "n_words", F.posexplode_outer("grams").alias("nth_gram", "x"))
     met = each.join(F.broadcast(grams), (F.col("x.h") == F.col("gram_hash")) & (F.col("x.g") == F.col("gram")), "left")
-    met = met.select("doc_id", "sig", "n_words", "pos", F.posexplode_outer("hits").alias("nth", "hit"))
-    # every row of a document begins at position 0, so these count its repetitions
-    first = F.when((F.coalesce("pos", F.lit(0)) == 0) & (F.coalesce("nth", F.lit(0)) == 0), 1).otherwise(0)
+    met = met.select("doc_id", "sig", "n_words", "nth_gram", F.col("x.pos").alias("pos"), F.col("x.next").alias("next"), F.posexplode_outer("hits").alias("nth", "hit"))
+    # every row of a document begins with one of these, so they count its repetitions
+    first = F.when((F.coalesce("nth_gram", F.lit(0)) == 0) & (F.coalesce("nth", F.lit(0)) == 0), 1).otherwise(0)
     votes = (
         met.groupBy("doc_id", "sig", "n_words", F.col("hit.tid").alias("tid"), (F.col("pos") - F.col("hit.off")).alias("diag"))
-        .agg(F.count("hit").alias("votes"), F.sum(first).alias("firsts"))
+        .agg(F.collect_set("hit.off").alias("offs"), F.min("pos").alias("from"), F.max("pos").alias("to"), F.min_by("next", "pos").alias("next"), F.sum(first).alias("firsts"))
     )
     key = ["doc_id", "sig"]
     votes = votes.withColumn("copies", F.sum("firsts").over(Window.partitionBy(*key)))
-    votes = votes.withColumn("votes", F.expr("cast(votes div copies as long)")).join(F.broadcast(names), "tid", "left")
-    # neighbouring diagonals of a notice form one span; of an exact phrase each diagonal stands alone
-    w = Window.partitionBy(*key, "tid").orderBy("diag")
-    fresh = F.when((F.col("diag") - F.lag("diag").over(w) <= MERGE) & ~F.col("exact"), 0).otherwise(1)
-    votes = votes.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(w))
-    spans = votes.groupBy(*key, "n_words", "copies", "tid", "label", "exact", "size", "span").agg(F.min("diag").alias("start"), F.sum("votes").alias("votes"))
-    spans = spans.withColumn("cover", F.least(F.lit(1.0), F.col("votes") / F.col("size")))
-    sure = F.col("tid").isNotNull() & F.when(F.col("exact"), F.col("votes") >= F.col("size")).otherwise(F.col("cover") >= COVER)
+    votes = votes.join(F.broadcast(names), "tid", "left")
+    # a notice's span takes in the diagonals after its own; an exact phrase stands on its own diagonal
+    near = Window.partitionBy(*key, "tid").orderBy(F.col("diag").cast("long")).rangeBetween(0, DRIFT)
+    mine = lambda own, all_: F.when(F.col("exact"), own).otherwise(all_)
+    spans = votes.select(
+        *key, "n_words", "copies", "tid", "label", "exact", "size", "template", F.col("diag").alias("start"),
+        F.size(F.array_distinct(mine(F.col("offs"), F.flatten(F.collect_list("offs").over(near))))).alias("votes"),
+        (F.max("to").over(near) - F.min("from").over(near) + K).alias("length"),
+        F.min(F.struct("from", "next")).over(near)["next"].alias("next"),
+    )
+    edits = F.levenshtein(_letters(F.slice("next", F.lit(1), F.greatest(F.col("length"), F.lit(0))), F.col("template"), alphabet), _letters(F.col("template"), F.col("template"), alphabet))
+    cover, agree = F.col("votes") / F.col("size"), F.greatest(F.lit(0.0), 1 - edits / F.size("template"))
+    spans = spans.withColumn("score", F.when(F.col("exact"), cover).otherwise(F.least(cover, agree)))
+    sure = F.col("tid").isNotNull() & F.when(F.col("exact"), F.col("votes") >= F.col("size")).otherwise(F.col("score") >= COVER)
     spans = spans.withColumn("sure", F.coalesce(sure, F.lit(False)))
     base = F.col("sure") & F.col("exact")
     documents = spans.groupBy(*key, "n_words", "copies").agg(
@@ -107,10 +130,10 @@ def scan_licenses(docs: DataFrame, rows: list[tuple[int, str, str, bool]] | None
         F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("sure"), F.col("label")))), ",").alias("labels"),
-        F.coalesce(F.round(F.max(F.when(F.col("tid").isNotNull(), F.col("cover"))), 6), F.lit(0.0)).alias("score"),
+        F.coalesce(F.round(F.max("score"), 6), F.lit(0.0)).alias("score"),
     )
     documents = documents.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copies", "copy")
-    return spans.where("sure").drop("sure", "span"), documents
+    return spans.where("sure").select(*key, "n_words", F.col("tid").alias("template"), "label", "exact", "start", "votes", "score"), documents
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,26 +143,34 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     values = ", ".join(f"({i}, '{p}', '{l}', {str(e).lower()})" for i, p, l, e in templates())
+    letters = "_ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    code = lambda x: f"array_to_string(list_transform({x}, lambda z: substr('{letters}', coalesce(list_position(tw, z), 0) + 1, 1)), '')"
     return rf"""
 with t(tid, phrase, label, exact) as (values {values}),
-tw as (select tid, label, exact, string_split(phrase, ' ') as w from t),
-tg as (select tid, label, exact, len(w) - 1 as size, unnest(range(0, len(w) - 1)) as off, w from tw),
-tgram as (select tid, label, exact, size, off, w[off + 1] || ' ' || w[off + 2] as gram from tg),
+tw as (select tid, label, exact, string_split(phrase, ' ') as tw from t),
+tgram as (select tid, off, tw[off + 1] || ' ' || tw[off + 2] as gram from (select tid, unnest(range(0, len(tw) - 1)) as off, tw from tw)),
 d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
-g as (select doc_id, unnest(range(0, len(w) - 1)) as pos, w from d where len(w) > 1),
-gram as (select doc_id, pos, w[pos + 1] || ' ' || w[pos + 2] as gram from g),
-votes as (select doc_id, tid, label, exact, size, pos - off as diag, count(*) as votes from gram join tgram using (gram) group by all),
-marked as (select *, case when not exact and diag - lag(diag) over (partition by doc_id, tid order by diag) <= 2 then 0 else 1 end as fresh from votes),
-numbered as (select *, sum(fresh) over (partition by doc_id, tid order by diag) as span from marked),
-spans as (select doc_id, tid, label, exact, size, span, min(diag) as start, sum(votes) as votes from numbered group by all),
-judged as (select *, least(1.0, votes::double / size) as cover,
-             case when exact then votes >= size else votes::double / size >= 0.8 end as sure from spans),
-per as (select doc_id, count(*) filter (sure and exact) as n_base, min(start) filter (sure and exact) as first_word,
-          max(start) filter (sure and exact) as last_word,
-          string_agg(distinct label, ',' order by label) filter (sure and exact) as base_labels,
-          string_agg(distinct label, ',' order by label) filter (sure) as labels, round(max(cover), 6) as score
-        from judged group by doc_id)
+gram as (select doc_id, pos, w[pos + 1] || ' ' || w[pos + 2] as gram from (select doc_id, unnest(range(0, len(w) - 1)) as pos, w from d where len(w) > 1)),
+hits as (select doc_id, tid, pos, off, pos - off as diag from gram join tgram using (gram)),
+anchors as (select distinct doc_id, tid, exact, diag as start from hits join tw using (tid)),
+spans as (
+  select a.doc_id, a.tid, start, count(distinct off) as votes, min(pos) as p, max(pos) + 2 as q
+  from anchors a join hits h on h.doc_id = a.doc_id and h.tid = a.tid and diag between start and start + case when exact then 0 else {DRIFT} end
+  group by all),
+scored as (
+  select s.doc_id, label, exact, start, votes, len(tw) - 1 as size, votes::double / (len(tw) - 1) as cover,
+         1 - levenshtein({code("w[p + 1 : q]")}, {code("tw")})::double / len(tw) as agree
+  from spans s join tw using (tid) join d on d.doc_id = s.doc_id),
+judged as (
+  select *, case when exact then cover else least(cover, greatest(0, agree)) end as score from scored),
+per as (
+  select doc_id, count(*) filter (exact and votes = size) as n_base, min(start) filter (exact and votes = size) as first_word,
+         max(start) filter (exact and votes = size) as last_word,
+         string_agg(distinct label, ',' order by label) filter (exact and votes = size) as base_labels,
+         string_agg(distinct label, ',' order by label) filter (case when exact then votes = size else score >= {COVER} end) as labels,
+         round(max(score), 6) as score
+  from judged group by doc_id)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
        last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
        coalesce(score, 0.0)::double as score
