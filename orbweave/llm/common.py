@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -39,9 +40,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this application's own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On one machine, where it may be unset, one of this application's own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/orbweave"
@@ -62,24 +65,49 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Ids up to this many (8 MB) are broadcast.
+#: Keys with over one part in HEAVY of all rows; there are fewer than HEAVY of them, so they can be broadcast.
+HEAVY = 10_000
+
+
+def join_counted(rows: DataFrame, names: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` joined to ``names``, which has each key once and the number ``n`` of its rows; ``total`` is at least their sum.
+
+    Keys that hold many rows are joined by broadcast, so none of them lands in one task; the others are shuffled. ``names`` is
+    read three times: write it to a table first.
+    """
+    heavy = names.where(F.col("n") * HEAVY > total).drop("n")
+    light = names.where(F.col("n") * HEAVY <= total).drop("n")
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(heavy), on).unionByName(rest.join(light, on))
+
+
+#: Keys up to this many (some 30 MB) are broadcast.
 BROADCAST_IDS = 1_000_000
 
 
-def _against(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    ids = materialise(ids.distinct(), "ids")
-    small = ids.count() <= BROADCAST_IDS and ids.dtypes[0][1] in ("bigint", "int")
-    return docs.join(F.broadcast(ids) if small else ids, ids.columns[0], how).select(*docs.columns)
+def _against(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    keys = materialise(keys.distinct(), "ids")
+    small = keys.count() <= BROADCAST_IDS and all(t in ("bigint", "int") for _, t in keys.dtypes)
+    return docs.join(F.broadcast(keys) if small else keys, keys.columns, how)
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a key in ``keys`` (columns of both). While the keys are few, the texts aren't shuffled."""
+    return _against(docs, keys, "left_semi")
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a key in ``keys`` (columns of both); rows with a null in it stay."""
+    return _against(docs, keys, "left_anti")
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with an id in the one column of ``ids``. While the ids are few, the texts aren't shuffled."""
-    return _against(docs, ids, "left_semi")
+#: Names of the columns of a row's key.
+ROW_KEY = ["__id_key", "__text_key"]
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without an id in the one column of ``ids``; rows without an id stay."""
-    return _against(docs, ids, "left_anti")
+def row_key(id_col: str = "doc_id", text: Column | None = None) -> list[Column]:
+    """A row's key, never null: hashes of its doc_id and of its text. Rows have the same key if both are the same (a null text counts as an empty one)."""
+    return [F.xxhash64(id_col).alias(ROW_KEY[0]), F.xxhash64(text_or_empty() if text is None else text).alias(ROW_KEY[1])]
 
 
 def remote_files(spark: SparkSession, path: str) -> bool:

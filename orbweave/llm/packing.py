@@ -1,7 +1,7 @@
 """Operator 9: cost-balanced packing of token sequences.
 
-A document's tokens (with a closing id) are cut into pieces of at most LIMIT. Pieces are dealt in turn into buckets of bounded
-size, and every bucket is packed by itself: its pieces go, in descending length, to the sequence with the lowest estimated
+A document's tokens (with a closing id) are cut into pieces of at most LIMIT. Pieces are dealt evenly into buckets of bounded
+size, whatever the number of partitions they come from, and every bucket is packed by itself: its pieces go, in descending length, to the sequence with the lowest estimated
 cost (linear in tokens plus quadratic in a piece's length, as attention stays within a piece) among those with room. A piece
 that fits nowhere is cut at the lowest-cost sequence's end. A bucket opens as few sequences as hold its tokens, so that its
 padding is less than one sequence.
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,8 +95,10 @@ class WordTokenizer:
         return out
 
 
-#: Odd, and near 2^64 over the golden ratio: its multiples are spread evenly over 64 bits.
+#: Odd, and near 2^64 times the fractions of the golden ratio and of the root of 2: their multiples, and sums of them, are spread
+#: evenly over 64 bits. A piece's place is its number in its task times the one plus its task's number times the other.
 _STRIDE = 0x9E3779B97F4A7C15
+_TASK_STRIDE = 0x6A09E667F3BCC909
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -127,7 +130,7 @@ def grouped(texts: Iterator[str], chars: int = 1 << 18) -> Iterator[list[str]]:
 
 def _pieces(path: str, limit: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, nth = tokenizer(path), 0
+        tok, at_task, nth = tokenizer(path), TaskContext.get().partitionId() * _TASK_STRIDE, 0
         for batch in batches:
             at = 0
             for texts in grouped(t.as_py() or "" for t in batch.column(1)):
@@ -139,7 +142,7 @@ def _pieces(path: str, limit: int, n_buckets: int):
                         ids.append(x[s : s + limit].tobytes())
                         total.append(len(x))
                         nth += 1
-                        bucket.append((nth * _STRIDE) % (1 << 64) * n_buckets >> 64)
+                        bucket.append((at_task + nth * _STRIDE) % (1 << 64) * n_buckets >> 64)
                     at += 1
                 yield pa.record_batch(
                     [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64()), pa.array(bucket, pa.int64())],
@@ -200,7 +203,7 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, bucket_by
     docs: doc_id, text. A null or empty text is a document of the closing id alone. Repeated rows are packed as often as they
     occur. An empty table gives no rows. No id is dropped: a document's pieces cover it from 0 to doc_tokens.
 
-    Pieces are dealt to buckets in turn, so no key makes a bucket large. A task that runs again must see its rows in the same
+    Pieces are dealt to buckets by their numbers, so no key makes a bucket large. A task that runs again must see its rows in the same
     order, as it does when ``docs`` is read from files; write the result of a shuffle to a table first.
     """
     total = docs.agg(F.sum(F.octet_length(text_or_empty()) + 1)).first()[0] or 0

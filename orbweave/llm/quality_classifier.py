@@ -4,8 +4,9 @@ A document's features are indicators of hashed byte trigrams, words, word pairs
 by the log ratio of its smoothed counts in the two classes, rows are brought to unit length, and a linear hinge-loss model is
 fitted by dual coordinate descent.
 
-The fit sees a bounded sample of labelled rows: the FIT_ROWS with the smallest hash of doc_id outside the held-out third,
-leaving out texts of over FIT_BYTES bytes. Every text is scored whole.
+The fit sees a bounded sample of labelled rows: of the labelled documents outside the held-out third whose texts have at most
+FIT_BYTES bytes, the FIT_ROWS with the smallest hash of doc_id. So the sample's bound is FIT_ROWS rows of FIT_BYTES bytes, and it
+is full whenever so many such documents exist. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -114,11 +115,15 @@ def _fit_group(group: pa.Table) -> pa.Table:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """The model of a bounded sample. labels: doc_id, quality; several labels of a document count as the worst of them."""
+    """The model of a bounded sample. labels: doc_id, quality; several labels of a document count as the worst of them.
+
+    Labels without a document, and those of longer texts, don't use up the sample. Only ids are shuffled to find it.
+    """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = ids.withColumn("nth", F.xxhash64("doc_id")).orderBy("nth", "doc_id").limit(FIT_ROWS)
     sample = docs.select("doc_id", text_or_empty().alias("text")).where(F.octet_length("text") <= FIT_BYTES)
+    ids = sample.select("doc_id").distinct().join(ids, "doc_id")
+    ids = ids.withColumn("nth", F.xxhash64("doc_id")).orderBy("nth", "doc_id").limit(FIT_ROWS)
     sample = sample.join(F.broadcast(ids), "doc_id").select("text", F.col("quality").cast("int").alias("quality"), "nth")
     # repeated documents would enlarge the sample
     sample = sample.groupBy("nth", "quality").agg(F.min("text").alias("text")).select("text", "quality", "nth")

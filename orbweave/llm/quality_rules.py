@@ -2,8 +2,9 @@
 
 A rule rejects a document whose value exceeds a cutoff. Cutoffs come from labelled holdouts: for every stratum (language) and
 rule, a candidate cutoff is admitted only if the exact binomial upper bound on its false rejections of good documents, at a
-confidence corrected for all (stratum, rule, cutoff) tests (Bonferroni), stays within ALPHA. The lowest admitted cutoff is
-used; a rule with none never rejects. With x of n good documents rejected, the Clopper-Pearson bound at confidence
+confidence corrected for all (stratum, rule, cutoff) tests (Bonferroni), stays within the rule's share of ALPHA. The rules'
+shares add up to ALPHA, so all rules together falsely reject at most ALPHA of a stratum's good documents. The lowest admitted
+cutoff is used; a rule with none never rejects. With x of n good documents rejected, the Clopper-Pearson bound at confidence
 1 - delta is at most alpha exactly when P(Binomial(n, alpha) <= x) <= delta, so that tail is what is computed.
 """
 
@@ -11,13 +12,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORD, let, materialise, table, text_or_empty, words
 
-#: Good documents that each rule may reject at most, as a share, in each stratum.
-ALPHA = 0.01
+#: Good documents of a stratum that all rules together may reject at most, as a share.
+ALPHA = 0.02
 #: Chance that any admitted cutoff of any stratum breaks ALPHA.
 DELTA = 0.05
 RULES = ["symbols_per_word", "dup_line_share", "repeat_word_share", "mean_word_length"]
@@ -27,6 +28,8 @@ CUTOFFS = {
     "repeat_word_share": [0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3],
     "mean_word_length": [6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0],
 }
+#: What one rule may reject.
+RULE_ALPHA = ALPHA / len(RULES)
 N_TESTS = sum(map(len, CUTOFFS.values()))
 WINDOW = 5
 #: Strata up to this many are joined by broadcast.
@@ -117,17 +120,16 @@ def thresholds(measured: DataFrame, labels: DataFrame) -> DataFrame:
     # a value's bucket is the number of cutoffs below it
     bucket = lambda r, v: sum(((F.coalesce(v, F.lit(0.0)) > c).cast("int") for c in CUTOFFS[r]), F.lit(0))
     each = held.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), bucket(r, v).alias("bucket")) for r, v in values().items()])).alias("x"))
-    buckets = each.groupBy("stratum", "x.rule", "x.bucket").agg(F.count("*").alias("n"))
+    buckets = materialise(each.groupBy("stratum", "x.rule", "x.bucket").agg(F.count("*").alias("n")), "buckets")
+    n_strata = buckets.select("stratum").distinct().count()
     grid = spark.createDataFrame([(r, i + 1, float(c)) for r, cs in CUTOFFS.items() for i, c in enumerate(cs)], "rule string, nth int, cutoff double")
     strata = buckets.groupBy("stratum", "rule").agg(F.sum("n").alias("n_good"))
     tests = strata.join(F.broadcast(grid), "rule")
     tests = tests.join(buckets, ["stratum", "rule"]).groupBy("stratum", "rule", "nth", "cutoff", "n_good").agg(
         F.sum(F.when(F.col("bucket") >= F.col("nth"), F.col("n")).otherwise(0)).alias("n_rejected")
     )
-    n_strata = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) / N_TESTS
-    tests = tests.withColumn("n_strata", n_strata)  # a row for each stratum, rule and cutoff: few
-    tail = binomial_tail(F.col("n_rejected").cast("double"), F.col("n_good").cast("double"), ALPHA)
-    admitted = tests.where(tail <= F.lit(DELTA) / (F.lit(float(N_TESTS)) * F.col("n_strata")))
+    tail = binomial_tail(F.col("n_rejected").cast("double"), F.col("n_good").cast("double"), RULE_ALPHA)
+    admitted = tests.where(tail <= DELTA / max(1, N_TESTS * n_strata))
     return admitted.groupBy("stratum", "rule").agg(F.min(F.struct("cutoff", "n_good", "n_rejected")).alias("x")).select("stratum", "rule", "x.*")
 
 
@@ -155,7 +157,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     grid = ", ".join(f"('{r}', {i + 1}, {c}::double)" for r, cs in CUTOFFS.items() for i, c in enumerate(cs))
-    a, b = math.log(ALPHA), math.log1p(-ALPHA)
+    a, b = math.log(RULE_ALPHA), math.log1p(-RULE_ALPHA)
     return rf"""
 with d as (
   select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text,
@@ -182,7 +184,7 @@ tests as (
   select stratum, g.rule, cutoff, count(*) as n, count(*) filter (coalesce(v, 0) > cutoff) as x
   from vals semi join good using (doc_id) join grid g using (rule) group by all),
 judged as (
-  select *, case when x > n * {ALPHA} then 1.0 else list_sum(list_transform(range(0, x + 1), lambda k:
+  select *, case when x > n * {RULE_ALPHA} then 1.0 else list_sum(list_transform(range(0, x + 1), lambda k:
       exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) + k * {a!r} + (n - k) * {b!r}))) end as tail,
     (select count(distinct stratum) from tests) as n_strata from tests),
 cuts as (select stratum, rule, min(cutoff) as cutoff from judged where tail <= {DELTA} / ({N_TESTS} * n_strata) group by all),

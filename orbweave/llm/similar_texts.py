@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, ascii_lower, keep_ids, let, materialise, small_batches, text_or_empty, words
+from .common import SPACE_WORD, ascii_lower, keep_rows, let, materialise, small_batches, text_or_empty, words
 from .components import connected_components
 from .packing import grouped
 from .shingles import SPACE, mix, shingle_hashes, word_hashes
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
     # one document speaks for all of the same words
     members = candidates.join(nodes, "node").select("node", F.col("root").alias("component"), F.col("least").alias("doc_id")).where("doc_id is not null")
     members = materialise(members, "members")
-    texts = keep_ids(docs.select("doc_id", "text"), members.select("doc_id"))
+    texts = keep_rows(docs.select("doc_id", "text"), members.select("doc_id"))
     texts = texts.select(node_of(text_or_empty()).alias("node"), shingles(text_or_empty()).alias("shingles")).dropDuplicates(["node"])
     members = materialise(members.join(texts, "node"), "shingles")
     sizes = members.groupBy("component").agg(F.sum(F.size("shingles")).alias("n"), F.count("*").alias("members"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, packing, personal_data, quality_classifier, similar_texts
-from .common import drop_ids, table
+from .common import drop_rows, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,13 +17,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays. Rows without a doc_id stay as they are."""
     found = similar_texts.near_duplicates(docs.select("doc_id", "text"))
-    return drop_ids(docs, found.where("doc_id != component_id").select("doc_id"))
+    return drop_rows(docs, found.where("doc_id != component_id").select("doc_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = decontamination.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return drop_ids(docs, found.select("doc_id"))
+    return drop_rows(docs, found.select("doc_id"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,6 @@ from llm_cases import odd_docs, pairs, same_count
 from pyspark.sql import functions as F
 
 from orbweave.llm import quality_rules
-from orbweave.llm.queries import QUERIES
 
 
 def test_binomial_tail_is_exact(spark):
@@ -45,8 +44,27 @@ def test_rules_on_odd_documents(spark):
 
 
 def test_false_rejections_stay_within_the_bound(spark):
-    d = "/root/testdata/check_s"
-    kept = QUERIES["op6_quality_rules"](spark, d)
-    good = spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").select("doc_id")
-    r = kept.join(good, "doc_id").where("not base_failed").agg(F.avg((~F.col("kept")).cast("double"))).first()[0]
-    assert r <= len(quality_rules.RULES) * quality_rules.ALPHA
+    """Cutoffs from one half of a table of good documents with scattered values; the other half is what they promise to spare."""
+    value = (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) / (1 << 20)).cast("double")
+    skewed = (F.pow(value, F.lit(300.0)) * 400).cast("long")
+    rows = spark.range(24_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 2).alias("stratum"), F.lit(200).cast("long").alias("n_words"),
+        (F.lit(900) + 3 * skewed).alias("word_chars"), skewed.alias("n_symbols"), (skewed % 60).alias("n_dup_lines"), (skewed % 41).alias("n_repeat_words"), F.lit(100).cast("long").alias("n_lines"),
+    )
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    labels = rows.where(half).select("doc_id", F.lit(1).alias("quality"))
+    cutoffs = quality_rules.thresholds(rows, labels)
+    assert cutoffs.select("stratum").distinct().count() == 2 and cutoffs.where(f"n_rejected > n_good * {quality_rules.RULE_ALPHA}").count() == 0
+    for r in quality_rules.apply_rules(rows.where(~half), cutoffs).where("not base_failed").groupBy("stratum").agg(F.avg((~F.col("kept")).cast("double")).alias("lost")).collect():
+        assert 0 < r["lost"] <= quality_rules.ALPHA
+
+
+def test_few_labels_admit_no_cutoff_and_many_strata_need_no_broadcast(spark, data, monkeypatch):
+    measured = quality_rules.measure(spark.read.parquet(f"{data}/documents.parquet"))
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    assert quality_rules.thresholds(measured, labels).count() == 0
+    cutoffs = spark.createDataFrame([("de", "symbols_per_word", 0.05, 9, 0), ("en", "mean_word_length", 6.0, 9, 0)], "stratum string, rule string, cutoff double, n_good long, n_rejected long")
+    want = pairs(quality_rules.apply_rules(measured, cutoffs), "doc_id", "kept")
+    monkeypatch.setattr(quality_rules, "BROADCAST_STRATA", 0)
+    assert pairs(quality_rules.apply_rules(measured, cutoffs), "doc_id", "kept") == want
+    assert {False, True} == {k for _, k in want}

@@ -1,6 +1,7 @@
 """Tests of packing."""
 
 import numpy as np
+import pytest
 from llm_cases import check_packing, odd_docs
 from pyspark.sql import functions as F
 
@@ -38,3 +39,24 @@ def test_assignment_balances_cost():
     placed = packing.assign(lengths, 2048)
     assert sum(p[2] for p in placed) == lengths.sum() and len({p[3] for p in placed}) == -(-lengths.sum() // 2048)
     assert all(p[4] + p[2] <= 2048 for p in placed)
+
+
+@pytest.mark.parametrize("partitions,rows", [(200, 200), (211, 700), (3, 700)])
+def test_buckets_stay_bounded_whatever_the_partitions(spark, partitions, rows):
+    texts = [f"word{i} " * (150 + i % 100) for i in range(rows)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(partitions, "doc_id")
+    bytes_ = sum(len(t) + 1 for t in texts) // 20
+    packed = packing.pack(docs, bucket_bytes=bytes_)
+    text = F.octet_length("text") * F.col("length") / F.col("doc_tokens")
+    sizes = [r["b"] for r in packed.join(docs, "doc_id").groupBy(F.shiftright("sequence_id", 20).alias("bucket")).agg(F.sum(text).alias("b")).collect()]
+    assert len(sizes) >= 20 and max(sizes) < 2 * bytes_
+
+
+def test_repeated_rows_and_rows_without_an_id_are_packed_each(spark):
+    docs = odd_docs(spark)
+    rows = packing.pack(docs).withColumn("crc", F.crc32("ids")).collect()
+    five = [r for r in rows if r["doc_id"] == 5]
+    assert len(five) == 2 and len({(r["crc"], r["length"], r["doc_tokens"]) for r in five}) == 1 and len({(r["sequence_id"], r["offset"]) for r in five}) == 2
+    none = sorted(r["doc_tokens"] for r in rows if r["doc_id"] is None)
+    assert none[0] == 1 and len(none) == 2 and none[1] > 3
+    assert sum(r["length"] for r in rows if r["doc_id"] == 7) == next(r["doc_tokens"] for r in rows if r["doc_id"] == 7)
