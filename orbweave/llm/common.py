@@ -81,6 +81,12 @@ def join_counted(rows: DataFrame, names: DataFrame, on: list[str], total: int) -
     return rows.join(F.broadcast(heavy), on).unionByName(rest.join(light, on))
 
 
+def join_spread(rows: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` (a table) joined to ``names``, which has each key once, by ``join_counted``; the rows of each key are counted first."""
+    counts = rows.groupBy(*on).agg(F.count("*").alias("n"))
+    return join_counted(rows, materialise(names.join(counts, on), "names"), on, rows.count())
+
+
 #: Keys up to this many (some 30 MB) are broadcast.
 BROADCAST_IDS = 1_000_000
 

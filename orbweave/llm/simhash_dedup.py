@@ -1,11 +1,14 @@
 """Operator 10: near duplicates by SimHash, with fingerprints linked through vantage-point trees.
 
 Two fingerprints within RADIUS bits differ in at most RADIUS // 2 bits on one of their two halves, so a tree over each half
-needs a search radius of one bit instead of three. (Over QUARTERS_FROM fingerprints there are four trees, over quarters: one
-of them agrees in full, the search radius is 0, and no point is copied.) At each level of a tree a vantage point, itself a fingerprint, splits the
-points by Hamming distance into rings; by the triangle inequality two points within the search radius lie at most that far
-apart in distance to the vantage point, so rings that overlap by the radius put every such pair into a ring together, and all
-other branches are pruned. Points near a boundary go to both rings. What reaches a leaf is compared exactly over all 64 bits.
+needs a search radius of one bit instead of three. From PARTS_FROM fingerprints on there is a tree over each choice of parts
+instead: of m parts at most RADIUS differ, so the others agree in full in one choice at least, the search radius is 0, and no
+point is copied within a tree; m grows with the number of fingerprints, so that what agrees by chance stays small.
+
+At each level of a tree a vantage point, itself a fingerprint, splits the points by Hamming distance into rings; by the triangle
+inequality two points within the search radius lie at most that far apart in distance to the vantage point, so rings that
+overlap by the radius put every such pair into a ring together, and all other branches are pruned. Points near a boundary go to
+both rings. What reaches a leaf is compared exactly over all 64 bits.
 
 A leaf returns the edges of a spanning star for each of its local components, never all its pairs: a leaf of n fingerprints
 gives fewer than n rows, while the components of all leaves together are those of all links. Equal fingerprints are one node.
@@ -13,6 +16,7 @@ gives fewer than n rows, while the components of all leaves together are those o
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -21,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table
+from .common import join_counted, materialise, small_batches, table
 from .components import connected_components
 
 RADIUS = 3
 SHINGLE = 3
 #: Ring width. 3 prunes most for each copy of a point that it makes.
 WIDTH = 3
-#: From so many fingerprints on, copies of points cost more than the comparisons that halves save over quarters.
-QUARTERS_FROM = 4_000_000
+#: From so many fingerprints on, copies of points within trees over halves cost more than further trees over parts.
+PARTS_FROM = 4_000_000
+#: What it costs to bring a fingerprint to a leaf, in comparisons within a leaf.
+COPY = 200
 #: Comparisons that a point meets in the leaves of a tree, about; deeper trees make fewer and copy more.
 LEAF = 1500
 #: Leaves over this many points are split further, inside their task, by vantage points of their own.
@@ -69,8 +75,27 @@ def fingerprint(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _rings(part: Column, vantage: int, radius: int) -> Column:
-    d = F.bit_count(part.bitwiseXOR(F.lit(vantage)))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _parts(n: float, radius: int) -> int:
+    """Into how many parts n fingerprints are cut: for each choice of ``radius`` of m parts there is a tree over the bits of the others."""
+    return min(range(radius + 1, radius + 4), key=lambda m: math.comb(m, radius) * (COPY + n / 2 ** (64 * (m - radius) / m)))
+
+
+def _trees(n: float, radius: int) -> tuple[list[int], int]:
+    """(the bits that each tree looks at, its search radius)."""
+    if n < PARTS_FROM:
+        return [(1 << 32) - 1, (1 << 32) - 1 << 32], radius // 2
+    m = _parts(n, radius)
+    edges = [64 * i // m for i in range(m + 1)]
+    part = [(1 << z) - (1 << a) for a, z in itertools.pairwise(edges)]
+    return [sum(x) for x in itertools.combinations(part, m - radius)], 0
+
+
+def _rings(fp: Column, bits: Column, vantage: int, radius: int) -> Column:
+    d = F.bit_count(fp.bitwiseXOR(F.lit(vantage)).bitwiseAND(bits))
     if not radius:
         return F.array(d)
     k = F.floor(d / WIDTH).cast("int")
@@ -124,27 +149,27 @@ def _leaf_links(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.n
 def _link_leaves(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by leaf; a leaf may run over several batches."""
-        held_leaf, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held_leaf, held = None, []
 
-        def close(leaf: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cut = np.nonzero(np.diff(leaf))[0] + 1
-            made = []
-            for part in np.split(fp, cut):
-                if len(part) > 1:
-                    made += _leaf_links(np.unique(part.view(np.uint64)), radius)
+        def close() -> list[tuple[np.ndarray, np.ndarray]]:
+            points = np.unique(np.concatenate(held).view(np.uint64)) if held else []
+            return list(_leaf_links(points, radius)) if len(points) > 1 else []
+
+        def edges(made: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             if made:
                 a, b = (np.concatenate(x).view(np.int64) for x in zip(*made, strict=True))
                 yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            leaf = np.concatenate((held_leaf, batch.column(0).to_numpy()))
-            fp = np.concatenate((held, batch.column(1).to_numpy()))
-            last = int(np.searchsorted(leaf, leaf[-1])) if len(leaf) else 0
-            held_leaf, held = leaf[last:], fp[last:]
-            if last:
-                yield from close(leaf[:last], fp[:last])
-        if len(held):
-            yield from close(held_leaf, held)
+            leaf, fp, made = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+            cut = np.nonzero(np.diff(leaf))[0] + 1
+            for part in (x for x in zip(np.split(leaf, cut), np.split(fp, cut), strict=True) if len(x[0])):
+                if part[0][0] != held_leaf:
+                    made += close()
+                    held_leaf, held = part[0][0], []
+                held.append(part[1])
+            yield from edges(made)
+        yield from edges(close())
 
     return run
 
@@ -156,19 +181,14 @@ def link(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     family = ["family"] if "family" in nodes.columns else []
     n = nodes.count() / max(1, nodes.select(*family).distinct().count() if family else 1)
-    trees = 2 if n < QUARTERS_FROM else 4
-    bits, search = 64 // trees, radius // trees
-    mask = (1 << bits) - 1
+    trees, search = _trees(n, radius)
     # of the about 10 distances that occur on a half, a ring of WIDTH + 1 holds half of the points; without overlap it holds a seventh
     depth = max(1, math.ceil(math.log(max(n, 2) / LEAF) / math.log(1 / 0.53 if search else 1 / 0.2))) if n > LEAF else 1
     vantages = [r["fp"] for r in nodes.orderBy(F.xxhash64("fp", F.lit(SEED))).limit(depth).collect()]
-    parts = F.array(*[F.struct(F.lit(i).alias("tree"), F.shiftrightunsigned("fp", bits * i).bitwiseAND(F.lit(mask)).alias("part")) for i in range(trees)])
-    rows = nodes.select("fp", *family, F.explode(parts).alias("t")).select("fp", F.col("t.part").alias("part"), F.xxhash64("t.tree", *family).alias("leaf"), "t.tree")
+    rows = nodes.select("fp", *family, F.explode(F.array(*[F.lit(_signed(t)) for t in trees])).alias("bits")).select("fp", "bits", F.xxhash64("bits", *family).alias("leaf"))
     for v in vantages:
-        rings = F.lit(None)
-        for i in range(trees):
-            rings = F.when(F.col("tree") == i, _rings(F.col("part"), v >> bits * i & mask, search)).otherwise(rings)
-        rows = rows.select("fp", "part", "tree", "leaf", F.explode(rings).alias("ring")).withColumn("leaf", F.xxhash64("leaf", "ring")).drop("ring")
+        rows = rows.select("fp", "bits", "leaf", F.explode(_rings(F.col("fp"), F.col("bits"), v, search)).alias("ring"))
+        rows = rows.select("fp", "bits", F.xxhash64("leaf", "ring").alias("leaf"))
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = rows.select("leaf", "fp").repartition(tasks, "leaf").sortWithinPartitions("leaf")
     return leaves.mapInArrow(_link_leaves(radius), "a long, b long")
@@ -178,17 +198,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """doc_id, fp, component_id for every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id that can be reached over links (null doc_ids don't count: a component with none but
-    those has null). Repeated rows stay repeated. An empty table gives no rows.
+    those has null). Null, empty and blank texts have the fingerprint zero; very long texts are read whole. Repeated rows stay
+    repeated; other columns are ignored. An empty table gives no rows.
     """
     prints = materialise(fingerprint(docs, shingle), "prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = materialise(connected_components(link(nodes.select("fp"), radius)), "roots")
     # only fingerprints with a link need more than their own smallest doc_id
-    linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    moved = linked.join(least, "root").select("fp", "component")
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    linked = materialise(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least"), "linked")
+    least = materialise(linked.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n")), "least")
+    moved = join_counted(linked, least, ["root"], linked.count()).select("fp", "component")
+    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "n")
+    return join_counted(prints, materialise(named, "named"), ["fp"], prints.count()).select("doc_id", "fp", "component_id")
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, ascii_lower, keep_rows, let, materialise, small_batches, text_or_empty, words
+from .common import ROW_KEY, SPACE_WORD, ascii_lower, drop_rows, join_counted, join_spread, keep_rows, let, materialise, row_key, small_batches, text_or_empty, words
 from .components import connected_components
 from .packing import grouped
 from .shingles import SPACE, mix, shingle_hashes, word_hashes
@@ -34,8 +34,10 @@ FAMILIES = 6
 ROWS, BANDS = 5, 48
 #: Shingles of a component that one task closes: 16 MB of hashes.
 CLOSED = 2 << 20
-#: Members of a larger component that a round compares with all of it, about.
+#: Members of a larger component that a round compares with all of it, about; fewer where they have more than CLOSED shingles.
 BLOCK = 128
+#: Tasks that share the members of a large component.
+SALTS = 16
 
 _SEEDS = [(0x632BE59BD9B4E019 * (2 * i + 1)) % (1 << 64) for i in range(64)]
 _FACTORS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(_SEEDS[1])) | np.uint64(1)
@@ -60,7 +62,7 @@ def band_keys(shingle: np.ndarray, owner: np.ndarray, n: int) -> list[list[int]]
 
 
 def prints_of(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
-    """doc_id, node (a hash of the lower-cased words in order), fps: SimHashes over the document's distinct words, bands: keys of
+    """doc_id, the row's key, node (a hash of the lower-cased words in order), fps: SimHashes over the document's distinct words, bands: keys of
     its five-word shingles' bands (a text of fewer words has none, as it is only similar to one of the same words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +70,7 @@ def prints_of(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
 
         for batch in batches:
             nodes, prints, bands = [], [], []
-            for texts in grouped(t.as_py() or "" for t in batch.column(1)):
+            for texts in grouped(t.as_py() or "" for t in batch.column("text")):
                 raw = [b" ".join(t.encode().lower().split()) for t in texts]
                 nodes += [xxh64_intdigest(t, 42) for t in raw]  # as Spark's xxhash64
                 w, owner = word_hashes([t.replace(b"\0", b"\1") for t in raw], SPACE)  # 0 is no white space
@@ -82,18 +84,19 @@ def prints_of(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
                         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                         each.append(int(np.packbits(bits * 2 > len(h), bitorder="little").view("<i8")[0]))
                     prints.append(each)
-            yield pa.record_batch([batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(prints, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "fps", "bands"])
+            yield pa.record_batch([*batch.columns[:3], pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(prints, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", *ROW_KEY, "node", "fps", "bands"])
 
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fps array<long>, bands array<long>")
+    return docs.select("doc_id", *row_key(), "text").mapInArrow(run, f"doc_id {kind}, {' long, '.join(ROW_KEY)} long, node long, fps array<long>, bands array<long>")
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
     """Edges a, b from each node to the smallest one that agrees with it in a band. nodes: node, bands."""
     each = nodes.select("node", F.explode("bands").alias("key"))
-    shared = each.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return each.join(shared, "key").where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    shared = materialise(each.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1"), "bands")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_counted(each, shared, ["key"], total).where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
 
 
 def node_of(text: Column) -> Column:
@@ -167,10 +170,12 @@ def _closed(members: DataFrame) -> DataFrame:
 
 
 def _close_in_rounds(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Edges within components too large for a task. sizes: component, members."""
+    """Edges within components too large for a task. sizes: component, members, n (shingles)."""
     spark = members.sparkSession
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("members") / BLOCK))
-    members = materialise(members.join(sizes.select("component", "blocks"), "component"), "large")
+    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("n") / CLOSED)))
+    sizes = materialise(sizes.select("component", "blocks", F.col("members").alias("n")), "blocks")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = materialise(join_counted(members, sizes, ["component"], total), "large")
     rounds = members.agg(F.max("blocks")).first()[0] or 0
     edges = spark.createDataFrame([], "a long, b long")
     open_ = sizes.select("component")
@@ -188,7 +193,8 @@ def _close_in_rounds(members: DataFrame, sizes: DataFrame) -> DataFrame:
             both = F.size(F.array_intersect("shingles", p["shingles"]))
             return both * LEAST[1] >= LEAST[0] * (F.size("shingles") + F.size(p["shingles"]) - both)
 
-        met = live.join(block_rows, "component")
+        salted = block_rows.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        met = live.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")).join(salted, ["component", "salt"])
         near = F.array_distinct(F.transform(F.filter("block", like), lambda p: p["name"]))
         met = met.select(F.col("node").alias("a"), F.explode(near).alias("b")).where("a != b")
         edges = materialise(edges.union(inner).union(met).distinct(), "edges")
@@ -201,27 +207,29 @@ def _close_in_rounds(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
-    """doc_id, component_id for every row of ``docs`` (doc_id, text): the smallest doc_id of its group.
+def groups(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
+    """doc_id, the row's key, and keeper for every row of ``docs`` (doc_id, text): the row that stands for its group.
 
-    Texts of the same words in the same order are one group whatever their case and spacing; so are all texts without a word.
-    Null doc_ids don't count as the smallest; a group with none but those has null. Repeated rows stay repeated.
+    keeper: none (its doc_id is null), doc_id and the key of the group's row with the smallest doc_id, then the smallest key.
     """
     prints = materialise(prints_of(docs, families), "sets")
-    nodes = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fps").alias("fps"), F.min("bands").alias("bands")), "nodes")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW_KEY)
+    nodes = prints.groupBy("node").agg(F.min(own).alias("least"), F.min("fps").alias("fps"), F.min("bands").alias("bands"), F.count("*").alias("n"))
+    nodes = materialise(nodes, "nodes")
     each = materialise(nodes.select("node", F.posexplode("fps").alias("family", "fp")), "families")
     shared = materialise(each.groupBy("family", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "shared")
-    close = link(shared.select("family", "fp"), RADIUS)
-    equal = each.join(shared.where("n > 1"), ["family", "fp"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    close = materialise(link(shared.select("family", "fp"), RADIUS), "close")
+    equal = join_counted(each, shared.where("n > 1"), ["family", "fp"], each.count()).select(F.col("node").alias("a"), F.col("first").alias("b"))
     first = shared.groupBy("fp").agg(F.min("first").alias("first"))
-    ends = close.join(first.withColumnsRenamed({"fp": "a", "first": "x"}), "a").join(first.withColumnsRenamed({"fp": "b", "first": "y"}), "b")
+    ends = materialise(join_spread(close, first.withColumnsRenamed({"fp": "a", "first": "x"}), ["a"]), "ends")
+    ends = join_spread(ends, first.withColumnsRenamed({"fp": "b", "first": "y"}), ["b"])
     candidates = materialise(connected_components(equal.union(ends.select("x", "y")).union(_banded(nodes))), "candidates")
     # one document speaks for all of the same words
-    members = candidates.join(nodes, "node").select("node", F.col("root").alias("component"), F.col("least").alias("doc_id")).where("doc_id is not null")
+    members = candidates.join(nodes, "node").select("node", F.col("root").alias("component"), *[F.col(f"least.{k}").alias(k) for k in ROW_KEY])
     members = materialise(members, "members")
-    texts = keep_rows(docs.select("doc_id", "text"), members.select("doc_id"))
+    texts = keep_rows(docs.select("text", *row_key()), members.select(*ROW_KEY))
     texts = texts.select(node_of(text_or_empty()).alias("node"), shingles(text_or_empty()).alias("shingles")).dropDuplicates(["node"])
-    members = materialise(members.join(texts, "node"), "shingles")
+    members = materialise(members.drop(*ROW_KEY).join(texts, "node"), "shingles")
     sizes = members.groupBy("component").agg(F.sum(F.size("shingles")).alias("n"), F.count("*").alias("members"))
     sizes = materialise(sizes, "sizes")
     large = sizes.where(F.col("n") > CLOSED)
@@ -231,8 +239,36 @@ def near_duplicates(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
     else:
         edges = _closed(members)
     roots = materialise(connected_components(edges), "roots")
-    linked = nodes.join(roots, "node").select("node", "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    moved = linked.join(least, "root").select("node", "component")
-    named = nodes.join(moved, "node", "left").select("node", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(named, "node").select("doc_id", "component_id")
+    linked = materialise(nodes.join(roots, "node").select("node", "root", "least"), "linked")
+    least = materialise(linked.groupBy("root").agg(F.min("least").alias("keeper"), F.count("*").alias("n")), "least")
+    moved = join_counted(linked, least, ["root"], linked.count()).select("node", "keeper")
+    named = nodes.join(moved, "node", "left").select("node", F.coalesce("keeper", "least").alias("keeper"), "n")
+    named = join_counted(prints.select("doc_id", *ROW_KEY, "node"), materialise(named, "named"), ["node"], prints.count())
+    return named.select("doc_id", *ROW_KEY, "keeper")
+
+
+def near_duplicates(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
+    """doc_id, component_id for every row of ``docs`` (doc_id, text): the smallest doc_id of its group.
+
+    Texts of the same words in the same order are one group whatever their case and spacing; so are all null, empty and blank
+    texts. Null doc_ids don't count as the smallest; a group with none but those has null. Repeated rows stay repeated; other
+    columns are ignored; very long texts are compared whole. An empty table gives no rows.
+    """
+    return groups(docs, families).select("doc_id", F.col("keeper.doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their groups, one of each: that with the smallest doc_id (null counts as the largest), then the smallest key.
+
+    A row is known by its doc_id and its text, so one doc_id with several texts loses none of them to another's group; of equal
+    rows one is kept.
+    """
+    keys = groups(docs).groupBy(*ROW_KEY).agg(F.first("keeper").alias("keeper"), F.count("*").alias("n"))
+    own = (F.col(ROW_KEY[0]) == F.col(f"keeper.{ROW_KEY[0]}")) & (F.col(ROW_KEY[1]) == F.col(f"keeper.{ROW_KEY[1]}"))
+    keys = materialise(keys.select(*ROW_KEY, own.alias("keeps"), "n"), "keys")
+    keyed = docs.select("*", *row_key())
+    left = drop_rows(keyed, keys.where("not keeps").select(*ROW_KEY))
+    repeated = keys.where("keeps and n > 1").select(*ROW_KEY)
+    if repeated.take(1):
+        left = drop_rows(left, repeated).unionByName(keep_rows(left, repeated).dropDuplicates(ROW_KEY))
+    return left.select(*docs.columns)

@@ -8,6 +8,8 @@ import pytest
 import xxhash
 from llm_cases import odd_docs, pairs, same_count
 
+from pyspark.sql import functions as F
+
 from orbweave.llm import components, simhash_dedup
 from orbweave.llm.queries import QUERIES
 
@@ -44,12 +46,14 @@ def test_near_duplicates_equal_brute_force(spark, data, duck):
     assert pairs(QUERIES["op10_simhash_dedup"](spark, data), "doc_id", "fingerprint", "component_id") == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("leaf,split,quarters", [(1500, 4096, 4_000_000), (20, 64, 4_000_000), (20, 64, 0)])
-def test_trees_find_every_link(spark, monkeypatch, leaf, split, quarters):
-    """Chains, dense balls and strangers, through deep trees and through leaves that split."""
+@pytest.mark.parametrize("leaf,split,parts", [(1500, 4096, None), (20, 64, None), (20, 64, 4), (20, 64, 5), (20, 4096, 6)])
+def test_trees_find_every_link(spark, monkeypatch, leaf, split, parts):
+    """Chains, dense balls and strangers, through deep trees, trees over parts, and leaves that split."""
+    if parts:
+        monkeypatch.setattr(simhash_dedup, "_parts", lambda n, radius: parts)
     monkeypatch.setattr(simhash_dedup, "LEAF", leaf)
     monkeypatch.setattr(simhash_dedup, "SPLIT", split)
-    monkeypatch.setattr(simhash_dedup, "QUARTERS_FROM", quarters)
+    monkeypatch.setattr(simhash_dedup, "PARTS_FROM", 0 if parts else 4_000_000)
     rng = random.Random(7)
     fps = [rng.getrandbits(64) for _ in range(1500)]
     for _ in range(40):
@@ -64,7 +68,7 @@ def test_trees_find_every_link(spark, monkeypatch, leaf, split, quarters):
     root = brute_components(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     edges = simhash_dedup.link(spark.createDataFrame([(f,) for f in signed], "fp long"))
-    assert edges.count() < 4 * len(fps)
+    assert edges.count() < (20 if parts else 4) * len(fps)
     at = {f: i for i, f in enumerate(signed)}
     label = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
     groups = lambda ids: sorted(sorted(g) for g in ids.values() if len(g) > 1)
@@ -89,3 +93,25 @@ def test_near_duplicates_of_odd_documents(spark):
     got = {(r["doc_id"], r["fp"]): r["component_id"] for r in out.collect()}
     assert got[1, 0] == got[2, 0] == got[3, 0] == got[None, 0] == 1 and {v for (d, _), v in got.items() if d in (5, 6)} == {5}
     assert simhash_dedup.near_duplicates(odd_docs(spark).limit(0)).count() == 0
+
+
+def test_trees_over_parts_grow_with_the_fingerprints():
+    assert [simhash_dedup._parts(n, 3) for n in (4e6, 1e9, 1e11)] == [4, 5, 6]
+    for n in (1e3, 1e7, 1e9, 1e12):
+        trees, search = simhash_dedup._trees(n, 3)
+        rng = random.Random(1)
+        for _ in range(200):
+            apart = sum(1 << b for b in rng.sample(range(64), 3))
+            assert min((apart & t).bit_count() for t in trees) <= search
+
+
+def test_hot_fingerprints_join_by_broadcast(spark, monkeypatch):
+    from orbweave.llm import common
+
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    names = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    want = pairs(rows.join(names.drop("n"), "k"), "k", "id", "first")
+    for heavy in (10_000, 10, 1):
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        assert pairs(common.join_counted(rows, names, ["k"], 1000), "k", "id", "first") == want
+        assert pairs(common.join_spread(rows, names.drop("n"), ["k"]), "k", "id", "first") == want

@@ -1,6 +1,6 @@
 """Tests of the pipeline."""
 
-from llm_cases import check_packing, odd_docs
+from llm_cases import check_packing, odd_docs, pairs
 from pyspark.sql import functions as F
 
 from orbweave.llm import personal_data, stages
@@ -38,5 +38,30 @@ def test_pipeline_stages_on_odd_documents(spark, data):
         assert stage(spark, docs, data).columns == docs.columns
         assert stage(spark, docs.limit(0), data).count() == 0
     kept = stages.near_duplicates(spark, docs, data)
-    assert kept.where("doc_id in (2, 3, 6)").count() == 0 and kept.where("doc_id is null").count() == 2
+    assert kept.where("doc_id in (2, 3, 6)").count() == 0 and kept.where("doc_id is null").count() == 1 and kept.where("doc_id = 5").count() == 1
     assert stages.decontaminate(spark, docs, data).count() == 12
+    packed = stages.pack(spark, docs, data)
+    assert packed.select("doc_id").distinct().count() == 10 and stages.pack(spark, docs.limit(0), data).count() == 0
+
+
+def test_rows_are_dropped_by_text_and_id(spark, data):
+    line = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, line("a")), (5, line("a")), (5, line("b")), (7, line("c")), (7, line("c")), (None, line("d")), (None, line("d") + " x"), (None, line("e"))]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, keeper string")
+    kept = stages.near_duplicates(spark, docs, data)
+    assert pairs(kept.where("doc_id is not null"), "doc_id", "text") == sorted([(1, line("a")), (5, line("b")), (7, line("c"))], key=repr)
+    assert {r["text"][:2] for r in kept.where("doc_id is null").collect()} == {"d0", "e0"} and kept.count() == 5
+    item = spark.read.parquet(f"{data}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(None, f"x {item} y"), (None, "clean text of no item"), (3, f"x {item} y"), (3, "another clean text")], "doc_id long, text string")
+    assert {r["text"] for r in stages.decontaminate(spark, docs, data).collect()} == {"clean text of no item", "another clean text"}
+
+
+def test_run_equals_its_stages(spark, data):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, data)
+    got = corpus_pipeline.run(spark, data)
+    assert got.columns == docs.columns
+    assert pairs(got.groupBy("doc_id").agg(F.sum("length").alias("n")), "doc_id", "n") == pairs(docs.groupBy("doc_id").agg(F.sum("length").alias("n")), "doc_id", "n")
