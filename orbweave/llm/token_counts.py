@@ -2,7 +2,10 @@
 
 Changes come in batches of inserts, deletes and revised counts. A batch is turned into signed rows: what a document counted so
 far is taken back, what it counts now is added. The signed rows are summed by source, language and tokenizer version, and the
-totals are the sums over all committed batches, so a batch costs what it changes and not what is already counted.
+totals are the sums over all committed batches.
+
+What a document counted so far is found in the ledger, which lies in BUCKETS folders by a hash of the document. A batch reads
+those that its own documents fall into: all of them for a large batch, a share of 1 / BUCKETS for each document of a small one.
 
 A batch is committed by its marker, written last. A batch that is committed already changes nothing; one that was broken off
 before its marker is invisible, and running it again overwrites what it left.
@@ -15,24 +18,30 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, remote_files, shared_dir, small_batches, table, text_or_empty
 from .packing import grouped
 
 KEYS = ["source", "lang", "tokenizer"]
+#: Folders of the ledger. A ledger keeps the number that it was begun with.
+BUCKETS = 64
 TOKENIZER = "byte_bpe_50k"
 
 
+def bucket_of(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
 class TokenLedger:
     """Signed token counts under a folder that all executors share.
 
-    ledger/batch=N: doc_id, source, lang, tokenizer, docs (1 or -1), tokens (signed). totals/batch=N: their sums by source,
+    ledger/batch=N/bucket=K: doc_id, source, lang, tokenizer, docs (1 or -1), tokens (signed). totals/batch=N: their sums by source,
     lang and tokenizer. commits/batch=N: the marker.
     """
 
-    LEDGER = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, batch long"
+    LEDGER = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, batch long, bucket int"
     TOTALS = "source string, lang string, tokenizer string, docs long, tokens long, batch long"
 
     def __init__(self, spark: SparkSession, path: str):
@@ -48,9 +57,11 @@ class TokenLedger:
     def committed(self, batch: int) -> bool:
         return remote_files(self.spark, f"{self.path}/commits/batch={batch}/_SUCCESS")
 
-    def current(self) -> DataFrame:
-        """doc_id, source, lang, tokenizer, tokens of every counted document."""
+    def current(self, buckets: list[int] | None = None) -> DataFrame:
+        """doc_id, source, lang, tokenizer, tokens of every counted document, or of those in some of the buckets; only these are read."""
         rows = self._read("ledger", self.LEDGER).withColumn("each", F.abs("tokens"))
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets))
         net = rows.groupBy("doc_id", *KEYS, "each").agg(F.sum("docs").alias("docs"))
         return net.where("docs > 0").select("doc_id", *KEYS, F.col("each").alias("tokens"))
 
@@ -68,12 +79,14 @@ class TokenLedger:
         known = changes.where("doc_id is not null and tokenizer is not null and op in ('insert', 'revise', 'delete')")
         tokens = F.greatest(F.coalesce(F.col("tokens").cast("long"), F.lit(0)), F.lit(0)).alias("tokens")
         last = known.groupBy("doc_id", "tokenizer").agg(F.max(F.struct("seq", "op", tokens, "source", "lang")).alias("x"))
-        new = last.select("doc_id", "x.source", "x.lang", "tokenizer", "x.op", "x.tokens")
+        new = materialise(last.select("doc_id", "x.source", "x.lang", "tokenizer", "x.op", "x.tokens", bucket_of("doc_id")), "changes")
+        buckets = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most BUCKETS
         plus = new.where("op != 'delete'").select("doc_id", *KEYS, F.lit(1).cast("long").alias("docs"), "tokens")
-        old = self.current().join(new.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
+        old = self.current(buckets).join(new.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
         minus = old.select("doc_id", *KEYS, F.lit(-1).cast("long").alias("docs"), (-F.col("tokens")).alias("tokens"))
         # a batch that changes a document to what it was nets out in the sums
-        plus.union(minus).write.mode("overwrite").parquet(f"{self.path}/ledger/batch={batch}")
+        rows = plus.union(minus).withColumn("bucket", bucket_of("doc_id")).repartition("bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/ledger/batch={batch}")
         written = self.spark.read.schema(self.LEDGER).parquet(f"{self.path}/ledger/batch={batch}")
         sums = written.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch}")
@@ -106,10 +119,12 @@ def count_tokens(docs: DataFrame, kept: list[str], path: str | None = None) -> D
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document arrives with an estimate of a token per four bytes, is revised to its exact count, and goes again if it
-    repeats the text of a document with a smaller doc_id; then the revision is sent once more, which changes nothing.
+    """Every document arrives with an estimate of a token per four bytes and is revised to its exact count. Those that repeat the
+    text of a document with a smaller doc_id are deleted and inserted again; then the revision is sent once more, which changes
+    nothing. So the totals are those of all documents.
 
-    So the totals are those of distinct texts. A row without a doc_id comes after those that have one, under a key made from it."""
+    A document is known by its doc_id; rows without one by their source, language and text. Repeated rows of either count once.
+    Of rows with one doc_id and different contents, that with the largest count stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     docs = docs.withColumn("estimate", F.ceil(F.octet_length(text_or_empty()) / 4)).withColumn("digest", F.sha2(text_or_empty(), 256))
     counted = materialise(count_tokens(docs, ["doc_id", "source", "lang", "estimate", "digest"]), "counted")
@@ -125,5 +140,6 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch(1, "insert", counted, "estimate")
     batch(2, "revise", counted, "n_tokens")
     batch(3, "delete", copies, "n_tokens")
+    batch(4, "insert", copies, "n_tokens")
     batch(2, "revise", counted, "n_tokens")
     return ledger.totals()

@@ -1,11 +1,13 @@
 """Operator 2: allow and block rules over URLs.
 
 Every URL is expanded into host-suffix and path-prefix expressions, the expressions meet the rules in an equi-join on a
-short prefix of their SHA-256, and the survivors are confirmed on the full digest, on the rest of the rule's path and by
-rule precedence (the longest rule wins, then the one with the longer host, then ``block``).
+short prefix of their SHA-256, and the survivors are confirmed on the full digest and by rule precedence (the longest rule wins,
+then the one with the longer host, then ``block``).
 
-A rule's path is cut after its last ``/``; the URL side holds one expression for each of its host suffixes and each of its
-path's slash positions, so the join is exact for every rule path, not only for those that end in ``/``.
+A URL has only the expressions whose number of host labels and of slashes some rule has, so what it expands to is bounded by the
+rules' shapes and not by its own length, and each expression is a row of its own. A rule's path is cut after its last ``/``: the
+first join finds the rules' directories, and the lengths of what rules have beyond them; the second one the whole rules. So the
+join is exact for every rule path, not only for those that end in ``/``, and no directory brings its rules into one row.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, join_counted, materialise, table
 
 #: Fixed values of the query: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -38,18 +40,33 @@ def _short(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def _expressions(host: Column, path: Column) -> Column:
-    """Array of (host suffix, path up to and with a slash), the empty path included."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    parts = F.split(path, "/")
-    k = F.size(parts)
-    prefixes = F.transform(
-        F.sequence(F.lit(0), k - 1),
-        lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))),
-    )
-    return F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("h"), p.alias("p"))))))
+def _count(text: Column, sign: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+
+
+#: A shape (host labels, slashes) as one number.
+_SHAPE = 1 << 24
+
+
+def _expressions(seen: DataFrame, shapes: list[int]) -> DataFrame:
+    """A row for each URL (host, path) and shape that it has: the host's last labels and the path up to and with a slash."""
+    known = F.expr(f"array({', '.join(f'{s}L' for s in shapes)})" if shapes else "cast(array() as array<bigint>)")
+    has = F.filter(known, lambda s: (F.floor(s / _SHAPE) <= F.col("labels")) & (s % _SHAPE <= F.col("slashes")))
+    rows = seen.withColumns({"labels": _count(F.col("host"), ".") + 1, "slashes": _count(F.col("path"), "/")})
+    rows = rows.select("host", "path", F.explode(has).alias("s")).select("host", "path", F.expr(f"cast(s div {_SHAPE} as int)").alias("h"), F.expr(f"cast(s % {_SHAPE} as int)").alias("d"))
+    return rows.select("host", "path", F.expr("substring_index(host, '.', -h)").alias("suffix"), F.when(F.col("d") == 0, "").otherwise(F.expr("concat(substring_index(path, '/', d), '/')")).alias("dir"))
+
+
+def _meet(asked: DataFrame, digest: Column, rules: DataFrame, small: bool) -> DataFrame:
+    """Rows of ``asked`` with the row of ``rules`` (rule_digest, unique, and others) of their digest: by its first four bytes, then all of it."""
+    rules = rules.withColumn("short", _short(F.col("rule_digest")))
+    asked = asked.withColumn("digest", digest).withColumn("short", _short(F.col("digest")))
+    if small:
+        met = asked.join(F.broadcast(rules), "short")
+    else:  # a host suffix such as a top-level domain can hold a third of all expressions
+        salted = rules.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        met = asked.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(salted, ["short", "salt"]).drop("salt")
+    return met.where(F.col("digest") == F.col("rule_digest")).drop("digest", "rule_digest", "short")
 
 
 def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -57,47 +74,37 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
 
     rules: host, path, verdict ('allow' or 'block'). Null and empty URLs, and those without ``://``, have an empty host and
     path, match no rule with a host, and get ``default``. Repeated rows stay repeated. Columns of ``urls`` named like the
-    added ones are replaced. Rules with a null host, path or verdict are ignored; equal rules count once.
+    added ones are replaced. Rules with a null host, path or verdict are ignored; equal rules count once. Very long URLs cost no
+    more expressions than there are shapes of rules.
     """
-    spark = urls.sparkSession
     rules = (
         rules.where("host is not null and path is not null and verdict is not null")
-        .select(ascii_lower(F.col("host")).alias("host"), "path", "verdict")
-        .distinct()
-        .select(
-            F.concat("host", "path").alias("rule"),
-            F.length("host").alias("host_len"),
-            "verdict",
-            "path",
-            "host",
-            F.regexp_extract("path", r"(?s)^(.*/)?", 1).alias("dir"),
-        )
+        .groupBy(ascii_lower(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"))
+        .agg(F.max("verdict").alias("verdict"))  # 'block' sorts after 'allow'
+        .withColumn("dir", F.regexp_extract("rule_path", r"(?s)^(.*/)?", 1))
+        .withColumn("shape", (_count(F.col("rule_host"), ".") + 1).cast("long") * _SHAPE + _count(F.col("rule_path"), "/"))
+    )
+    rules = materialise(rules, "rules")
+    small = rules.count() <= BROADCAST_RULES
+    shapes = sorted(r["shape"] for r in rules.select("shape").distinct().collect())
+    # lengths of what the rules of a directory have beyond it: distinct numbers, at most a path's length of them
+    dirs = rules.groupBy(_digest(F.col("rule_host"), F.col("dir")).alias("rule_digest")).agg(F.collect_set(F.length("rule_path") - F.length("dir")).alias("more"))
+    whole = rules.select(
+        _digest(F.col("rule_host"), F.col("rule_path")).alias("rule_digest"), F.concat("rule_host", "rule_path").alias("rule"), F.length("rule_host").alias("host_len"), "verdict"
     )
-    rules = rules.select("rule", "host_len", "verdict", "path", _digest(F.col("host"), F.col("dir")).alias("rule_digest"))
-    # one row for each digest, so that an expression meets at most one row
-    rules = rules.groupBy("rule_digest").agg(F.collect_set(F.struct(F.length("rule").alias("len"), "host_len", F.col("verdict"), "rule", "path")).alias("rules"))
-    rules = rules.withColumn("short", _short(F.col("rule_digest")))
-    n_rules = rules.count()
 
     kept = [c for c in urls.columns if c not in {"host", "path", "rule", "verdict"}]
     rows = urls.select(*kept, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    seen = rows.select("host", "path").groupBy("host", "path").count().drop("count")
-    asked = seen.select("host", "path", F.explode(_expressions(F.col("host"), F.col("path"))).alias("e"))
-    asked = asked.withColumn("digest", _digest(F.col("e.h"), F.col("e.p")))
-    asked = asked.select("host", "path", "digest", _short(F.col("digest")).alias("short"))
-    if n_rules <= BROADCAST_RULES:
-        met = asked.join(F.broadcast(rules), "short")
-    else:  # a host suffix such as a top-level domain can hold a third of all expressions
-        salted = rules.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        met = asked.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(salted, ["short", "salt"])
-    met = met.where(F.col("digest") == F.col("rule_digest"))
-    fits = met.select("host", "path", F.explode("rules").alias("r")).where(F.startswith(F.col("path"), F.col("r.path")))
-    # 'block' sorts after 'allow', so the maximum prefers it on a tie
-    best = fits.groupBy("host", "path").agg(F.max(F.struct("r.len", "r.host_len", "r.verdict", "r.rule")).alias("__best"))
-    return (
-        rows.join(best, ["host", "path"], "left")
-        .select(*kept, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
-    )
+    seen = materialise(rows.select("host", "path").groupBy("host", "path").agg(F.count("*").alias("n")), "urls")
+    asked = _expressions(seen, shapes)
+    met = _meet(asked, _digest(F.col("suffix"), F.col("dir")), dirs, small)
+    met = met.select("host", "path", "suffix", F.explode(F.transform("more", lambda m: m + F.length("dir"))).alias("upto")).where(F.length("path") >= F.col("upto"))
+    met = met.withColumn("prefix", F.expr("substring(path, 1, upto)"))
+    fits = _meet(met, _digest(F.col("suffix"), F.col("prefix")), whole, small)
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("len"), "host_len", "verdict", "rule")).alias("best"))
+    judged = seen.join(best, ["host", "path"], "left").select("host", "path", "n", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_counted(rows, materialise(judged, "judged"), ["host", "path"], total).select(*kept, "host", "path", "rule", "verdict")
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
