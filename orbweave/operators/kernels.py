@@ -13,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: Transforms of grids from this side on are gridded, those of smaller ones are exact sums.
+GRIDDING_FROM = 24
+
+
 def map_volumes(volumes: DataFrame, fn: Callable[[np.ndarray], dict[str, np.ndarray]], out: dict[str, str], column: str = "data", id_name: str = "vol_id") -> DataFrame:
     """id and ``fn``'s outputs for each row; fn gets a stack of cubes (rows, n, n, n) of an Arrow batch, so memory is that of a batch."""
 
@@ -170,11 +174,13 @@ def impose(rho: np.ndarray, amplitude: np.ndarray, mask: np.ndarray, support: np
 
 
 def error_reduction(rho, amplitude, mask, support, most=np.inf):
+    """The imposed density where it may be, else 0; whatever it has over ``most``, inside the support or not, becomes ``most``."""
     new, good = impose(rho, amplitude, mask, support)
-    return np.minimum(np.where(good, new, 0), most) if np.isfinite(most) else np.where(good, new, 0)
+    return np.where(new > most, most, np.where(good, new, 0))
 
 
 def hybrid(beta, rho, amplitude, mask, support, most=np.inf):
+    """The imposed density where it may be, else what it was less a share of the imposed one; over ``most`` that is pushed back further."""
     new, good = impose(rho, amplitude, mask, support)
     out = np.where(good, new, rho - beta * new)
     return np.where(new > most, out + 2 * beta * new - most, out)
@@ -222,7 +228,7 @@ def autocorrelation(rho: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.ifftn(np.abs(np.fft.fftn(rho, axes=_AXES)) ** 2, axes=_AXES))
 
 
-def phase(ac, support, rho, quarter, loops, n_er, n_hio, beta, method="std", weight=1.0, seed=0, cutoff=0.05):
+def phase(ac, support, rho, quarter, loops, n_er, n_hio, beta, method="std", weight=1.0, seed=0, cutoff=0.05, most=np.inf):
     """One phasing run of one centred autocorrelation volume: (centred autocorrelation of the density, support, density)."""
     smooth = np.fft.ifftshift(gauss(np.maximum(ac, 0), 1.0, "constant", 2.0))
     amplitude = np.sqrt(np.abs(np.fft.fftn(smooth)))
@@ -233,13 +239,13 @@ def phase(ac, support, rho, quarter, loops, n_er, n_hio, beta, method="std", wei
 
     def reduce(x):
         for _ in range(n_er):
-            x = error_reduction(x, amplitude, mask, support)
+            x = error_reduction(x, amplitude, mask, support, most)
         return x
 
     for _ in range(loops):
         rho = reduce(rho)
         for _ in range(n_hio):
-            rho = hybrid(beta, rho, amplitude, mask, support)
+            rho = hybrid(beta, rho, amplitude, mask, support, most)
         rho = reduce(rho)
         support = shrink_wrap(rho, method, weight, cutoff)
     rho = reduce(rho)

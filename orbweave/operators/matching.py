@@ -1,20 +1,31 @@
 """Nearest reference of every image.
 
 Distances come from |x|^2 + |y|^2 - 2 x.y, a matrix product for each Arrow batch of images and block of references. Images are
-never shuffled; references go to the tasks in blocks of bounded size, and an image keeps its best so far from block to block.
+never shuffled, and an image keeps its best so far from block to block.
+
+The references of a reconstruction are slices of a model: the model and the orientations go to the tasks (a few MB), and the
+slices are made where they are compared. References of any other kind are a table; they are broadcast in passes of bounded size.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Values of references in one block: 32 MB of doubles.
-BLOCK_VALUES = 4 << 20
+from . import kernels
+
+#: Values of references that one pass broadcasts: 64 MB of doubles.
+PASS_VALUES = 8 << 20
+#: Values of images that are compared together, and of slices made together: 32 MB of doubles each.
+CHUNK_VALUES = 4 << 20
+#: Values of slices that a Python worker keeps for its further tasks; of more than that it makes the slices anew for each chunk of images.
+HELD_VALUES = 16 << 20
 
 
 def distance(a: str, b: str, weight: str | None = None) -> Column:
@@ -25,55 +36,190 @@ def distance(a: str, b: str, weight: str | None = None) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + term(s))
 
 
-def _blocks(refs: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows, size = [], [], 0
-    for r in refs.select("ref_id", "data").orderBy("ref_id").toLocalIterator():
-        ids.append(r["ref_id"])
-        rows.append(r["data"])
-        size += len(r["data"])
-        if size >= BLOCK_VALUES:
-            yield np.array(ids), np.array(rows, dtype=np.float64)
-            ids, rows, size = [], [], 0
-    if ids:
-        yield np.array(ids), np.array(rows, dtype=np.float64)
+def _top(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least values of each row, in order; of equal values the earlier column."""
+    k = min(k, d.shape[1])
+    if k == 1:
+        return d.argmin(1)[:, None]
+    if 4 * k < d.shape[1]:
+        # all that are no larger than the k-th value take part, so that ties go by column
+        level = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        d = np.where(d <= level, d, np.inf)
+    return np.argsort(d, axis=1, kind="stable")[:, :k]
+
 
+def _wide(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
-def _nearest(ids: np.ndarray, refs: np.ndarray, k: int, weight: np.ndarray | None):
-    scaled = refs * weight if weight is not None else refs
-    norm = (scaled * refs).sum(1)
 
+def _nearest(shared: Broadcast, k: int, weight: np.ndarray | None, others: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+        ids, refs = shared.value
+        scaled = refs * weight if weight is not None else refs
+        norm = (scaled * refs).sum(1)
+        for b in (b for b in batches if b.num_rows):
+            x = _wide(b.column(1), b.num_rows)
             own = (x * x * (weight if weight is not None else 1)).sum(1)
-            d = own[:, None] + norm - 2 * x @ scaled.T
-            d = np.maximum(d, 0)
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]  # stable: of equal distances the lower reference
-            n = top.shape[1]
+            d = np.maximum(own[:, None] + norm - 2 * x @ scaled.T, 0)
+            if others:
+                d[b.column(0).to_numpy()[:, None] == ids] = np.inf
+            top = _top(d, k)
+            best = np.take_along_axis(d, top, 1)
+            row, _ = np.nonzero(np.isfinite(best))
             yield pa.record_batch(
-                [b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n))), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(d, top, 1).ravel())],
-                names=["image_id", "ref_id", "distance"],
+                [b.column(0).take(pa.array(row)), pa.array(ids[top][np.isfinite(best)]), pa.array(best[np.isfinite(best)])], names=["image_id", "ref_id", "distance"]
             )
 
     return run
 
 
-def k_nearest(images: DataFrame, refs: DataFrame, k: int = 1, weight: list[float] | None = None) -> DataFrame:
-    """image_id, ref_id, distance, rank: the k nearest references of each image, ties by lower ref_id. No references, no rows."""
+def _passes(refs: DataFrame) -> Iterator[Broadcast]:
+    """(ids, values) of the references in order of ref_id, in slices of at most PASS_VALUES values. Only one slice is on the driver at a time."""
+    from ..sources.tables import ranked
+
+    first = refs.select(F.size("data").alias("n")).first()
+    if first is None:
+        return
+    rows = max(1, PASS_VALUES // max(1, first["n"]))
+    total = refs.count()
+    slices = ranked(refs.select("ref_id", "data"), "ref_id") if total > rows else None
+    for a in range(0, total, rows):
+        part = refs.select("ref_id", "data") if slices is None else slices.where((F.col("rank") >= a) & (F.col("rank") < a + rows)).select("ref_id", "data")
+        part = part.orderBy("ref_id").toArrow().combine_chunks()
+        values = part.column("data").combine_chunks()
+        yield refs.sparkSession.sparkContext.broadcast((part.column("ref_id").to_numpy(), _wide(values, len(part))))
+
+
+def k_nearest(images: DataFrame, refs: DataFrame, k: int = 1, weight: list[float] | None = None, others: bool = False) -> DataFrame:
+    """image_id, ref_id, distance, rank: the k nearest references of each image, ties by lower ref_id. No references, no rows.
+
+    With ``others`` a reference with the image's own id doesn't count. References are a table of any size, but each PASS_VALUES of
+    their values take a further scan of the images.
+    """
     found = None
     w = np.array(weight) if weight is not None else None
-    for ids, rows in _blocks(refs):
-        part = images.select("image_id", "data").mapInArrow(_nearest(ids, rows, k, w), "image_id long, ref_id long, distance double")
+    for shared in _passes(refs):
+        part = images.select("image_id", "data").mapInArrow(_nearest(shared, k, w, others), "image_id long, ref_id long, distance double")
         found = part if found is None else found.union(part)
     if found is None:
         return images.sparkSession.createDataFrame([], "image_id long, ref_id long, distance double, rank int")
-    best = found.groupBy("image_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "ref_id"))), 1, k).alias("best"))  # k rows from each block
+    best = found.groupBy("image_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "ref_id"))), 1, k).alias("best"))  # k rows from each pass
     at = best.select("image_id", F.posexplode("best").alias("p", "b"))
     return at.select("image_id", "b.ref_id", "b.distance", (F.col("p") + 1).alias("rank"))
 
 
+def pair_distances(images: DataFrame, refs: DataFrame, others: bool = False) -> DataFrame:
+    """image_id, ref_id, distance of a stated set of images to all references, in blocks."""
+    found = None
+    for shared in _passes(refs):
+        part = images.select("image_id", "data").mapInArrow(_nearest(shared, len(shared.value[0]), None, others), "image_id long, ref_id long, distance double")
+        found = part if found is None else found.union(part)
+    return images.sparkSession.createDataFrame([], "image_id long, ref_id long, distance double") if found is None else found
+
+
+_held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def _slices(volume: np.ndarray, quats: np.ndarray, det: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The model's transform on the detector at orientations first to last - 1."""
+    n = volume.shape[0]
+    grid = kernels.GriddedNufft(n) if n >= kernels.GRIDDING_FROM else None
+    at = [kernels.matrix_of(q).T @ det for q in quats[first:last]]
+    return np.stack([(grid.type2(volume, *p) if grid else kernels.nufft2(volume, *p)).real for p in at])
+
+
+def _scaled(rows: np.ndarray, scale: tuple[str, float], total: tuple[float, float, float] | None) -> np.ndarray:
+    how, std = scale
+    if how == "none":
+        return rows
+    own = rows.std() if how == "batch" else np.sqrt(max(0.0, total[2] / total[0] - (total[1] / total[0]) ** 2))
+    return rows * (std / own) if own else rows
+
+
+def model_blocks(shared: Broadcast, batch: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first orientation, slices, their squared norms) of blocks of ``batch`` orientations; kept by the worker if all of them are few."""
+    name, volume, quats, det, scale, total = shared.value
+    few = len(quats) * det.shape[1] <= HELD_VALUES
+    if few and name not in _held:
+        _held.clear()
+    made = _held.setdefault(name, []) if few else []
+    for i, first in enumerate(range(0, len(quats), batch)):
+        if i < len(made):
+            rows, norm = made[i]
+        else:
+            rows = _scaled(_slices(volume, quats, det, first, first + batch), scale, total)
+            norm = (rows * rows).sum(1)
+            if few:
+                made.append((rows, norm))
+        yield first, rows, norm
+
+
+def match_model(images: DataFrame, volume: np.ndarray, quats: np.ndarray, det: np.ndarray, scale: str = "global", batch: int = 1000) -> DataFrame:
+    """image_id, q, distance, data: each image with the orientation whose slice of the model is nearest, ties by the lower orientation.
+
+    images: image_id, data; det: 3 x pixels in radians. ``scale`` brings the slices' standard deviation to the images': all slices
+    together (global), each ``batch`` of orientations for itself (batch), or not at all (none). The slices are made in the tasks
+    that compare them, so nothing but the model, the orientations and the detector is sent, and no image is shuffled. No images
+    or no orientations give no rows.
+    """
+    if scale not in ("global", "batch", "none"):
+        raise ValueError(f"scale is 'global', 'batch' or 'none', not {scale!r}")
+    spark = images.sparkSession
+    quats = np.asarray(quats, dtype=np.float64).reshape(-1, 4)
+    pixels = det.shape[1]
+    batch = max(1, min(batch, CHUNK_VALUES // pixels))
+    schema = "image_id long, q array<double>, distance double, data array<double>"
+    if not len(quats):
+        return spark.createDataFrame([], schema)
+    std = 1.0 if scale == "none" else images.select(F.explode("data").alias("v")).agg(F.stddev_pop("v")).first()[0]
+    total = model_sums(spark, volume, quats, det, batch) if scale == "global" and std is not None else None
+    if std is None:
+        return spark.createDataFrame([], schema)
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, volume, quats, det, (scale, std), total))
+    most = max(1, CHUNK_VALUES // pixels)
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, n = [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, most):
+                held.append(b.slice(at, most))
+                n += held[-1].num_rows
+                if n >= most:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches):
+            x = _wide(t.column("data").combine_chunks(), len(t))
+            own = (x * x).sum(1)
+            best, at = np.full(len(t), np.inf), np.zeros(len(t), dtype=np.int64)
+            for first, rows, norm in model_blocks(shared, batch):
+                d = np.maximum(own[:, None] + norm - 2 * x @ rows.T, 0)
+                k = d.argmin(1)
+                least = d[np.arange(len(t)), k]
+                closer = least < best
+                best[closer], at[closer] = least[closer], first + k[closer]
+            q = pa.array(list(shared.value[2][at]), pa.list_(pa.float64()))
+            yield from pa.table([t.column("image_id"), q, pa.array(best), t.column("data")], names=["image_id", "q", "distance", "data"]).to_batches()
+
+    return images.select("image_id", F.col("data").cast("array<double>").alias("data")).mapInArrow(run, schema)
+
+
+def model_sums(spark, volume: np.ndarray, quats: np.ndarray, det: np.ndarray, batch: int) -> tuple[float, float, float]:
+    """Number, sum and sum of squares of all values of all slices, by blocks of orientations."""
+    shared = spark.sparkContext.broadcast((volume, quats, det))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [_slices(*shared.value, first, first + batch) for first in b.column(0).to_pylist()]
+            yield pa.record_batch([pa.array([float(f(r)) for r in rows]) for f in (np.size, np.sum, lambda r: (r * r).sum())], names=["n", "s", "ss"])
+
+    firsts = spark.range(0, len(quats), batch, max(1, min(spark.sparkContext.defaultParallelism, -(-len(quats) // batch))))
+    return tuple(firsts.mapInArrow(run, "n double, s double, ss double").agg(F.sum("n"), F.sum("s"), F.sum("ss")).first())
+
+
 def std_scale(images: DataFrame, refs: DataFrame) -> Column:
     """The factor that brings the references' standard deviation to the images', over all values of both."""
     std = lambda df: df.select(F.explode("data").alias("v")).agg(F.stddev_pop("v")).first()[0]
@@ -81,12 +227,12 @@ def std_scale(images: DataFrame, refs: DataFrame) -> Column:
     return F.lit(a / b if a is not None and b else 1.0)
 
 
-def match(images: DataFrame, refs: DataFrame, scale: bool = True) -> DataFrame:
+def match(images: DataFrame, refs: DataFrame, scale: bool = True, others: bool = False) -> DataFrame:
     """image_id, ref_id, distance of the best reference, after the references are brought to the images' scale."""
     if scale:
         s = std_scale(images, refs)
         refs = refs.withColumn("data", F.transform("data", lambda v: v * s))
-    return k_nearest(images, refs).drop("rank")
+    return k_nearest(images, refs, others=others).drop("rank")
 
 
 def quality(matched: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """From oriented images to the autocorrelation volume.
 
 The normal equations are data-parallel: every batch of images adds its points to a fixed-size right-hand side and kernel grid,
-tasks hand on one grid each in slabs, and slabs are summed by key. What reaches a single task depends on the volume's side
-only, never on the number of images. Members of an ensemble (a shard of images, a pair of regularisers) are solved side by side.
+tasks hand on one grid each in slabs, and slabs are summed by key in two levels, as a stream: a task holds one slab at a time,
+and of a key the second level sees at most FANS slabs, however many tasks the images had. Members of an ensemble (a shard of images, a pair of regularisers) are solved side by side.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
 
-#: Grids from this side on are transformed by gridding, smaller ones by exact sums.
-GRIDDING_FROM = 24
+#: Groups of tasks whose slabs are summed side by side.
+FANS = 64
 
 
 def lambda_grid(spark, members: int, n_values: int, m: int) -> DataFrame:
@@ -50,8 +51,9 @@ def _grids(det: np.ndarray, n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rhs, ker = {}, {}
-        points = kernels.GriddedNufft(big) if big >= GRIDDING_FROM else None
-        small = kernels.GriddedNufft(n) if big >= GRIDDING_FROM else None
+        points = kernels.GriddedNufft(big) if big >= kernels.GRIDDING_FROM else None
+        small = kernels.GriddedNufft(n) if big >= kernels.GRIDDING_FROM else None
+        fan = TaskContext.get().partitionId() % FANS
         for b in batches:
             for member, q, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 h, k, l = kernels.matrix_of(np.array(q)).T @ det  # the inverse rotation
@@ -65,22 +67,48 @@ def _grids(det: np.ndarray, n: int):
             for member, g in grids.items():
                 for i, slab in enumerate(g):
                     yield pa.record_batch(
-                        [pa.array([member], pa.int32()), pa.array([part]), pa.array([i], pa.int32()), pa.array([slab.ravel()], pa.list_(pa.float64()))],
-                        names=["member", "part", "slab", "data"],
+                        [pa.array([member], pa.int32()), pa.array([part]), pa.array([i], pa.int32()), pa.array([fan], pa.int32()), pa.array([slab.ravel()], pa.list_(pa.float64()))],
+                        names=["member", "part", "slab", "fan", "data"],
                     )
 
     return run
 
 
-def _add(t: pa.Table) -> pa.Table:
-    total = sum(np.asarray(x.values) for x in t.column("data"))
-    return pa.table({"member": t.column("member")[:1], "part": t.column("part")[:1], "slab": t.column("slab")[:1], "data": pa.array([total], pa.list_(pa.float64()))})
+def _add(keys: list[str]):
+    """Sums of the slabs of each key, over rows that come sorted by it; a key may run over several batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total, kinds = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if last is not None:
+                yield pa.record_batch([*(pa.array([k], t) for k, t in zip(last, kinds, strict=True)), pa.array([total], pa.list_(pa.float64()))], names=[*keys, "data"])
+
+        for b in batches:
+            kinds = [b.schema.field(k).type for k in keys]
+            for key, slab in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), b.column("data"), strict=True):
+                values = np.asarray(slab.values)
+                if key == last:
+                    total = total + values
+                else:
+                    yield from done()
+                    last, total = key, values
+        yield from done()
+
+    return run
+
+
+def _summed(slabs: DataFrame, keys: list[str]) -> DataFrame:
+    kinds = dict(slabs.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "data array<double>"])
+    parts = int(slabs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return slabs.select(*keys, "data").repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_add(keys), schema)
 
 
 def normal_grids(images: DataFrame, det: np.ndarray, n: int) -> DataFrame:
     """member, part (rhs or kernel), slab, data. images: member, q (array w, x, y, z), data; det: 3 x pixels in radians."""
-    parts = images.select(F.col("member").cast("int"), "q", "data").mapInArrow(_grids(det, n), "member int, part string, slab int, data array<double>")
-    return parts.groupBy("member", "part", "slab").applyInArrow(_add, "member int, part string, slab int, data array<double>")
+    parts = images.select(F.col("member").cast("int"), "q", "data").mapInArrow(_grids(det, n), "member int, part string, slab int, fan int, data array<double>")
+    return _summed(_summed(parts, ["member", "part", "slab", "fan"]), ["member", "part", "slab"])
 
 
 def kernel_transform(kernel: np.ndarray) -> np.ndarray:

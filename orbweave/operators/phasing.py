@@ -15,14 +15,14 @@ from . import kernels
 BINS = 200
 
 
-def step(volumes: DataFrame, amplitude: float, beta: float | None = None) -> DataFrame:
-    """vol_id, data after one step with a constant amplitude off the origin: error reduction, or hybrid with ``beta``."""
+def step(volumes: DataFrame, amplitude: float, beta: float | None = None, most: float = np.inf) -> DataFrame:
+    """vol_id, data after one step with a constant amplitude off the origin: error reduction, or hybrid with ``beta``; ``most`` caps the density."""
 
     def fn(v: np.ndarray) -> dict[str, np.ndarray]:
         mask = np.ones(v.shape[1:], dtype=bool)
         mask[0, 0, 0] = False
         support = np.ones(v.shape, dtype=bool)
-        new = kernels.error_reduction(v, amplitude, mask, support) if beta is None else kernels.hybrid(beta, v, amplitude, mask, support)
+        new = kernels.error_reduction(v, amplitude, mask, support, most) if beta is None else kernels.hybrid(beta, v, amplitude, mask, support, most)
         return {"data": new}
 
     return kernels.map_volumes(volumes, fn, {"data": "array<double>"})
@@ -102,7 +102,7 @@ def ensemble(spark, ac: np.ndarray, members: int, settings, support: np.ndarray
             for k in b.column(0).to_pylist():
                 got = kernels.phase(
                     ac, support, rho, n // 4, settings.n_phase_loops, settings.n_er, settings.n_hio, settings.beta,
-                    settings.shrinkwrap, 0.5 + k / members, seed + k, settings.cutoff,
+                    settings.shrinkwrap, 0.5 + k / members, seed + k, settings.cutoff, settings.density_cap or np.inf,
                 )
                 positive = got[2][got[2] > 0]
                 counts = np.histogram(positive, BINS)[0].astype(float) if len(positive) else np.zeros(BINS)

@@ -29,9 +29,13 @@ def _bright(spark, d):
     return _px(spark, d).withColumn("v", 64 * F.col("v") * F.col("v"))
 
 
+def _asked(spark, d):
+    """The stated query set of the searches: every image whose id is divisible by 20. All other images are its references."""
+    return T.wide(spark, d).where("image_id % 20 = 0")
+
+
 def _refs(spark, d):
-    """The first 20 images serve as the reference slices."""
-    return T.wide(spark, d, "ref_id").where("ref_id < 20")
+    return T.wide(spark, d, "ref_id")
 
 
 @_r.add(f"with {PX} select image_id, count(*) as n, round(sum(v), 6) + 0.0 as total from px where image_id >= 100 and image_id < 150 group by 1")
@@ -230,15 +234,14 @@ def reciprocal_mesh(spark, d):
     return G.reciprocal_mesh(spark, 5, 2.0)
 
 
-@_r.add("with e as (select vec_id, unnest(embedding)::double as v from embeddings) select round(stddev_pop(v) / stddev_pop(v) filter (vec_id < 20), 6) + 0.0 as factor from e")
+@_r.add("with e as (select vec_id, unnest(embedding)::double as v from embeddings) select round(stddev_pop(v) filter (vec_id % 20 = 0) / stddev_pop(v), 6) + 0.0 as factor from e")
 def std_match_scale(spark, d):
-    return spark.range(1).select(rounded(M.std_scale(T.wide(spark, d), _refs(spark, d))).alias("factor"))
+    return spark.range(1).select(rounded(M.std_scale(_asked(spark, d), _refs(spark, d))).alias("factor"))
 
 
 @_r.add(f"with {PAIRS} select image_id, ref_id, round(distance, 6) + 0.0 as distance from pairs")
 def pair_distance(spark, d):
-    both = T.wide(spark, d).crossJoin(F.broadcast(_refs(spark, d).withColumnRenamed("data", "ref")))
-    return both.select("image_id", "ref_id", rounded(M.distance("data", "ref")).alias("distance"))
+    return rounded_columns(M.pair_distances(_asked(spark, d), _refs(spark, d), others=True), "distance")
 
 
 _BEST = f"with {PAIRS}, best as (select image_id, ref_id, distance, row_number() over (partition by image_id order by distance, ref_id) as rank from pairs) "
@@ -246,32 +249,32 @@ _BEST = f"with {PAIRS}, best as (select image_id, ref_id, distance, row_number()
 
 @_r.add(_BEST + "select image_id, ref_id, round(distance, 6) + 0.0 as distance from best where rank = 1")
 def nearest_reference(spark, d):
-    return rounded_columns(M.match(T.wide(spark, d), _refs(spark, d), scale=False), "distance")
+    return rounded_columns(M.match(_asked(spark, d), _refs(spark, d), scale=False, others=True), "distance")
 
 
 @_r.add(_BEST + "select image_id, ref_id, rank, round(distance, 6) + 0.0 as distance from best where rank <= 3")
 def knn_topk(spark, d):
-    return rounded_columns(M.k_nearest(T.wide(spark, d), _refs(spark, d), 3), "distance")
+    return rounded_columns(M.k_nearest(_asked(spark, d), _refs(spark, d), 3, others=True), "distance")
 
 
 @_r.add(_BEST + "select round(avg(distance), 6) + 0.0 as mean, round(stddev_pop(distance), 6) + 0.0 as std from best where rank = 1")
 def match_quality(spark, d):
-    return rounded_columns(M.quality(M.match(T.wide(spark, d), _refs(spark, d), scale=False)), "mean", "std")
+    return rounded_columns(M.quality(M.match(_asked(spark, d), _refs(spark, d), scale=False, others=True)), "mean", "std")
 
 
 @_r.add(f"with {PAIRS} select image_id, arg_min(ref_id, weighted) as ref_id, round(min(weighted), 6) + 0.0 as distance from pairs group by 1")
 def weighted_nearest(spark, d):
-    got = M.k_nearest(T.wide(spark, d), _refs(spark, d), 1, [1 / (1 + p) for p in range(64)])
+    got = M.k_nearest(_asked(spark, d), _refs(spark, d), 1, [1 / (1 + p) for p in range(64)], others=True)
     return rounded_columns(got.drop("rank"), "distance")
 
 
 @_r.add(
-    "with e as (select vec_id as id, unnest(embedding)::double as v, unnest(range(0, 64)) as p from embeddings), s as (select stddev_pop(v) / stddev_pop(v) filter (id < 20) as f from e), "
-    "d as (select a.id as image_id, b.id as ref_id, sum((a.v - b.v * f) * (a.v - b.v * f)) as distance from e a join e b on a.p = b.p and b.id < 20 cross join s group by 1, 2) "
+    "with e as (select vec_id as id, unnest(embedding)::double as v, unnest(range(0, 64)) as p from embeddings), s as (select stddev_pop(v) filter (id % 20 = 0) / stddev_pop(v) as f from e), "
+    "d as (select a.id as image_id, b.id as ref_id, sum((a.v - b.v * f) * (a.v - b.v * f)) as distance from e a join e b on a.p = b.p and a.id % 20 = 0 and b.id <> a.id cross join s group by 1, 2) "
     "select image_id, arg_min(ref_id, distance) as ref_id, round(min(distance), 6) + 0.0 as distance from d group by 1"
 )
 def scaled_match(spark, d):
-    return rounded_columns(M.match(T.wide(spark, d), _refs(spark, d)), "distance")
+    return rounded_columns(M.match(_asked(spark, d), _refs(spark, d), others=True), "distance")
 
 
 @_r.add(

@@ -1,7 +1,7 @@
 """The generations of a reconstruction: match, solve, phase, evaluate.
 
-A generation is a few Spark jobs over the images (a match without a shuffle, grids summed by key) and jobs over volumes of a
-fixed size. Each generation's result is a table under ``settings.out``, from which a run goes on where it was broken off.
+A generation is a few Spark jobs over the images (match and merge are two maps in one stage, so no image is shuffled; grids are
+summed by key) and jobs over volumes of a fixed size. Each generation's result is a table under ``settings.out``, from which a run goes on where it was broken off.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,24 +89,6 @@ def positions(det: DataFrame, oversampling: float) -> np.ndarray:
     return q * math.pi / (np.sqrt((q * q).sum(0)).max() * oversampling)
 
 
-def model_slices(spark: SparkSession, ac: np.ndarray, det: np.ndarray, quats: np.ndarray) -> DataFrame:
-    """ref_id, q, data: the volume's transform on the detector at each orientation; orientations are spread over tasks."""
-    n = ac.shape[0]
-
-    def run(batches):
-        big = kernels.GriddedNufft(n) if n >= merging.GRIDDING_FROM else None
-        for b in batches:
-            qs, data = b.column(1).to_pylist(), []
-            for q in qs:
-                h, k, l = kernels.matrix_of(np.array(q)).T @ det
-                data.append((big.type2(ac, h, k, l) if big else kernels.nufft2(ac, h, k, l)).real)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(data, pa.list_(pa.float64()))], names=["ref_id", "q", "data"])
-
-    rows = [(i, [float(x) for x in q]) for i, q in enumerate(quats)]
-    refs = spark.createDataFrame(rows, "ref_id long, q array<double>").repartition(spark.sparkContext.defaultParallelism)
-    return refs.mapInArrow(run, "ref_id long, q array<double>, data array<double>")
-
-
 def random_orientations(images: DataFrame, seed: int) -> DataFrame:
     """images with q: a rotation drawn from a hash of the image's id, the same each time."""
     from ..functions.quaternion import uniform
@@ -128,13 +109,7 @@ def generation(spark: SparkSession, images: DataFrame, det: DataFrame, s: Settin
     if last is None:
         oriented = random_orientations(images, s.seed)
     else:
-        refs = model_slices(spark, last.ac, at, evaluation.uniform_rotations(s.n_orientations))
-        refs.write.mode("overwrite").parquet(f"{scratch}/refs_{number}")
-        refs = spark.read.parquet(f"{scratch}/refs_{number}")
-        matched = matching.match(images, refs.select("ref_id", "data"))
-        # a quaternion for each reference: a table of fixed size
-        best = matched.join(F.broadcast(refs.select("ref_id", "q")), "ref_id").select("image_id", "q")
-        oriented = images.join(best, "image_id")
+        oriented = matching.match_model(images, last.ac, evaluation.uniform_rotations(s.n_orientations), at, s.match_scale, s.match_batch)
     grids = merging.normal_grids(oriented.withColumn("member", F.lit(0)), at, n)
     grids.write.mode("overwrite").parquet(f"{scratch}/grids_{number}")
     grids = spark.read.parquet(f"{scratch}/grids_{number}")

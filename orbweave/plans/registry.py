@@ -58,5 +58,5 @@ HKL = (
 )
 PAIRS = (
     f"{EACH}, pairs as (select a.id as image_id, b.id as ref_id, sum((a.v - b.v) * (a.v - b.v)) as distance, "
-    "sum((a.v - b.v) * (a.v - b.v) / (1 + a.p)) as weighted from each_ a join each_ b on a.p = b.p and b.id < 20 group by 1, 2)"
+    "sum((a.v - b.v) * (a.v - b.v) / (1 + a.p)) as weighted from each_ a join each_ b on a.p = b.p and a.id % 20 = 0 and b.id <> a.id group by 1, 2)"
 )

@@ -16,7 +16,8 @@ _PLACES = {
     "n_phase_loops": ("algorithm", "n_phase_loops"), "n_er": ("algorithm", "n_er"), "n_hio": ("algorithm", "n_hio"), "beta": ("algorithm", "beta"),
     "shrinkwrap": ("algorithm", "shrinkwrap"), "cutoff": ("algorithm", "cutoff"), "solve_steps": ("algorithm", "solve_steps"), "members": ("algorithm", "members"),
     "seed": ("algorithm", "seed"), "side": ("algorithm", "side"), "check_convergence": ("fsc", "check_convergence"), "min_cc": ("fsc", "min_cc"), "min_change_cc": ("fsc", "min_change_cc"),
-    "absolute_change": ("fsc", "absolute_change"),
+    "absolute_change": ("fsc", "absolute_change"), "match_scale": ("algorithm", "match_scale"), "match_batch": ("algorithm", "match_batch"),
+    "density_cap": ("algorithm", "density_cap"),
 }
 
 
@@ -48,6 +49,11 @@ class Settings:
     min_cc: float = 0.8
     min_change_cc: float = 0.05
     absolute_change: bool = False
+    #: Slices are scaled together (global), by batches of orientations (batch), or not (none).
+    match_scale: str = "global"
+    match_batch: int = 1000
+    #: Largest density that phasing lets stand; 0 is none.
+    density_cap: float = 0.0
 
     @property
     def quarter(self) -> int:

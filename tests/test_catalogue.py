@@ -75,5 +75,5 @@ def test_stream_equals_batch(spark, data):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 500
+    assert __spark_entry__.entry(spark).count() == 25
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

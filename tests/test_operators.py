@@ -53,7 +53,7 @@ def test_reference_blocks_give_the_same(spark, data, monkeypatch):
     images = T.wide(spark, data)
     refs = T.wide(spark, data, "ref_id").where("ref_id < 50")
     whole = sorted(map(tuple, M.k_nearest(images, refs, 2).select("image_id", "ref_id", "rank").collect()))
-    monkeypatch.setattr(M, "BLOCK_VALUES", 64 * 7)
+    monkeypatch.setattr(M, "PASS_VALUES", 64 * 7)
     assert sorted(map(tuple, M.k_nearest(images, refs, 2).select("image_id", "ref_id", "rank").collect())) == whole
 
 
@@ -191,3 +191,71 @@ def test_reduced_images(spark):
     s = Settings(det_shape=(1, 8, 8), n_clipping=1, n_binning=1)
     assert R.reduced(images, s).first()["data"] == [22.5, 24.5, 38.5, 40.5] and s.reduced_det_shape == (1, 2, 2)
     assert R.reduced(images, Settings()).first()["data"][63] == 63
+
+
+def brute_model_match(images, volume, quats, det, scale, batch):
+    from orbweave.operators import kernels as K
+
+    rows = np.stack([K.nufft2(volume, *(K.matrix_of(q).T @ det)).real for q in quats])
+    std = images.std()
+    if scale == "global":
+        rows = rows * (std / rows.std())
+    elif scale == "batch":
+        rows = np.concatenate([rows[a : a + batch] * (std / rows[a : a + batch].std()) for a in range(0, len(rows), batch)])
+    d = ((images[:, None] - rows[None]) ** 2).sum(2)
+    return d.argmin(1), d.min(1)
+
+
+@pytest.mark.parametrize("scale,held,chunk", [("global", 16 << 20, 4 << 20), ("batch", 0, 64 * 10), ("none", 64, 64 * 7)])
+def test_model_match_equals_brute_force(spark, monkeypatch, scale, held, chunk):
+    monkeypatch.setattr(M, "HELD_VALUES", held)
+    monkeypatch.setattr(M, "CHUNK_VALUES", chunk)
+    images = C.synthetic_slices(spark, 40).select("image_id", "data")
+    det, vol, quats = R.positions(T.detector(spark), 1.0), C.two_blobs(5), E.uniform_rotations(33)
+    rows = images.orderBy("image_id").collect()
+    at, least = brute_model_match(np.array([r["data"] for r in rows]), vol, quats, det, scale, min(8, chunk // 64))
+    got = {r["image_id"]: r for r in M.match_model(images, vol, quats, det, scale, 8).collect()}
+    assert len(got) == 40
+    for i, r in enumerate(rows):
+        x = got[r["image_id"]]
+        assert np.allclose(x["q"], quats[at[i]]) and np.isclose(x["distance"], least[i]) and x["data"] == r["data"]
+    assert M.match_model(images.limit(0), vol, quats, det, scale).count() == 0 and M.match_model(images, vol, quats[:0], det, scale).count() == 0
+
+
+def test_a_generation_shuffles_no_images(spark, tmp_path):
+    C.synthetic_slices(spark, 40).select("image_id", "data").write.parquet(str(tmp_path / "images"))
+    det = R.positions(T.detector(spark), 1.0)
+    matched = M.match_model(spark.read.parquet(str(tmp_path / "images")), C.two_blobs(5), E.uniform_rotations(9), det)
+    assert "Exchange" not in matched._jdf.queryExecution().executedPlan().toString()
+    grids = A.normal_grids(matched.withColumn("member", F.lit(0)), det, 5)
+    plan = grids._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and all("image_id" not in x.split("]")[0] for x in plan.split("RepartitionByExpression")[1:])
+
+
+def test_slabs_of_many_tasks_add_up(spark):
+    images = C.synthetic_slices(spark, 90).withColumn("member", F.col("image_id") % 2)
+    det = R.positions(T.detector(spark), 1.0)
+    rows = lambda df: {(r["member"], r["part"], r["slab"]): np.array(r["data"]) for r in A.normal_grids(df, det, 3).collect()}
+    a, b = rows(images.coalesce(1)), rows(images.repartition(150))
+    assert a.keys() == b.keys() and len(a) == 18 and all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_density_cap_is_that_of_the_definition(spark):
+    from orbweave.operators import kernels as K
+
+    rng = np.random.default_rng(1)
+    rho, mask, support = rng.normal(size=(4, 4, 4)), np.ones((4, 4, 4), bool), rng.random((4, 4, 4)) > 0.5
+    new, good = K.impose(rho, 0.5, mask, support)
+    level = float(np.quantile(new, 0.6))
+    want = np.where(good, new, 0)
+    want[new > level] = level
+    assert np.array_equal(K.error_reduction(rho, 0.5, mask, support, level), want) and (want[~support] == level).any()
+    want = np.where(good, new, rho - 0.3 * new)
+    want[new > level] += 2 * 0.3 * new[new > level] - level
+    assert np.allclose(K.hybrid(0.3, rho, 0.5, mask, support, level), want)
+    assert np.array_equal(K.error_reduction(rho, 0.5, mask, support), np.where(good, new, 0))
+
+
+def test_top_k_keeps_ties_in_order():
+    d = np.array([[3.0, 1.0, 1.0, 1.0, 0.5, 9.0, 1.0, 7.0, 8.0, 6.0, 5.0, 4.0]])
+    assert M._top(d, 1).tolist() == [[4]] and M._top(d, 2).tolist() == [[4, 1]] and M._top(d, 3).tolist() == [[4, 1, 2]] and M._top(d, 12).tolist() == [np.argsort(d[0], kind="stable").tolist()]
