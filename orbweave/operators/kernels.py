@@ -284,33 +284,55 @@ def matrix_of(q: np.ndarray) -> np.ndarray:
     ])
 
 
-def resample(vol: np.ndarray, n: int) -> np.ndarray:
-    """A cube brought to another side by linear interpolation along each axis, corners kept."""
-    for axis in range(3):
-        m = vol.shape[axis]
-        at = np.linspace(0, m - 1, n)
-        low = np.minimum(at.astype(int), max(m - 2, 0))
-        part = (at - low).reshape([-1 if a == axis else 1 for a in range(3)])
-        vol = np.take(vol, low, axis) * (1 - part) + np.take(vol, np.minimum(low + 1, m - 1), axis) * part
-    return vol
+def _cubic(x: np.ndarray) -> np.ndarray:
+    """The cubic B-spline."""
+    x = np.abs(x)
+    return np.where(x < 1, 2 / 3 - x * x + x**3 / 2, np.where(x < 2, (2 - x) ** 3 / 6, 0.0))
 
 
-def to_center_of_mass(vol: np.ndarray) -> np.ndarray:
-    """The volume moved so that its centre of mass lies on voxel n // 2, by linear interpolation; zero comes in at the edges."""
-    n = vol.shape[-1]
-    total = vol.sum()
+def spline_matrix(m: int) -> np.ndarray:
+    """Coefficients of the cubic spline through m values, mirrored at its ends: a row for each of the places -2 to m + 1."""
+    a = np.diag(np.full(m, 2 / 3)) + np.diag(np.full(m - 1, 1 / 6), 1) + np.diag(np.full(m - 1, 1 / 6), -1)
+    if m > 1:
+        a[0, 1] = a[-1, -2] = 1 / 3
+    else:
+        a[0, 0] = 1
+    k = np.abs(np.arange(-2, m + 2))
+    turn = max(1, 2 * (m - 1))
+    return np.linalg.inv(a)[np.minimum(k % turn, turn - k % turn) if m > 1 else 0 * k]
+
+
+def interpolation(m: int, at: np.ndarray, order: int = 3) -> np.ndarray:
+    """Weights (places x m) of m values at the places ``at`` (0 is the first value): linear, or by cubic splines. Zero outside."""
+    k = np.arange(-2, m + 2)
+    if order == 3 and m > 1:
+        w = _cubic(at[:, None] - k) @ spline_matrix(m)
+    else:
+        w = np.maximum(0, 1 - np.abs(at[:, None] - np.arange(m)))
+    return np.where(((at >= 0) & (at <= m - 1))[:, None], w, 0.0)
+
+
+def _along(vol: np.ndarray, axis: int, w: np.ndarray) -> np.ndarray:
+    return np.moveaxis(np.tensordot(w, vol, axes=(1, axis)), 0, axis)
+
+
+def resample(vol: np.ndarray, n: int, order: int = 3) -> np.ndarray:
+    """A cube brought to another side by interpolation along each axis, corners kept."""
     for axis in range(3):
-        at = np.arange(n).reshape([-1 if a == axis else 1 for a in range(3)])
-        shift = float((vol * at).sum() / total) - n // 2
-        low = int(math.floor(shift))
-        part = shift - low
+        m = vol.shape[axis]
+        vol = _along(vol, axis, interpolation(m, np.arange(n) * (m - 1) / max(1, n - 1), order))
+    return vol
 
-        def moved(by: int) -> np.ndarray:
-            p = np.arange(n) + by
-            ok = ((p >= 0) & (p < n)).reshape([-1 if a == axis else 1 for a in range(3)])
-            return np.take(vol, np.clip(p, 0, n - 1), axis) * ok
 
-        vol = moved(low) * (1 - part) + moved(low + 1) * part
+def to_center_of_mass(vol: np.ndarray, order: int = 3) -> np.ndarray:
+    """The volume moved so that its centre of mass lies on voxel n // 2; zero comes in at the edges. A volume without mass stays."""
+    n, total = vol.shape[-1], vol.sum()
+    if not total:
+        return vol
+    place = np.arange(n)
+    shifts = [float((vol * place.reshape([-1 if a == axis else 1 for a in range(3)])).sum() / total) - n // 2 for axis in range(3)]
+    for axis, shift in enumerate(shifts):
+        vol = _along(vol, axis, interpolation(n, place + shift, order))
     return vol
 
 

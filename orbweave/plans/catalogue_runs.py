@@ -13,7 +13,7 @@ from ..operators import phasing as P
 from ..sources import mrc
 from ..sources import tables as T
 from . import reconstruct as R
-from .registry import Registry, rounded, rounded_columns
+from .registry import VOL, Registry, rounded, rounded_columns
 from .settings import Settings
 
 _r = Registry()
@@ -65,12 +65,16 @@ def align_search(spark, d):
     return spark.createDataFrame([(cc, *map(float, found))], "cc double, w double, x double, y double, z double")
 
 
+def _solved(spark, d, members: int):
+    images = T.wide(spark, d).join(T.orientations(spark, d).select("image_id", F.array(*"wxyz").alias("q")), "image_id").withColumn("member", F.lit(0))
+    grids = A.normal_grids(images, R.positions(T.detector(spark), 1.0), SIDE)
+    return A.solve(grids, A.lambda_grid(spark, members, images.count() * T.IMAGE**2, SIDE), SIDE)
+
+
 @_r.add()
 def cg_solve_full(spark, d):
-    """Normal equations of synthetic slices at their true orientations, solved for every regulariser."""
-    images = synthetic_slices(spark, 120).withColumn("member", F.lit(0))
-    grids = A.normal_grids(images, R.positions(T.detector(spark), 1.0), SIDE)
-    return A.solve(grids, A.lambda_grid(spark, 3, 120 * 64, SIDE), SIDE).select("member", "v0", "v1", "v2", "steps", F.size("data").alias("values"))
+    """Normal equations of all images at their orientations, solved for every regulariser."""
+    return _solved(spark, d, 3).select("member", "v0", "v1", "v2", "steps", F.size("data").alias("values"))
 
 
 @_r.add()
@@ -78,38 +82,83 @@ def gauss_fit(spark, d):
     return P.fit_histograms(P.histogram(T.voxels(T.wide(spark, d, "vol_id")), 20))
 
 
-@_r.add()
-def zoom_linear(spark, d):
-    got = K.map_volumes(T.wide(spark, d, "vol_id"), lambda v: {"data": np.stack([K.resample(x, 7) for x in v])}, {"data": "array<double>"})
-    return got.select("vol_id", F.posexplode("data").alias("voxel", "v"))
+def _zoom_sql(order: int) -> str:
+    w = K.interpolation(T.CUBE, np.arange(7) * (T.CUBE - 1) / 6, order)
+    values = ", ".join(f"({p}, {i}, {float(w[p, i])!r}::double)" for p in range(7) for i in range(T.CUBE))
+    return (
+        f"with {VOL}, w(p, i, w) as (values {values}) select vol_id, (a.p * 49 + b.p * 7 + c.p)::int as voxel, round(sum(v * a.w * b.w * c.w), 6) + 0.0 as v "
+        "from vol join w a on a.i = vol.i join w b on b.i = vol.j join w c on c.i = vol.k group by all"
+    )
 
 
-@_r.add()
+def _zoomed(spark, d, order: int):
+    got = K.map_volumes(T.wide(spark, d, "vol_id"), lambda v: {"data": np.stack([K.resample(x, 7, order) for x in v])}, {"data": "array<double>"})
+    return rounded_columns(got.select("vol_id", F.posexplode("data").alias("voxel", "v")), "v")
+
+
+@_r.add(_zoom_sql(1))
+def zoom_linear(spark, d):
+    return _zoomed(spark, d, 1)
+
+
+@_r.add(_zoom_sql(3))
+def zoom_spline(spark, d):
+    return _zoomed(spark, d, 3)
+
+
+def _shift_sql() -> str:
+    """A spline's value at a place is the sum of its coefficients, mirrored beyond the ends, times the cubic B-spline at their distances."""
+    e = K.spline_matrix(T.CUBE)
+    values = ", ".join(f"({k - 2}, {i}, {float(e[k, i])!r}::double)" for k in range(T.CUBE + 4) for i in range(T.CUBE))
+    at = "(p + s - k)"
+    basis = f"case when abs({at}) < 1 then 2.0 / 3 - {at} * {at} + pow(abs({at}), 3) / 2 when abs({at}) < 2 then pow(2 - abs({at}), 3) / 6 else 0 end"
+    weights = ", ".join(
+        f"w{c} as (select vol_id, p, i, sum({basis} * e) as w from (select vol_id, s{c} as s from shift) cross join (select unnest(range(0, 4)) as p) cross join e where p + s between 0 and 3 group by all)" for c in "ijk"
+    )
+    return (
+        f"with {VOL}, size as (select vol_id, i, j, k, abs(v) as v from vol), e(k, i, e) as (values {values}), "
+        f"shift as (select vol_id, sum(v * i) / sum(v) - 2 as si, sum(v * j) / sum(v) - 2 as sj, sum(v * k) / sum(v) - 2 as sk from size group by 1), {weights}, "
+        "found as (select v.vol_id, a.p * 16 + b.p * 4 + c.p as voxel, sum(v.v * a.w * b.w * c.w) as v from size v join wi a on a.vol_id = v.vol_id and a.i = v.i "
+        "join wj b on b.vol_id = v.vol_id and b.i = v.j join wk c on c.vol_id = v.vol_id and c.i = v.k group by all) "
+        "select s.vol_id, x.voxel::int as voxel, round(coalesce(f.v, 0), 6) + 0.0 as v from shift s cross join (select unnest(range(0, 64)) as voxel) x "
+        "left join found f on f.vol_id = s.vol_id and f.voxel = x.voxel"
+    )
+
+
+@_r.add(_shift_sql())
 def shift_to_center(spark, d):
     got = K.map_volumes(T.wide(spark, d, "vol_id"), lambda v: {"data": np.stack([K.to_center_of_mass(np.abs(x)) for x in v])}, {"data": "array<double>"})
-    return got.select("vol_id", F.posexplode("data").alias("voxel", "v"))
+    return rounded_columns(got.select("vol_id", F.posexplode("data").alias("voxel", "v")), "v")
 
 
 @_r.add()
 def phase_ensemble(spark, d):
-    ac = np.fft.fftshift(K.autocorrelation(np.fft.ifftshift(two_blobs())))
+    """The autocorrelation that all images give, phased by four members."""
+    ac = np.array(_solved(spark, d, 1).first()["data"]).reshape((SIDE,) * 3)
     return P.ensemble(spark, ac, 4, Settings(side=SIDE)).select("member", "skew", "height", "width", F.aggregate("support", F.lit(0.0), lambda a, x: a + x).alias("inside"))
 
 
-@_r.add()
+def _mean_volume(spark, d) -> np.ndarray:
+    mean = T.voxels(T.wide(spark, d, "vol_id")).groupBy("i", "j", "k").agg(F.avg("v").alias("v")).orderBy("i", "j", "k").collect()  # 64 rows
+    return np.array([r["v"] for r in mean]).reshape((T.CUBE,) * 3)
+
+
+@_r.add(f"with {VOL} select 2 as generation, (i * 16 + j * 4 + k)::int as voxel, round(avg(v), 6) + 0.0 as rho, round(2 * avg(v), 6) + 0.0 as ac, avg(v) > 0 as support from vol group by i, j, k")
 def checkpoint_roundtrip(spark, d):
-    out, vol = T.scratch(spark), two_blobs()
-    R.save(spark, out, R.State(2, vol, vol > 0.1, vol, 0.5))
-    back = R.load(spark, out, 2)
-    same = bool((back.ac == vol).all() and (back.support == (vol > 0.1)).all() and (back.rho == vol).all())
-    return spark.createDataFrame([(R.saved_generations(spark, out)[-1], same)], "generation int, same boolean")
+    """The mean volume, saved as a generation's result and loaded."""
+    out, vol = T.scratch(spark), _mean_volume(spark, d)
+    R.save(spark, out, R.State(2, 2 * vol, vol > 0, vol, 0.5))
+    back = R.load(spark, out, R.saved_generations(spark, out)[-1])
+    rows = [(back.generation, p, float(r), float(a), bool(s)) for p, (r, a, s) in enumerate(zip(back.rho.ravel(), back.ac.ravel(), back.support.ravel(), strict=True))]
+    return rounded_columns(spark.createDataFrame(rows, "generation int, voxel int, rho double, ac double, support boolean"), "rho", "ac")
 
 
-@_r.add()
+@_r.add(f"with {VOL} select [4, 4, 4]::int[] as side, 2.5::double as voxel, (i * 16 + j * 4 + k)::int as p, round(avg(v), 5) + 0.0 as v from vol group by i, j, k")
 def mrc_roundtrip(spark, d):
+    """The mean volume, written as an MRC file and read."""
     out = T.scratch(spark)
-    mrc.write_volume(spark, f"{out}/blobs.mrc", two_blobs(), 2.5)
-    return mrc.read_volumes(spark, f"{out}/blobs.mrc").select("side", "voxel", F.posexplode("data").alias("p", "v"))
+    mrc.write_volume(spark, f"{out}/mean.mrc", _mean_volume(spark, d), 2.5)
+    return rounded_columns(mrc.read_volumes(spark, f"{out}/mean.mrc").select("side", "voxel", F.posexplode("data").alias("p", "v")), "v", digits=5)
 
 
 @_r.add()

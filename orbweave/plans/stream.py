@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ..streaming.generations import run_stream
+from ..streaming.generations import run_stream, stored
 from . import reconstruct
 from .settings import Settings
 
@@ -14,32 +14,38 @@ def run(
     spark: SparkSession, source: DataFrame, det: DataFrame, s: Settings, size: int, cap: int | None = None, warm_start: bool = True,
     per_round: int = 1, reference: np.ndarray | None = None,
 ) -> reconstruct.State | None:
-    """A round each time another ``size`` images are in, over all images so far, up to ``cap``.
+    """A round each time another ``size`` images are in, over all images so far, up to ``cap``; past it, each further image triggers one.
 
     With a warm start a round goes on from the last density for ``per_round`` generations; without it every round begins anew
     from random orientations. After the source has ended, generations go on over the same images until ``n_generations``, or
     until the density has converged.
+
+    Started again with the same ``s.out``, it goes on after the last generation that ended: images, rounds and densities are read
+    from there.
     """
-    state: dict = {"last": None, "images": None, "n": 0}
+    state: dict = {"last": None, "n": 0}
+    if warm_start and (found := reconstruct.saved_generations(spark, s.out)):
+        state["last"], state["n"] = reconstruct.load(spark, s.out, found[-1]), found[-1] + 1
+
+    def over() -> bool:
+        return state["n"] >= s.n_generations or bool(s.check_convergence and state["last"] and state["last"].converged)
 
-    def generations(images: DataFrame, most: int) -> bool:
+    def generations(images: DataFrame, upto: int) -> bool:
         last = state["last"] if warm_start else None
-        for _ in range(most):
+        while state["n"] < upto and not over():
             last = reconstruct.generation(spark, images, det, s, last, reference, f"{s.out}/scratch")
-            state["last"], state["n"] = last, state["n"] + 1
             reconstruct.save(spark, s.out, last)
-            if s.check_convergence and last.converged:
-                return True
-        return state["n"] >= s.n_generations
-
-    def full(_: int, images: DataFrame) -> bool:
-        state["images"] = images
-        return generations(images, per_round)
-
-    run_stream(spark, source, f"{s.out}/store", f"{s.out}/stream", size, full, cap)
-    while state["images"] is not None and state["n"] < s.n_generations and not (s.check_convergence and state["last"].converged):
-        if warm_start:
-            generations(state["images"], 1)
-        else:
-            generations(state["images"], s.n_generations - state["n"])
+            state["last"], state["n"] = last, state["n"] + 1
+        return over()
+
+    def full(k: int, images: DataFrame) -> bool:
+        if not warm_start:
+            state["n"] = k * per_round
+        return generations(images, (k + 1) * per_round)
+
+    rounds = -(-s.n_generations // per_round)
+    run_stream(spark, source, f"{s.out}/store", f"{s.out}/stream", size, full, cap, rounds)
+    images = stored(spark, f"{s.out}/store", cap)
+    while images is not None and not over():
+        generations(images, state["n"] + 1 if warm_start else s.n_generations)
     return state["last"]

@@ -1,7 +1,8 @@
 """Count-triggered generations over an ordered stream of events.
 
 A generation runs each time another ``size`` events are in. It sees all events so far, up to a cap; once the cap is reached
-every further event triggers one on the same data. State lives in tables, so a restart goes on where the last one ended.
+every further event triggers one on the same data. State lives in tables: the images, which generations have ended, and their
+results, so a restart goes on where the last one ended.
 """
 
 from __future__ import annotations
@@ -47,26 +48,66 @@ def fill(events: DataFrame, workers: int, most: int, order: str = "event_id") ->
     return routed.withColumn("worker", F.col("rank") % workers + 1).withColumn("slot", F.floor(F.col("rank") / workers)).drop("rank")
 
 
-def run_stream(spark: SparkSession, source: DataFrame, store: str, checkpoint: str, size: int, generation: Callable[[int, DataFrame], bool | None], cap: int | None = None) -> int:
-    """Appends a stream's micro-batches to ``store`` and calls ``generation(number, all images so far)`` for each that is full.
+def triggered(n: int, size: int, cap: int | None = None, generations: int | None = None) -> int:
+    """Generations that n events trigger: one each ``size``; past the cap one each event, if ``generations`` says where that ends."""
+    full = n // size if cap is None or n < cap else cap // size + (n - cap if generations is not None else 0)
+    return full if generations is None else min(full, generations)
 
-    Ends when the source is drained or a generation returns True (converged). Returns the number of generations run. A
-    micro-batch is stored under its own number and replaced if it is sent again, so none is counted twice.
+
+def stored(spark: SparkSession, store: str, cap: int | None = None) -> DataFrame | None:
+    """The images that a stream has stored so far, up to ``cap`` of them by image_id; None before the first."""
+    if not _exists(spark, f"{store}/images"):
+        return None
+    if cap is not None and _exists(spark, f"{store}/capped/_SUCCESS"):
+        return spark.read.parquet(f"{store}/capped")
+    return spark.read.parquet(f"{store}/images").drop("batch")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at))
+
+
+def finished(spark: SparkSession, store: str) -> tuple[int, bool]:
+    """(generations that a stream has finished, whether the last one ended it)."""
+    if not _exists(spark, f"{store}/generations"):
+        return 0, False
+    last = spark.read.schema("ended boolean, number int").parquet(f"{store}/generations").agg(F.count("*").alias("n"), F.max("ended").alias("ended")).first()
+    return last["n"], bool(last["ended"])
+
+
+def run_stream(
+    spark: SparkSession, source: DataFrame, store: str, checkpoint: str, size: int, generation: Callable[[int, DataFrame], bool | None],
+    cap: int | None = None, generations: int | None = None,
+) -> int:
+    """Appends a stream's micro-batches to ``store`` and calls ``generation(number, images so far)`` as often as ``triggered`` says.
+
+    Ends when the source is drained. After a generation returns True (converged) further images are stored, but none is run.
+    Returns the number of generations run, over all starts.
+
+    store/images/batch=N: the images; a micro-batch that is sent again replaces itself, so none is counted twice.
+    store/generations/number=N: written once a generation has ended. A stream that is started again goes on after the last of them;
+    a generation that was broken off runs again. store/capped: the first ``cap`` images, written once there are more.
     """
-    done = {"n": 0, "stop": False}
+    n, ended = finished(spark, store)
+    state = {"n": n, "ended": ended, "counts": {}}
+    if _exists(spark, f"{store}/images"):
+        counts = spark.read.parquet(f"{store}/images").groupBy("batch").count().collect()  # a row for each micro-batch
+        state["counts"] = {r["batch"]: r["count"] for r in counts}
 
     def take(batch: DataFrame, number: int) -> None:
-        if done["stop"]:
-            return
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        images = spark.read.parquet(store).drop("batch")
-        n = images.count()
-        if cap is not None and n > cap:
-            images = ranked(images, "image_id").where(F.col("rank") < cap).drop("rank")
-        while (done["n"] + 1) * size <= min(n, cap or n) and not done["stop"]:
-            done["stop"] = bool(generation(done["n"], images))
-            done["n"] += 1
+        path = f"{store}/images/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        state["counts"][number] = spark.read.parquet(path).count()
+        total = sum(state["counts"].values())
+        if cap is not None and total > cap and not _exists(spark, f"{store}/capped/_SUCCESS"):
+            images = spark.read.parquet(f"{store}/images").drop("batch")
+            ranked(images, "image_id").where(F.col("rank") < cap).drop("rank").write.mode("overwrite").parquet(f"{store}/capped")
+        while state["n"] < triggered(total, size, cap, generations) and not state["ended"]:
+            state["ended"] = bool(generation(state["n"], stored(spark, store, cap)))
+            spark.range(1).select(F.lit(state["ended"]).alias("ended")).write.mode("overwrite").parquet(f"{store}/generations/number={state['n']}")
+            state["n"] += 1
 
     query = source.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return done["n"]
+    return state["n"]

@@ -23,19 +23,12 @@ def test_align_search_finds_the_rotation(spark, data):
 
 
 def test_cg_residuals_are_small(spark, data):
-    for r in QUERIES["cg_solve_full"](spark, data).collect():
+    rows = QUERIES["cg_solve_full"](spark, data).collect()
+    assert len(rows) == 3
+    for r in rows:
         assert r["v2"] < 0.05 * r["v0"] and r["v1"] > 0 and r["values"] == 729
 
 
-def test_roundtrips(spark, data):
-    assert QUERIES["checkpoint_roundtrip"](spark, data).first().asDict() == {"generation": 2, "same": True}
-    from orbweave.plans.catalogue_runs import two_blobs
-
-    rows = QUERIES["mrc_roundtrip"](spark, data).orderBy("p").collect()
-    assert rows[0]["side"] == [9, 9, 9] and rows[0]["voxel"] == 2.5
-    assert np.allclose([r["v"] for r in rows], two_blobs().ravel(), atol=1e-6)
-
-
 def test_gauss_fits_and_zoom(spark, data):
     fits = QUERIES["gauss_fit"](spark, data).collect()
     assert len(fits) == 500 and all(np.isfinite([r["height"], r["place"], r["width"]]).all() for r in fits)

@@ -148,7 +148,64 @@ def test_stream_stops_when_converged(spark, tmp_path):
     images.repartition(3).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("image_id long, data array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     n = S.run_stream(spark, source, str(tmp_path / "store"), str(tmp_path / "cp"), 10, lambda k, df: k == 2, cap=50)
-    assert n == 3
+    # images that come after are stored all the same
+    assert n == 3 and S.finished(spark, str(tmp_path / "store")) == (3, True) and spark.read.parquet(str(tmp_path / "store/images")).count() == 60
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    images = spark.range(60).select(F.col("id").alias("image_id"), F.array(F.lit(1.0)).alias("data"))
+    images.repartition(3).write.parquet(str(tmp_path / "in"))
+    schema, ran, seen = "image_id long, data array<double>", [], []
+    source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def broken(k, df):
+        if k == 2:
+            raise RuntimeError("the driver is lost here")
+        ran.append(k)
+
+    def whole(k, df):
+        ran.append(k)
+        seen.append(df.count())
+
+    args = (str(tmp_path / "store"), str(tmp_path / "cp"), 10)
+    with pytest.raises(StreamingQueryException):
+        S.run_stream(spark, source(), *args, broken)
+    assert ran == [0, 1] and S.finished(spark, args[0]) == (2, False)
+    assert S.run_stream(spark, source(), *args, whole) == 6 and ran == [0, 1, 2, 3, 4, 5] and seen[-1] == 60
+    assert S.run_stream(spark, source(), *args, whole) == 6 and len(ran) == 6
+
+
+def test_events_past_the_cap_trigger_generations(spark, tmp_path):
+    images = spark.range(26).select(F.col("id").alias("image_id"), F.array(F.lit(1.0)).alias("data"))
+    images.repartition(2).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("image_id long, data array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+    n = S.run_stream(spark, source, str(tmp_path / "store"), str(tmp_path / "cp"), 5, lambda k, df: seen.append(df.count()), cap=20, generations=9)
+    assert n == 9 and max(seen) == 20 and seen[-5:] == [20] * 5
+    # the same law as over a table of events
+    rows = S.capped(spark.range(26).withColumnRenamed("id", "event_id"), 5, 20, 9).collect()
+    assert {r["generation"] for r in rows} == set(range(9)) and max(r["n_seen"] for r in rows) == 20
+    assert [S.triggered(x, 5, 20, 9) for x in (4, 5, 19, 20, 22, 26)] == [0, 1, 3, 4, 6, 9] and S.triggered(26, 5, 20) == 4 and S.triggered(26, 5) == 5
+
+
+def test_splines_pass_through_values_and_follow_cubics():
+    from orbweave.operators import kernels as K
+
+    rng = np.random.default_rng(3)
+    vol = rng.normal(size=(5, 5, 5))
+    assert np.allclose(K.resample(vol, 5), vol) and np.allclose(K.resample(vol, 9)[::2, ::2, ::2], vol) and np.allclose(K.resample(vol, 9, 1)[::2, ::2, ::2], vol)
+    x = np.arange(40.0)
+    at = np.linspace(12, 27, 31)
+    cubic = lambda t: (t - 20) ** 3 / 100 - (t - 20) ** 2 + t
+    assert np.allclose(K.interpolation(40, at) @ cubic(x), cubic(at), atol=1e-3)
+    assert np.allclose(K.interpolation(7, np.array([-0.1, 6.1])), 0) and np.allclose(K.interpolation(7, np.linspace(0, 6, 13)).sum(1), 1)
+    # a blob that moves comes back to the middle as it was
+    i, j, k = np.meshgrid(*[np.arange(17.0)] * 3, indexing="ij")
+    blob = lambda a: np.exp(-((i - a[0]) ** 2 + (j - a[1]) ** 2 + (k - a[2]) ** 2) / 8)
+    back = K.to_center_of_mass(blob((7.3, 8.6, 8.1)))
+    assert np.abs(back - blob((8, 8, 8))).max() < 0.01 and (K.to_center_of_mass(np.zeros((3, 3, 3))) == 0).all()
 
 
 @pytest.mark.parametrize("warm", [True, False])
