@@ -98,7 +98,8 @@ def _add(keys: list[str]):
     return run
 
 
-def _summed(slabs: DataFrame, keys: list[str]) -> DataFrame:
+def summed(slabs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key: the sum of its arrays ``data``."""
     kinds = dict(slabs.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "data array<double>"])
     parts = int(slabs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -108,7 +109,7 @@ def _summed(slabs: DataFrame, keys: list[str]) -> DataFrame:
 def normal_grids(images: DataFrame, det: np.ndarray, n: int) -> DataFrame:
     """member, part (rhs or kernel), slab, data. images: member, q (array w, x, y, z), data; det: 3 x pixels in radians."""
     parts = images.select(F.col("member").cast("int"), "q", "data").mapInArrow(_grids(det, n), "member int, part string, slab int, fan int, data array<double>")
-    return _summed(_summed(parts, ["member", "part", "slab", "fan"]), ["member", "part", "slab"])
+    return summed(summed(parts, ["member", "part", "slab", "fan"]), ["member", "part", "slab"])
 
 
 def kernel_transform(kernel: np.ndarray) -> np.ndarray:

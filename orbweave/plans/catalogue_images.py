@@ -301,6 +301,15 @@ def worker_fill(spark, d):
     return S.fill(T.table(spark, d, "events"), 4, 50).select("worker", "slot", "event_id")
 
 
+@_r.add(
+    "with e as (select event_id, row_number() over (order by event_id) - 1 as rank from events), n as (select count(*) as n from e), "
+    "more as (select event_id, n - 1 + unnest(range(1, (300 - n % 300) % 300 + 1)) as rank from e, n where rank = n - 1) "
+    "select rank // 300 as batch, rank % 300 as slot, event_id from (select * from e union all select * from more)"
+)
+def padded_batches(spark, d):
+    return S.pad(T.table(spark, d, "events"), 300).select("batch", "slot", "event_id")
+
+
 _RANK = "with e as (select *, row_number() over (order by event_id) - 1 as rank from events) "
 
 

@@ -121,6 +121,21 @@ def atom_density(spark, d):
     return rounded_columns(pdb.density(pdb.parse(lines), 9, 1.0, 0.8), "v")
 
 
+_CLUSTER = [(0.0, 0.0, 0.0, 6.0), (1.5, 0.2, -0.3, 8.0), (-0.7, 1.1, 0.4, 7.0), (0.3, -0.9, 1.2, 16.0)]
+
+
+@_r.add(
+    "with atoms(x, y, z, e) as (values " + ", ".join(str(tuple(a)) for a in _CLUSTER) + "), "
+    "about as (select x::double - avg(x::double) over () as x, y::double - avg(y::double) over () as y, z::double - avg(z::double) over () as z, e::double as e from atoms), "
+    "s as (select unnest(range(0, 5))::int as p), q as (select a.p as a, b.p as b, c.p as c from s a cross join s b cross join s c) "
+    "select i.p as i, j.p as j, k.p as k, round(sum(e * cos((q.a - 2) * x + (q.b - 2) * y + (q.c - 2) * z + 2 * pi() * ((q.a - 2) * (i.p - 2) + (q.b - 2) * (j.p - 2) + (q.c - 2) * (k.p - 2)) / 5)) / 125, 6) + 0.0 as v "
+    "from s i cross join s j cross join s k cross join q cross join about group by 1, 2, 3"
+)
+def reference_density(spark, d):
+    atoms = spark.createDataFrame(_CLUSTER, "x double, y double, z double, electrons double")
+    return rounded_columns(pdb.reference_density(atoms, 5, 2.0), "v")
+
+
 # Frequencies of a side of 4 that lie outside the ball, with the origin first; and what they make of an impulse.
 _OUT = (
     "s4 as (select unnest(range(0, 4))::int as a), fq as (select a, ((a + 2) % 4) * 2 * pi() / 3 - pi() as q from s4), "

@@ -48,6 +48,15 @@ def fill(events: DataFrame, workers: int, most: int, order: str = "event_id") ->
     return routed.withColumn("worker", F.col("rank") % workers + 1).withColumn("slot", F.floor(F.col("rank") / workers)).drop("rank")
 
 
+def pad(events: DataFrame, size: int, order: str = "event_id") -> DataFrame:
+    """events by batches of ``size`` (batch, slot), the last batch filled up by repeating the last event. No events give none."""
+    rows = ranked(events, order)
+    last = rows.orderBy(F.col("rank").desc()).limit(1)
+    copies = F.expr(f"sequence(rank + 1, rank + pmod(-(rank + 1), {size}))")
+    more = last.where(f"(rank + 1) % {size} != 0").withColumn("rank", F.explode(copies))
+    return rows.unionByName(more).withColumns({"batch": F.floor(F.col("rank") / size), "slot": F.col("rank") % size}).drop("rank")
+
+
 def triggered(n: int, size: int, cap: int | None = None, generations: int | None = None) -> int:
     """Generations that n events trigger: one each ``size``; past the cap one each event, if ``generations`` says where that ends."""
     full = n // size if cap is None or n < cap else cap // size + (n - cap if generations is not None else 0)
@@ -89,6 +98,8 @@ def run_stream(
     store/generations/number=N: written once a generation has ended. A stream that is started again goes on after the last of them;
     a generation that was broken off runs again. store/capped: the first ``cap`` images, written once there are more.
     """
+    if size < 1 or (cap is not None and (cap < size or cap % size)):
+        raise ValueError("a generation takes at least one image, and the cap has to be a multiple of what it takes")
     n, ended = finished(spark, store)
     state = {"n": n, "ended": ended, "counts": {}}
     if _exists(spark, f"{store}/images"):

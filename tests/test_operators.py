@@ -316,3 +316,24 @@ def test_density_cap_is_that_of_the_definition(spark):
 def test_top_k_keeps_ties_in_order():
     d = np.array([[3.0, 1.0, 1.0, 1.0, 0.5, 9.0, 1.0, 7.0, 8.0, 6.0, 5.0, 4.0]])
     assert M._top(d, 1).tolist() == [[4]] and M._top(d, 2).tolist() == [[4, 1]] and M._top(d, 3).tolist() == [[4, 1, 2]] and M._top(d, 12).tolist() == [np.argsort(d[0], kind="stable").tolist()]
+
+
+def test_streams_refuse_sizes_that_do_not_fit(spark, tmp_path):
+    for size, cap in ((0, None), (5, 12), (5, 3)):
+        with pytest.raises(ValueError):
+            S.run_stream(spark, None, str(tmp_path), str(tmp_path), size, lambda k, df: None, cap)
+    events = spark.range(7).withColumnRenamed("id", "event_id")
+    got = sorted((r["batch"], r["slot"], r["event_id"]) for r in S.pad(events, 3).collect())
+    assert got == [(0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 0, 3), (1, 1, 4), (1, 2, 5), (2, 0, 6), (2, 1, 6), (2, 2, 6)]
+    assert S.pad(events.limit(0), 3).count() == 0 and S.pad(events.where("event_id < 6"), 3).count() == 6
+
+
+def test_reference_density_has_its_atoms(spark):
+    from orbweave.sources import pdb
+
+    atoms = spark.createDataFrame([(0.0, 0.0, 0.0, 9.0), (4.0, 0.0, 0.0, 9.0), (-4.0, 0.0, 0.0, 1.0), (0.0, 0.0, 0.0, -0.0)], "x double, y double, z double, electrons double")
+    rows = pdb.reference_density(atoms.where("electrons > 5"), 17, np.pi).collect()
+    top = sorted(rows, key=lambda r: -r["v"])[:2]
+    assert len(rows) == 17**3 and {(r["j"], r["k"]) for r in top} == {(8, 8)} and abs(top[0]["i"] - top[1]["i"]) == 4
+    with pytest.raises(ValueError):
+        pdb.reference_density(atoms, 4, 1.0)
