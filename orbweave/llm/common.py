@@ -66,19 +66,23 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 
 
 #: Keys with over one part in HEAVY of all rows; there are fewer than HEAVY of them, so they can be broadcast.
-HEAVY = 10_000
+HEAVY = 1000
+#: Parts into which the rows of such a key are dealt.
+PARTS = 32
 
 
 def join_counted(rows: DataFrame, names: DataFrame, on: list[str], total: int) -> DataFrame:
     """``rows`` joined to ``names``, which has each key once and the number ``n`` of its rows; ``total`` is at least their sum.
 
-    Keys that hold many rows are joined by broadcast, so none of them lands in one task; the others are shuffled. ``names`` is
-    read three times: write it to a table first.
+    The rows of a key that holds many are dealt into PARTS parts, by the partition that they come from, and such a key stands once
+    for each part in ``names``; so no key lands in one task. ``names`` is read twice: write it to a table first.
     """
-    heavy = names.where(F.col("n") * HEAVY > total).drop("n")
-    light = names.where(F.col("n") * HEAVY <= total).drop("n")
-    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti")
-    return rows.join(F.broadcast(heavy), on).unionByName(rest.join(light, on))
+    heavy = F.col("n") * HEAVY > total
+    dealt = names.withColumn("__part", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    many = names.where(heavy).select(*on, F.lit(True).alias("__many"))
+    part = F.when(F.col("__many"), F.pmod(F.spark_partition_id(), F.lit(PARTS))).otherwise(0)
+    rows = rows.join(F.broadcast(many), on, "left").withColumn("__part", part).drop("__many")
+    return rows.join(dealt, [*on, "__part"]).drop("__part")
 
 
 def join_spread(rows: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:

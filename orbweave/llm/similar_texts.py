@@ -119,11 +119,14 @@ def _close(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     n = len(nodes)
     size = np.array([len(s) for s in sets])
     start = np.concatenate(([0], np.cumsum(size)))
-    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), size)
-    order = np.argsort(dense, kind="stable")
-    held = owner[order]  # owners by shingle
-    first = np.searchsorted(dense[order], np.arange(dense.max() + 2 if len(dense) else 1))
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable").astype(np.int32)  # at most CLOSED shingles, or one text's
+    fresh = np.diff(every[order], prepend=every[order[:1]]) != 0
+    dense = np.empty(len(every), dtype=np.int32)
+    dense[order] = np.cumsum(fresh, dtype=np.int32)
+    held = np.repeat(np.arange(n, dtype=np.int32), size)[order]  # owners by shingle
+    first = np.concatenate(([0], np.nonzero(fresh)[0], [len(every)]))
+    del every, order, fresh
     alone = np.ones(n, dtype=bool)
     edges = []
     for root in range(n):
