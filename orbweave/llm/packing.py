@@ -131,22 +131,24 @@ def grouped(texts: Iterator[str], chars: int = 1 << 18) -> Iterator[list[str]]:
 def _pieces(path: str, limit: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, at_task, nth = tokenizer(path), TaskContext.get().partitionId() * _TASK_STRIDE, 0
+        kind = "<u2" if tok.whole.get_vocab_size() <= 1 << 16 else "<u4"  # what is shuffled is as narrow as the ids allow
         for batch in batches:
             at = 0
             for texts in grouped(t.as_py() or "" for t in batch.column(1)):
-                rows, start, ids, total, bucket = [], [], [], [], []
+                rows, start, tokens, ids, total, bucket = [], [], [], [], [], []
                 for x in tok.ids(texts):
                     for s in range(0, len(x), limit):
                         rows.append(at)
                         start.append(s)
-                        ids.append(x[s : s + limit].tobytes())
+                        tokens.append(min(limit, len(x) - s))
+                        ids.append(x[s : s + limit].astype(kind).tobytes())
                         total.append(len(x))
                         nth += 1
                         bucket.append((at_task + nth * _STRIDE) % (1 << 64) * n_buckets >> 64)
                     at += 1
                 yield pa.record_batch(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64()), pa.array(bucket, pa.int64())],
-                    names=["doc_id", "start", "ids", "doc_tokens", "bucket"],
+                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(tokens, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64()), pa.array(bucket, pa.int64())],
+                    names=["doc_id", "start", "tokens", "ids", "doc_tokens", "bucket"],
                 )
 
     return run
@@ -172,13 +174,17 @@ def assign(lengths: np.ndarray, limit: int) -> list[tuple[int, int, int, int, in
     return out
 
 
+def _wide(ids: bytes, tokens: int) -> np.ndarray:
+    return np.frombuffer(ids, dtype=f"<u{len(ids) // int(tokens)}").astype("<u4")
+
+
 def _pack(limit: int):
     def run(table_: pa.Table) -> pa.Table:
-        sizes = np.array([len(x.as_py()) // 4 for x in table_.column("ids")], dtype=np.int64)
+        sizes = table_.column("tokens").to_numpy()
         order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], str(table_.column("doc_id")[i]), table_.column("start")[i].as_py()))
         placed = assign(sizes[order], limit)
         rows = pa.array([order[p[0]] for p in placed], pa.int64())
-        ids = [table_.column("ids")[order[i]].as_py()[4 * a : 4 * (a + n)] for i, a, n, _, _ in placed]
+        ids = [_wide(table_.column("ids")[order[i]].as_py(), sizes[order[i]])[a : a + n].tobytes() for i, a, n, _, _ in placed]
         bucket = table_.column("bucket")[0].as_py()
         shift = pa.array([p[1] for p in placed], pa.int64())
         start = pa.chunked_array([np.asarray(table_.column("start").take(rows)) + np.asarray(shift)])
@@ -211,7 +217,7 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, bucket_by
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = docs.select("doc_id", "text").mapInArrow(
-        _pieces(path or default_tokenizer(), limit, n_buckets), f"doc_id {kind}, start long, ids binary, doc_tokens long, bucket long"
+        _pieces(path or default_tokenizer(), limit, n_buckets), f"doc_id {kind}, start long, tokens long, ids binary, doc_tokens long, bucket long"
     )
     return pieces.groupBy("bucket").applyInArrow(
         _pack(limit), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
