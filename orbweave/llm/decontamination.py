@@ -14,7 +14,7 @@ on a text once and its windows as numbers; the words of a candidate are cut from
 one text and item are verified in one pass over them.
 
 Items are a table as well: their shingles and fingerprints are worked out on executors, and only the hashes of a pass (at most
-PASS_SHINGLES, and of sizes that have them) go through the driver, to be broadcast. A benchmark of more takes more passes, each
+PASS_WORDS, and the sizes that have them) go through the driver, to be broadcast. A benchmark of more takes more passes, each
 written to the shared folder before the next begins.
 """
 
@@ -39,9 +39,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits of 64. Texts of similarity 0.8 differ in 9.7 bits on average, and in 16 or fewer 99 times in 100.
 RADIUS = 16
-#: Distinct items, and shingles of them, in one pass over the documents: some 30 MB of broadcast each.
+#: Distinct items, and words of them, in one pass over the documents, about: some 30 MB of broadcast each.
 PASS_ITEMS = 20_000
-PASS_SHINGLES = 2_000_000
+PASS_WORDS = 2_000_000
 #: Words whose running sums are held at once, and windows looked at together.
 STRETCH, TOGETHER = 1 << 14, 1 << 15
 
@@ -239,10 +239,10 @@ def leaking(docs: DataFrame, benchmark: DataFrame, kept: list[str], radius: int
     items = materialise(items, "items")
     ids = items.select("item_id", "item").distinct()
     texts = materialise(items.drop("item_id").dropDuplicates(["item"]), "item_texts")
-    total = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("hashes")), F.lit(0)).alias("h")).first()
-    passes = max(-(-total["n"] // PASS_ITEMS), -(-total["h"] // PASS_SHINGLES), 1)
+    total = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
+    passes = max(-(-total["n"] // PASS_ITEMS), -(-total["words"] // PASS_WORDS), 1)
     row = ", ".join(f"`{c}` {t}" for c, t in docs.select(*kept).dtypes)
-    done = spark.createDataFrame([], f"{row}, item_id {kind}, start long, similarity double")
+    done = None
     for p in range(passes):
         part = texts.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == p)
         pairs = part.select("size", F.explode("hashes").alias("h")).distinct().toArrow()
@@ -259,13 +259,14 @@ def leaking(docs: DataFrame, benchmark: DataFrame, kept: list[str], radius: int
         cut = F.expr("substring(__words, begin + 1, end - begin)").alias("stretch")
         pairs = pairs.join(own.select("__text", "__words"), "__text").select("__text", "item", "first", "starts", cut)
         # candidates are few; a stage of their own keeps a task at one Python worker
-        pairs = pairs.repartition("__text", "item").join(part.select("item", "words"), "item")
+        pairs = pairs.repartition("__text", "item").join(F.broadcast(part.select("item", "words")), "item")
         scored = pairs.mapInArrow(_verify, "__text binary, item binary, start long, similarity double").where(F.col("similarity") >= least)
         scored = materialise(scored, "scored")
         names = scored.join(ids, "item").join(own.select("__text", "n"), "__text").select("__text", "n", "item_id", "start", "similarity")
         n_rows = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         got = join_counted(found.select(*kept, "__text"), materialise(names, "names"), ["__text"], n_rows)
-        done = done.union(got.select(*kept, "item_id", "start", "similarity"))
+        got = got.select(*kept, "item_id", "start", "similarity")
+        done = got if done is None else done.union(got)
         shared.unpersist()
     return done
 

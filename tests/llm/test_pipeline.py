@@ -1,9 +1,10 @@
 """Tests of the pipeline."""
 
+import pytest
 from llm_cases import check_packing, odd_docs, pairs
 from pyspark.sql import functions as F
 
-from orbweave.llm import personal_data, stages
+from orbweave.llm import common, personal_data, stages
 
 
 def test_pipeline_stages(spark):
@@ -44,7 +45,9 @@ def test_pipeline_stages_on_odd_documents(spark, data):
     assert packed.select("doc_id").distinct().count() == 10 and stages.pack(spark, docs.limit(0), data).count() == 0
 
 
-def test_rows_are_dropped_by_text_and_id(spark, data):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_rows_are_dropped_by_text_and_id(spark, data, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_IDS", broadcast)
     line = lambda w: " ".join(f"{w}{i}" for i in range(40))
     rows = [(1, line("a")), (5, line("a")), (5, line("b")), (7, line("c")), (7, line("c")), (None, line("d")), (None, line("d") + " x"), (None, line("e"))]
     docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, keeper string")
