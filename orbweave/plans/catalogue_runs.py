@@ -176,19 +176,27 @@ def preferred_orientations(spark, d):
     return rounded_columns(draw.select("image_id", *[x.alias(n) for n, x in zip("wxyz", near, strict=True)]), "w", "x", "y", "z")
 
 
-@_r.add()
+@_r.add(
+    "with n as (select count(*) as n from embeddings), r as (select row_number() over (order by vec_id) - 1 as rank, unnest(embedding)::double as v from embeddings), "
+    "s as (select floor(rank * 5 / n) as share, count(*) as c, sum(v) as t from r cross join n group by 1), "
+    "seen as (select sum(c) over (order by share) as c, sum(t) over (order by share) as t from s), g as (select unnest(range(0, n // 100))::int as generation from n) "
+    "select generation, min(c)::bigint as n, round(arg_min(t, c) / min(c), 6) + 0.0 as mean from g join seen on c >= (generation + 1) * 6400 group by 1"
+)
 def stream_reconstruction(spark, d):
-    """Driver images as a file stream; a mean image for each generation of 100 images, as its batch twin would give it."""
+    """Driver images as a stream of five files in order; a mean image for each 100 images, over all that are in by then."""
     from ..streaming.generations import run_stream
 
     out = T.scratch(spark)
-    T.wide(spark, d).repartition(5).write.parquet(f"{out}/source")
+    images = T.ranked(T.wide(spark, d), "image_id")
+    n = images.count()
+    for i in range(5):  # one after the other, as the stream reads files in order of their times
+        images.where(F.floor(F.col("rank") * 5 / n) == i).drop("rank").coalesce(1).write.parquet(f"{out}/source/file={i}")
     rows = []
 
     def generation(number, images):
         got = images.select(F.explode("data").alias("v")).agg(F.count("*"), F.avg("v")).first()
         rows.append((number, got[0], got[1]))
 
-    source = spark.readStream.schema("image_id long, data array<double>").option("maxFilesPerTrigger", 1).parquet(f"{out}/source")
+    source = spark.readStream.schema("image_id long, data array<double>").option("maxFilesPerTrigger", 1).parquet(f"{out}/source").select("image_id", "data")
     run_stream(spark, source, f"{out}/store", f"{out}/checkpoint", 100, generation)
-    return spark.createDataFrame(rows, "generation int, n long, mean double")
+    return rounded_columns(spark.createDataFrame(rows, "generation int, n long, mean double"), "mean")
