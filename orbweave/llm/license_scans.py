@@ -3,9 +3,9 @@
 All rolling word k-gram hashes of a document are joined to the positions that they have in the templates. A hit at document
 word p and template offset o votes for the diagonal p - o. Each diagonal with a vote opens a span, into which the neighbouring
 diagonals up to DRIFT further on (small insertions) are merged; the span's vote is the number of *distinct* template offsets that
-it hits, so a k-gram that repeats counts once. A span is then verified: the document's words from its first hit to its last are
-compared with the whole template by edit distance over words. Its score is the lesser of the share of offsets hit and the share
-of words that agree, and it counts from COVER on.
+it hits, so a k-gram that repeats counts once. A span that hits COVER of them is then verified: the document's words from its
+first hit to its last are compared with the whole template by edit distance over words. Its score is the lesser of the share of
+offsets hit and the share of words that agree, and it counts from COVER on; a span with fewer hits scores their share.
 
 The join confirms the words themselves beside their hash, and an exact phrase must have all its votes on one diagonal, so that
 it is an exact occurrence.
@@ -13,6 +13,9 @@ it is an exact occurrence.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,16 +63,30 @@ def _gram_rows(rows: list[tuple[int, str, str, bool]]) -> list[tuple[str, list[t
     return list(at.items())
 
 
-def _hits(w: Column, known: list[str], most: int) -> Column:
-    """(position, hash, words, the words from there on) of every rolling k-gram of the word array that some template has."""
+def _hits(w: Column, known: list[str], most: int, alone: bool) -> Column:
+    """(position, hash, words, next) of every rolling k-gram of the word array that some template has.
+
+    next: the words from there on, as many as a span can have; null where no other hit comes within them, as then no span begins
+    (unless a single one makes a span: ``alone``).
+    """
 
     def one(i: Column) -> Column:
         return F.concat_ws(" ", *[F.get(w, i + j) for j in range(K)])
 
-    grams = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.struct(i.alias("pos"), one(i).alias("g")))
+    # most places go by single words, before any words are joined
+    nth = [sorted({g.split(" ")[j] for g in known}) for j in range(K)]
+    at = F.filter(F.sequence(F.lit(0), F.size(w) - K), lambda i: functools.reduce(operator.and_, [F.get(w, i + j).isin(nth[j]) for j in range(K)]))
+    grams = F.transform(at, lambda i: F.struct(i.alias("pos"), one(i).alias("g")))
     kept = F.filter(grams, lambda x: x["g"].isin(known))
-    hit = F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["g"]).alias("h"), x["g"].alias("g"), F.slice(w, x["pos"] + 1, most).alias("next")))
-    return F.when(F.size(w) >= K, hit)
+
+    def hits(s: Column) -> Column:
+        def one_hit(x: Column, i: Column) -> Column:
+            near = F.lit(True) if alone else F.get(s, i + 1)["pos"] - x["pos"] <= most - K
+            return F.struct(x["pos"].alias("pos"), F.xxhash64(x["g"]).alias("h"), x["g"].alias("g"), F.when(near, F.array_join(F.slice(w, x["pos"] + 1, most), " ")).alias("next"))
+
+        return F.transform(s, one_hit)
+
+    return F.when(F.size(w) >= K, let(kept, hits))
 
 
 def _letters(words_: Column, template: Column, alphabet: str) -> Column:
@@ -91,12 +108,13 @@ def scan_licenses(docs: DataFrame, rows: list[tuple[int, str, str, bool]] | None
     longest = max((len(p.split(" ")) for _, p, _, _ in rows), default=1)
     alphabet = "".join(chr(0x4E00 + i) for i in range(longest + 1))
     found = _gram_rows(rows)
+    alone = any(not e and len(p.split(" ")) <= K for _, p, _, e in rows)
     grams = spark.createDataFrame(found, "gram string, hits array<struct<tid:int,off:int>>").withColumn("gram_hash", F.xxhash64("gram"))
     names = spark.createDataFrame(
         [(i, l, e, len(p.split(" ")) - K + 1, p.split(" ")) for i, p, l, e in rows], "tid int, label string, exact boolean, size int, template array<string>"
     )
     text = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("sig"), words(ascii_lower(text_or_empty()), ALNUM_WORD).alias("w"))
-    text = text.select("doc_id", "sig", F.size("w").cast("long").alias("n_words"), _hits(F.col("w"), [g for g, _ in found], longest + DRIFT).alias("grams"))
+    text = text.select("doc_id", "sig", F.size("w").cast("long").alias("n_words"), _hits(F.col("w"), [g for g, _ in found], longest + DRIFT, alone).alias("grams"))
     each = text.select("doc_id", "sig", "n_words", F.posexplode_outer("grams").alias("nth_gram", "x"))
     met = each.join(F.broadcast(grams), (F.col("x.h") == F.col("gram_hash")) & (F.col("x.g") == F.col("gram")), "left")
     met = met.select("doc_id", "sig", "n_words", "nth_gram", F.col("x.pos").alias("pos"), F.col("x.next").alias("next"), F.posexplode_outer("hits").alias("nth", "hit"))
@@ -118,9 +136,9 @@ def scan_licenses(docs: DataFrame, rows: list[tuple[int, str, str, bool]] | None
         (F.max("to").over(near) - F.min("from").over(near) + K).alias("length"),
         F.min(F.struct("from", "next")).over(near)["next"].alias("next"),
     )
-    edits = F.levenshtein(_letters(F.slice("next", F.lit(1), F.greatest(F.col("length"), F.lit(0))), F.col("template"), alphabet), _letters(F.col("template"), F.col("template"), alphabet))
+    edits = F.levenshtein(_letters(F.slice(F.split("next", " "), F.lit(1), F.greatest(F.col("length"), F.lit(0))), F.col("template"), alphabet), _letters(F.col("template"), F.col("template"), alphabet))
     cover, agree = F.col("votes") / F.col("size"), F.greatest(F.lit(0.0), 1 - edits / F.size("template"))
-    spans = spans.withColumn("score", F.when(F.col("exact"), cover).otherwise(F.least(cover, agree)))
+    spans = spans.withColumn("score", F.when(F.col("exact") | (cover < COVER), cover).otherwise(F.least(cover, agree)))
     sure = F.col("tid").isNotNull() & F.when(F.col("exact"), F.col("votes") >= F.col("size")).otherwise(F.col("score") >= COVER)
     spans = spans.withColumn("sure", F.coalesce(sure, F.lit(False)))
     base = F.col("sure") & F.col("exact")
@@ -163,7 +181,7 @@ scored as (
          1 - levenshtein({code("w[p + 1 : q]")}, {code("tw")})::double / len(tw) as agree
   from spans s join tw using (tid) join d on d.doc_id = s.doc_id),
 judged as (
-  select *, case when exact then cover else least(cover, greatest(0, agree)) end as score from scored),
+  select *, case when exact or cover < {COVER} then cover else least(cover, greatest(0, agree)) end as score from scored),
 per as (
   select doc_id, count(*) filter (exact and votes = size) as n_base, min(start) filter (exact and votes = size) as first_word,
          max(start) filter (exact and votes = size) as last_word,

@@ -49,7 +49,7 @@ def brute_scan(text, rows):
                 continue
             hits = [(p, o) for o in range(grams) for p in range(max(0, o + d), min(len(w) - 1, o + d + reach + 1)) if w[p : p + 2] == t[o : o + 2]]
             score = len({o for _, o in hits}) / grams
-            if not exact:
+            if not exact and score >= license_scans.COVER:
                 a, z = min(p for p, _ in hits), max(p for p, _ in hits) + 2
                 score = min(score, max(0.0, 1 - levenshtein([x if x in t else None for x in w[a:z]], t) / len(t)))
             top = max(top, score)
@@ -84,3 +84,11 @@ def test_spans_equal_brute_force(spark):
     got = {r["doc_id"]: (r["labels"], r["base_labels"], r["score"]) for r in documents.collect()}
     assert got == {i: brute_scan(t, rows) for i, t in enumerate(texts)}
     assert [got[i][0] for i in range(4)] == ["", "", "all-rights-reserved", ""] and got[4][:2] == ("mit", "mit") and got[5][0] == "" and "mit-notice" in got[6][0]
+
+
+def test_templates_of_ones_own(spark):
+    rows = [(0, "free words", "short", False), (1, "one two three four five", "long", False)]
+    texts = ["free words", "so free words are", "one two three four five", "one two three x four five", "one two", ""]
+    _, documents = license_scans.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rows)
+    got = {r["doc_id"]: (r["labels"], r["base_labels"], r["score"]) for r in documents.collect()}
+    assert got == {i: brute_scan(t, rows) for i, t in enumerate(texts)} and got[1][0] == "short" and got[2][0] == "long"
