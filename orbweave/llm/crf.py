@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterable
 
 import numpy as np
 
 TAGS = ["O", "secret", "id", "spelled_email"]
 #: Words whose identity is a feature; all others count by shape alone.
 CUES = frozenset("token key secret password passwd pwd api apikey bearer auth ssn passport iban id no number account at dot (at) [at] (dot) [dot] = : is".split())
+LONGEST_CUE = max(map(len, CUES))
+#: Words of runs that are decoded together, about.
+CELLS = 1 << 17
 STEPS = 250
 RATE = 0.2
 RIDGE = 1e-3
@@ -88,8 +90,11 @@ class Crf:
 
     def _kind(self, word: str) -> int:
         """The row of scores of all words with the same features; a word without digits has no features beside these three."""
-        digits = _DIGIT.search(word)
-        key = tuple(features(word)) if digits else (shape(word), min(len(word.strip(_QUOTES)), 60) // 6, cue(word))
+        # most words are of letters alone, small or with a capital first: what they have in common is seen at once
+        if word.isalpha() and (word.islower() or (word[0].isupper() and word[1:].islower())):
+            key = ("a" if word.islower() else "Aa", min(len(word), 60) // 6, cue(word) if len(word) <= LONGEST_CUE else "")
+        else:
+            key = self._key(word)
         i = self.kinds.get(key)
         if i is None:
             i = self.kinds[key] = len(self.kinds)
@@ -98,21 +103,31 @@ class Crf:
             self.scores[i] = sum((self.weights.get(f, self.none) for f in features(word)), self.none)
         return i
 
-    def rows(self, words: Iterable[str]) -> np.ndarray:
-        row, out = self.row, []
-        for w in words:
-            i = row.get(w)
-            if i is None:
-                i = row[w] = self._kind(w)
-            out.append(i)
+    @staticmethod
+    def _key(word: str) -> tuple:
+        digits = _DIGIT.search(word)
+        return tuple(features(word)) if digits else (shape(word), min(len(word.strip(_QUOTES)), 60) // 6, cue(word))
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        row = self.row
+        out = list(map(row.get, words))
+        if None in out:
+            for at, w in enumerate(words):
+                if out[at] is None:
+                    i = row.get(w)
+                    if i is None:
+                        i = row[w] = self._kind(w)
+                    out[at] = i
         return np.array(out, dtype=np.int64)
 
-    def emissions(self, words: list[str]) -> np.ndarray:
+    def emissions(self, words: list[str], text: np.ndarray | None = None) -> np.ndarray:
+        """Scores of each word's tags; with ``text`` (a number for each word) words of different texts don't count as neighbours."""
         rows = self.rows(words)
         s = self.scores[rows]  # rows() may have enlarged the table
         out = s[:, 1].copy()
-        out[1:] += s[:-1, 2]  # what a word says about the one after it
-        out[:-1] += s[1:, 0]
+        beside = 1 if text is None else (text[1:] == text[:-1])[:, None]
+        out[1:] += s[:-1, 2] * beside  # what a word says about the one after it
+        out[:-1] += s[1:, 0] * beside
         return out
 
     def decode(self, texts: list[list[str]]) -> list[list[tuple[int, int]]]:
@@ -123,45 +138,50 @@ class Crf:
         """
         if len(self.row) > self.REMEMBERED:
             self.forget()
-        runs, at = [], []
-        for t, words in enumerate(texts):
-            if not words:
-                continue
-            e = self.emissions(words)
-            open_ = np.concatenate(([False], (e[:, :1] - e[:, 1:] <= self.gain).any(1), [False]))
-            edge = np.diff(open_.astype(np.int8))
-            for a, z in zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist(), strict=True):
-                runs.append((e[a:z], a > 0, z < len(words)))
-                at.append((t, a))
+        size = [len(words) for words in texts]
+        text = np.repeat(np.arange(len(texts)), size)
+        first = np.cumsum([0, *size])
+        e = self.emissions([w for words in texts for w in words], text)
+        open_ = np.nonzero((e[:, :1] - e[:, 1:] <= self.gain).any(1))[0]
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
-        order = sorted(range(len(runs)), key=lambda i: len(runs[i][0]))
-        for lo in range(0, len(order), 512):
-            part = order[lo : lo + 512]
-            for i, tags in zip(part, self._viterbi([runs[i] for i in part]), strict=True):
-                t, a = at[i]
-                out[t] += [(a + j, int(k)) for j, k in enumerate(tags) if k]
-        return [sorted(x) for x in out]
-
-    def _viterbi(self, runs: list[tuple[np.ndarray, bool, bool]]) -> list[np.ndarray]:
-        """Best tags of runs; the flags tell whether an O stands before and after."""
-        n, longest = len(runs), max(len(r[0]) for r in runs)
-        e = np.zeros((n, longest, len(TAGS)))
-        length = np.array([len(r[0]) for r in runs])
-        for i, r in enumerate(runs):
-            e[i, : len(r[0])] = r[0]
-        before, after = (np.array([r[j] for r in runs])[:, None] for j in (1, 2))
-        best = e[:, 0] + before * self.pairs[0]
+        if not len(open_):
+            return out
+        fresh = np.concatenate(([True], (np.diff(open_) > 1) | (np.diff(text[open_]) > 0)))
+        starts, ends = open_[fresh], open_[np.append(fresh[1:], True)] + 1
+        own = text[starts]
+        length, before, after = ends - starts, starts > first[own], ends < first[own + 1]
+        order = np.argsort(length, kind="stable")
+        found, lo = [], 0
+        while lo < len(order):
+            # runs of similar length, as many as fit
+            hi = lo + max(1, int((length[order[lo : lo + CELLS]] * np.arange(1, len(order[lo : lo + CELLS]) + 1) <= CELLS).sum()))
+            part = order[lo:hi]
+            tags = self._viterbi(e, starts[part], length[part], before[part], after[part])
+            i, j = np.nonzero(tags)
+            found.append(np.stack((starts[part[i]] + j, tags[i, j])))
+            lo = hi
+        words, tags = np.concatenate(found, axis=1)
+        for w, k in sorted(zip(words.tolist(), tags.tolist(), strict=True)):
+            t = int(text[w])
+            out[t].append((w - int(first[t]), k))
+        return out
+
+    def _viterbi(self, every: np.ndarray, starts: np.ndarray, length: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Best tags (runs x words) of the runs of words from ``starts`` on; ``before`` and ``after`` tell whether an O stands there."""
+        n, longest = len(starts), int(length.max())
+        e = every[np.minimum(starts[:, None] + np.arange(longest), len(every) - 1)]
+        best = e[:, 0] + before[:, None] * self.pairs[0]
         back = np.zeros((n, longest, len(TAGS)), dtype=np.int8)
         for t in range(1, longest):
             via = best[:, :, None] + self.pairs
             back[:, t] = via.argmax(1)
             best = np.where((t < length)[:, None], via.max(1) + e[:, t], best)
-        tag = (best + after * self.pairs[:, 0]).argmax(1)
-        out = [np.zeros(x, dtype=np.int8) for x in length]
+        tag = (best + after[:, None] * self.pairs[:, 0]).argmax(1)
+        out, rows = np.zeros((n, longest), dtype=np.int8), np.arange(n)
         for t in range(longest - 1, -1, -1):
-            for i in np.nonzero(t < length)[0]:
-                out[i][t] = tag[i]
-                tag[i] = back[i, t, tag[i]] if t else 0
+            live = t < length
+            out[:, t] = np.where(live, tag, 0)
+            tag = np.where(live, back[rows, t, tag], tag)
         return out
 
 

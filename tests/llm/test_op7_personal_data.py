@@ -56,6 +56,26 @@ def test_viterbi_equals_the_full_lattice(field):
         assert field.decode([words])[0] == [(i, k) for i, k in enumerate(path) if k]
 
 
+def test_kinds_of_plain_words_are_those_of_their_features(field):
+    for w in ["a", "A", "Ab", "aB", "AB", "token", "Token", "TOKEN", "schö", "Ñu", "漢字", "漢A", "ǅa", "ß", "ªb", "x" * 100, "A" + "x" * 80, "accounts", "Password"]:
+        assert features_key(w) == field._key(w), w
+
+
+def features_key(word):
+    """What the fast path takes a word for."""
+    if word.isalpha() and (word.islower() or (word[0].isupper() and word[1:].islower())):
+        return "a" if word.islower() else "Aa", min(len(word), 60) // 6, crf.cue(word) if len(word) <= crf.LONGEST_CUE else ""
+    return crf.Crf._key(word)
+
+
+def test_texts_decoded_together_are_those_decoded_alone(field, monkeypatch):
+    texts = [r[0] for r in personal_data.labelled_rows()][:200] + [[], ["token"] * 500, ["="] * 300]
+    alone = [field.decode([t])[0] for t in texts]
+    assert field.decode(texts) == alone
+    monkeypatch.setattr(crf, "CELLS", 64)
+    assert field.decode(texts) == alone and field.decode([]) == []
+
+
 def test_field_finds_what_patterns_do_not(field):
     texts = ['Ein token = "0123456789abcdef0123456789abcdef01234567" da.', "his ssn 123-45-6789 was", "schreib hugo (at) mail (dot) org bald", "Plain words, and 12 more. THE!! END###"]
     kinds = [[crf.TAGS[k] for _, k in x] for x in field.decode([t.split() for t in texts])]
