@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detector, evaluation, kernels, matching, merging, phasing
+from ..operators import detector, evaluation, matching, merging, phasing
 from ..sources import mrc
 from ..sources.tables import pixels, scratch
 from .settings import Settings
