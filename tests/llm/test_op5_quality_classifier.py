@@ -1,6 +1,5 @@
 """Tests of quality classifier."""
 
-import random
 import zlib
 from collections import Counter
 
