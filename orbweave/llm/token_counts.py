@@ -26,7 +26,7 @@ from .packing import grouped
 
 KEYS = ["source", "lang", "tokenizer"]
 #: Folders of the ledger. A ledger keeps the number that it was begun with.
-BUCKETS = 64
+BUCKETS = 16
 TOKENIZER = "byte_bpe_50k"
 
 
