@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scans, packing, personal_data, quality_classifier, quality_rules, sharding, simhash_dedup, token_counts, url_filters
+from . import (
+    decontamination,
+    exact_search,
+    license_scans,
+    packing,
+    personal_data,
+    prefix_trie,
+    quality_classifier,
+    quality_rules,
+    ranked_search,
+    sharding,
+    simhash_dedup,
+    token_counts,
+    url_filters,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,5 +29,8 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_packing": packing.op9_packing,
     "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_exact_search": exact_search.op12_exact_search,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
-ORACLE_SQL = url_filters.ORACLE | license_scans.ORACLE | quality_rules.ORACLE
+ORACLE_SQL = url_filters.ORACLE | license_scans.ORACLE | quality_rules.ORACLE | ranked_search.ORACLE | exact_search.ORACLE | prefix_trie.ORACLE
