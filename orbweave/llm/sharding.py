@@ -6,7 +6,9 @@ probed again, more finely, until each splitter is within tolerance. Then the row
 
 Equal texts stay in one shard. A group of copies too large for the tolerance is placed whole first, into the emptiest shard,
 and the splitters share out the rest by what each shard has left; at most 2 * shards / tolerance groups can be that large, so
-the driver sees a bounded number of them. Only a group that fits no shard (as a third of all rows does) is spread, by doc_id.
+the driver sees a bounded number of them. Only a group that fits no shard (as a third of all rows does) is spread: its rows are
+numbered, whatever their doc_ids, and runs of them fill the emptiest shards. Slots are numbered where the one exchange has put the
+rows.
 """
 
 from __future__ import annotations
@@ -61,61 +63,87 @@ def _splitters(rest: DataFrame, targets: list[float], slack: float) -> list[int]
     return [found[j] for j in range(len(targets))]
 
 
+def _place(big: list[tuple[int, int, int]], share: float, n_shards: int, tolerance: float) -> tuple[list[float], list[tuple], list[tuple]]:
+    """(bytes placed in each shard, whole groups and their shards, spread groups with the ends and shards of their runs) of groups (bytes, key, rows).
+
+    A spread group fills the emptiest shards, one after another, up to their share; what is left over goes row by row to the emptiest.
+    """
+    load, whole, spread = [0] * n_shards, [], []
+    for b, k, n in big:
+        least = load.index(min(load))
+        if n == 1 or load[least] + b <= share * (1 + tolerance / 2):
+            load[least] += b
+            whole.append((k, least))
+            continue
+        size, left, ends, to = b // n, n, [0], []  # equal texts have equal sizes
+        for j in sorted(range(n_shards), key=load.__getitem__):
+            take = min(left, max(0, int((share - load[j]) // size)))
+            if take:
+                ends.append(ends[-1] + take)
+                to.append(j)
+                load[j] += take * size
+                left -= take
+        for _ in range(left):  # by less than a row each shard is short of its share, so these are few
+            least = load.index(min(load))
+            ends.append(ends[-1] + 1)
+            to.append(least)
+            load[least] += size
+        spread.append((k, ends[1:], to))
+    return load, whole, spread
+
+
+def _numbered(rows: DataFrame, by: str, what: str) -> DataFrame:
+    """``rows``, written as they lie, with __nth: the row's number (from 0) among those of the same value of ``by``.
+
+    Rows are numbered within each written partition, and partitions by what lies before them. by: few values.
+    """
+    rows = rows.sortWithinPartitions(by).withColumn("__row", F.monotonically_increasing_id())
+    rows = materialise(rows.withColumn("__part", F.shiftright("__row", 33).cast("int")), what)
+    parts = rows.groupBy(by, "__part").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(by, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    # one row for each partition and value in it
+    return rows.join(F.broadcast(parts), [by, "__part"]).withColumn("__nth", F.col("__row") + F.col("__shift")).drop("__row", "__part", "__shift")
+
+
 def shard(docs: DataFrame, n_shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``docs`` with shard (0 to n_shards - 1) and slot (gapless from 0 in each shard); columns of those names are replaced.
 
-    docs: doc_id, text and others. A null text counts as empty; null doc_ids and repeated rows are placed like any other.
-    An empty table gives no rows.
+    docs: doc_id, text and others. A null text counts as empty. Null doc_ids and repeated rows are placed like any other, and any
+    number of rows may be the same in all columns: doc_ids play no part. Texts of any length are placed whole; one longer than a
+    shard's share fills its shard alone. Equal sizes and keys are no special case. An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = text_or_empty()
-    keys = docs.select("doc_id", F.xxhash64(text).alias("key"), size_of(text).alias("bytes"))
-    keys = materialise(keys, "keys")
-    groups = materialise(keys.groupBy("key").agg(F.sum("bytes").alias("bytes")), "groups")
+    keys = materialise(docs.select(F.xxhash64(text).alias("key"), size_of(text).alias("bytes")), "keys")
+    groups = materialise(keys.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")), "groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     share = total / n_shards
-    big = sorted(((r["bytes"], r["key"]) for r in groups.where(F.col("bytes") > share * tolerance / 2).collect()), reverse=True)
-
-    load, whole, spread = [0] * n_shards, [], []
-    for b, k in big:
-        least = load.index(min(load))
-        if load[least] + b <= share * (1 + tolerance / 2):
-            load[least] += b
-            whole.append((k, least))
-        else:
-            spread.append((k,))
-    whole = spark.createDataFrame(whole, "key long, placed int")
-    spread = spark.createDataFrame(spread, "key long").withColumn("spread", F.lit(True))
-    rest = groups.join(F.broadcast(whole), "key", "left_anti").join(F.broadcast(spread), "key", "left_anti").select("key", "bytes")
-    if spread.take(1):
-        # a row of its own for each document of such a group
-        rest = rest.union(keys.join(F.broadcast(spread), "key", "left_semi").select(F.xxhash64("doc_id", "key").alias("key"), "bytes"))
-        rest = materialise(rest, "rest")
+    big = sorted(((r["bytes"], r["key"], r["n"]) for r in groups.where(F.col("bytes") > share * tolerance / 2).collect()), reverse=True)
+    load, whole, spread = _place(big, share, n_shards, tolerance)
+    whole = spark.createDataFrame(whole, "__key long, __placed int")
+    apart = spark.createDataFrame(spread, "__key long, __ends array<long>, __to array<int>")
+    rest = groups.withColumnRenamed("key", "__key").join(F.broadcast(whole), "__key", "left_anti").join(F.broadcast(apart), "__key", "left_anti").select(F.col("__key").alias("key"), "bytes")
     room = [max(0.0, share - x) for x in load]
     fill = (rest.agg(F.sum("bytes")).first()[0] or 0) / max(1.0, sum(room))
     targets = [x * fill for x in accumulate(room)][:-1]
     splitters = _splitters(rest, targets, share * tolerance / 4) if total else [0] * (n_shards - 1)
 
-    n_runs = max(1, keys.count() // (n_shards * RUN))
-
-    def placed(rows: DataFrame, text_key: str) -> DataFrame:
-        """rows with their shard and the run of rows within it that they are numbered in; names of its own begin with __."""
-        own = F.xxhash64("doc_id", text_key)
-        rows = rows.join(F.broadcast(whole.withColumnsRenamed({"key": text_key, "placed": "__placed"})), text_key, "left")
-        rows = rows.join(F.broadcast(spread.withColumnsRenamed({"key": text_key, "spread": "__spread"})), text_key, "left")
-        at = F.when(F.col("__spread"), own).otherwise(F.col(text_key))
-        below = F.size(F.filter(F.array(*[F.lit(s) for s in splitters if s < 1 << 63]).cast("array<long>"), lambda s: s <= F.col("__at")))
-        rows = rows.withColumn("__at", at).withColumn("__shard", F.coalesce("__placed", below))
-        return rows.withColumn("__run", F.pmod(own, F.lit(n_runs)).cast("int")).drop("__placed", "__spread")
-
-    counts = placed(keys, "key").groupBy("__shard", "__run").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("__shard").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__shard", "__run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
-    rows = placed(docs.drop("shard", "slot").withColumn("__key", F.xxhash64(text)), "__key")
-    rows = rows.join(offsets.hint("merge"), ["__shard", "__run"])
-    nth = F.row_number().over(Window.partitionBy("__shard", "__run").orderBy("__at", "doc_id"))
+    below = F.size(F.filter(F.array(*[F.lit(s) for s in splitters if s < 1 << 63]).cast("array<long>"), lambda s: s <= F.col("__key")))
+    rows = docs.drop("shard", "slot").withColumn("__key", F.xxhash64(text))
+    placed = rows.join(F.broadcast(apart), "__key", "left_anti") if spread else rows
+    placed = placed.join(F.broadcast(whole), "__key", "left").withColumn("__shard", F.coalesce("__placed", below)).drop("__placed")
+    if spread:
+        laid = _numbered(rows.join(F.broadcast(apart), "__key"), "__key", "spread")
+        nth = F.size(F.filter("__ends", lambda e: e <= F.col("__nth")))
+        placed = placed.unionByName(laid.withColumn("__shard", F.get("__to", nth)).drop("__nth", "__ends", "__to"))
+    placed = placed.drop("__key")
+    n_runs = max(8, keys.count() // (n_shards * RUN))
+    # rows of a shard go to many tasks by their numbers, so equal rows make no large one
+    placed = placed.withColumn("__run", F.pmod(F.monotonically_increasing_id(), F.lit(n_runs)))
+    placed = _numbered(placed.repartition("__shard", "__run").drop("__run"), "__shard", "shards")
     kept = [c for c in docs.columns if c not in {"shard", "slot"}]
-    return rows.withColumn("slot", F.col("__offset") + nth - 1).select(*kept, F.col("__shard").alias("shard"), "slot")
+    return placed.select(*kept, F.col("__shard").alias("shard"), F.col("__nth").alias("slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
