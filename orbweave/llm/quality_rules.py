@@ -57,19 +57,24 @@ def repeat_words(w: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of each document; a null text counts as an empty one."""
+    """doc_id, stratum (lang; null: empty), sig (a hash of the text) and the counts of each row of ``docs`` (doc_id, lang, text).
+
+    A null text counts as an empty one: no words, no lines. Repeated rows are measured each. A very long text is one row and is read
+    whole. Other columns are ignored, whatever their names. An empty table gives no rows.
+    """
     text = text_or_empty()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(SPACE_WORD))
     counted = docs.select(
         "doc_id",
         F.coalesce("lang", F.lit("")).alias("stratum"),
+        F.xxhash64(text).alias("sig"),
         let(words(text, SPACE_WORD), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))).alias("w"),
         (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("all"), F.size(F.array_distinct(x)).cast("long").alias("own"))).alias("lines"),
     )
     return counted.select(
-        "doc_id", "stratum", "w.n_words", "word_chars", "n_symbols",
+        "doc_id", "stratum", "sig", "w.n_words", "word_chars", "n_symbols",
         (F.col("lines.all") - F.col("lines.own")).alias("n_dup_lines"), "w.n_repeat_words", F.col("lines.all").alias("n_lines"),
     )
 
@@ -113,10 +118,13 @@ def thresholds(measured: DataFrame, labels: DataFrame) -> DataFrame:
     """stratum, rule, cutoff, n_good, n_rejected for the lowest admitted cutoff of each stratum and rule.
 
     labels: doc_id, quality. A document labelled more than once is good only if all its labels say so; null labels are ignored.
+    The bound holds for independent draws, so equal texts of a stratum are one draw, however many rows or doc_ids they have: it is in
+    the holdout if one of its rows is good. (Near copies still count each.)
     """
     spark = measured.sparkSession
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    held = measured.join(good, "doc_id", "left_semi")
+    # equal texts have equal values, so any of their rows stands for them
+    held = measured.join(good, "doc_id", "left_semi").dropDuplicates(["stratum", "sig"])
     # a value's bucket is the number of cutoffs below it
     bucket = lambda r, v: sum(((F.coalesce(v, F.lit(0.0)) > c).cast("int") for c in CUTOFFS[r]), F.lit(0))
     each = held.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), bucket(r, v).alias("bucket")) for r, v in values().items()])).alias("x"))
@@ -169,20 +177,20 @@ nrep as (select doc_id, count(distinct p) as n_repeat_words from pos group by 1)
 lines as (select doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]')),
 nline as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from lines group by 1),
 m as (
-  select doc_id, stratum, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+  select doc_id, stratum, text, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
          coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(n_lines, 0) as n_lines
   from d left join nrep using (doc_id) left join nline using (doc_id)),
 good as (select doc_id from labels where quality is not null group by 1 having min(quality) = 1),
 vals as (
-  select doc_id, stratum, unnest(['symbols_per_word', 'dup_line_share', 'repeat_word_share', 'mean_word_length']) as rule,
+  select doc_id, stratum, text, unnest(['symbols_per_word', 'dup_line_share', 'repeat_word_share', 'mean_word_length']) as rule,
          unnest([n_symbols::double / nullif(n_words, 0), n_dup_lines::double / nullif(n_lines, 0),
                  n_repeat_words::double / nullif(n_words, 0), word_chars::double / nullif(n_words, 0)]) as v
   from m),
 grid(rule, nth, cutoff) as (values {grid}),
 tests as (
   select stratum, g.rule, cutoff, count(*) as n, count(*) filter (coalesce(v, 0) > cutoff) as x
-  from vals semi join good using (doc_id) join grid g using (rule) group by all),
+  from (select distinct stratum, text, rule, v from vals semi join good using (doc_id)) join grid g using (rule) group by all),
 judged as (
   select *, case when x > n * {RULE_ALPHA} then 1.0 else list_sum(list_transform(range(0, x + 1), lambda k:
       exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) + k * {a!r} + (n - k) * {b!r}))) end as tail,

@@ -48,7 +48,7 @@ def test_false_rejections_stay_within_the_bound(spark):
     value = (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) / (1 << 20)).cast("double")
     skewed = (F.pow(value, F.lit(300.0)) * 400).cast("long")
     rows = spark.range(24_000).select(
-        F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 2).alias("stratum"), F.lit(200).cast("long").alias("n_words"),
+        F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 2).alias("stratum"), F.xxhash64("id").alias("sig"), F.lit(200).cast("long").alias("n_words"),
         (F.lit(900) + 3 * skewed).alias("word_chars"), skewed.alias("n_symbols"), (skewed % 60).alias("n_dup_lines"), (skewed % 41).alias("n_repeat_words"), F.lit(100).cast("long").alias("n_lines"),
     )
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
@@ -68,3 +68,14 @@ def test_few_labels_admit_no_cutoff_and_many_strata_need_no_broadcast(spark, dat
     monkeypatch.setattr(quality_rules, "BROADCAST_STRATA", 0)
     assert pairs(quality_rules.apply_rules(measured, cutoffs), "doc_id", "kept") == want
     assert {False, True} == {k for _, k in want}
+
+
+def test_copies_are_one_draw(spark):
+    """One document repeated 10,000 times, under as many doc_ids, says no more than one; as many different ones admit a cutoff."""
+    rows = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"))
+    labels = rows.select("doc_id", F.lit(1).alias("quality"))
+    text = "a plain text of a few words that is quite good"
+    copies = quality_rules.measure(rows.withColumn("text", F.lit(text)))
+    assert quality_rules.thresholds(copies, labels).count() == 0
+    distinct = quality_rules.measure(rows.withColumn("text", F.concat(F.lit(text + " "), F.col("doc_id").cast("string"))))
+    assert quality_rules.thresholds(distinct, labels).count() == len(quality_rules.RULES)
