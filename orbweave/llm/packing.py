@@ -29,6 +29,8 @@ END_ID = 1
 _END = END_ID.to_bytes(4, "little")
 #: UTF-8 bytes of text to a bucket, about: some hundred sequences, a few MB of ids.
 BUCKET_BYTES = 4 << 20
+#: What a piece counts besides its text, so that a bucket holds at most some 65,000 pieces, however short they are.
+PIECE_BYTES = 64
 #: Estimated cost of n tokens in one piece: n + QUADRATIC * n * n.
 QUADRATIC = 1 / 1024
 #: Words whose ids a Python worker remembers; then it forgets all and begins anew.
@@ -212,7 +214,7 @@ def pack(docs: DataFrame, path: str | None = None, limit: int = LIMIT, bucket_by
     Pieces are dealt to buckets by their numbers, so no key makes a bucket large. A task that runs again must see its rows in the same
     order, as it does when ``docs`` is read from files; write the result of a shuffle to a table first.
     """
-    total = docs.agg(F.sum(F.octet_length(text_or_empty()) + 1)).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(text_or_empty()) + PIECE_BYTES)).first()[0] or 0
     n_buckets = max(1, total // bucket_bytes)
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()

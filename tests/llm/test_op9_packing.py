@@ -60,3 +60,10 @@ def test_repeated_rows_and_rows_without_an_id_are_packed_each(spark):
     none = sorted(r["doc_tokens"] for r in rows if r["doc_id"] is None)
     assert none[0] == 1 and len(none) == 2 and none[1] > 3
     assert sum(r["length"] for r in rows if r["doc_id"] == 7) == next(r["doc_tokens"] for r in rows if r["doc_id"] == 7)
+
+
+def test_short_pieces_bound_a_bucket(spark):
+    """A million empty and one-letter texts: no bucket gets more pieces than its bytes allow, and none is lost."""
+    docs = spark.range(0, 200_000, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("a")).alias("text"))
+    rows = packing.pack(docs, bucket_bytes=1 << 20).selectExpr("shiftright(sequence_id, 20) as bucket", "length").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).collect()
+    assert sum(r["tokens"] for r in rows) == 300_000 and max(r["n"] for r in rows) <= 1.2 * (1 << 20) / packing.PIECE_BYTES
