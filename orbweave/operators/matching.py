@@ -1,10 +1,8 @@
 """Nearest reference of every image.
 
-Distances come from |x|^2 + |y|^2 - 2 x.y, a matrix product for each Arrow batch of images and block of references. Images are
-never shuffled, and an image keeps its best so far from block to block.
-
 The references of a reconstruction are slices of a model: the model and the orientations go to the tasks (a few MB), and the
-slices are made where they are compared. References of any other kind are a table; they are broadcast in passes of bounded size.
+slices are made where they are compared, so images are never shuffled and keep their best so far from block to block. References
+of any other kind are a table of any size, and both sides are joined on executors (``nearest``).
 """
 
 from __future__ import annotations
@@ -19,9 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .nearest import k_nearest
 
-#: Values of references that one pass broadcasts: 64 MB of doubles.
-PASS_VALUES = 8 << 20
 #: Values of images that are compared together, and of slices made together: 32 MB of doubles each.
 CHUNK_VALUES = 4 << 20
 #: Values of slices that a Python worker keeps for its further tasks; of more than that it makes the slices anew for each chunk of images.
@@ -36,87 +33,10 @@ def distance(a: str, b: str, weight: str | None = None) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + term(s))
 
 
-def _top(d: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k least values of each row, in order; of equal values the earlier column."""
-    k = min(k, d.shape[1])
-    if k == 1:
-        return d.argmin(1)[:, None]
-    if 4 * k < d.shape[1]:
-        # all that are no larger than the k-th value take part, so that ties go by column
-        level = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        d = np.where(d <= level, d, np.inf)
-    return np.argsort(d, axis=1, kind="stable")[:, :k]
-
-
 def _wide(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
-def _nearest(shared: Broadcast, k: int, weight: np.ndarray | None, others: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, refs = shared.value
-        scaled = refs * weight if weight is not None else refs
-        norm = (scaled * refs).sum(1)
-        for b in (b for b in batches if b.num_rows):
-            x = _wide(b.column(1), b.num_rows)
-            own = (x * x * (weight if weight is not None else 1)).sum(1)
-            d = np.maximum(own[:, None] + norm - 2 * x @ scaled.T, 0)
-            if others:
-                d[b.column(0).to_numpy()[:, None] == ids] = np.inf
-            top = _top(d, k)
-            best = np.take_along_axis(d, top, 1)
-            row, _ = np.nonzero(np.isfinite(best))
-            yield pa.record_batch(
-                [b.column(0).take(pa.array(row)), pa.array(ids[top][np.isfinite(best)]), pa.array(best[np.isfinite(best)])], names=["image_id", "ref_id", "distance"]
-            )
-
-    return run
-
-
-def _passes(refs: DataFrame) -> Iterator[Broadcast]:
-    """(ids, values) of the references in order of ref_id, in slices of at most PASS_VALUES values. Only one slice is on the driver at a time."""
-    from ..sources.tables import ranked
-
-    first = refs.select(F.size("data").alias("n")).first()
-    if first is None:
-        return
-    rows = max(1, PASS_VALUES // max(1, first["n"]))
-    total = refs.count()
-    slices = ranked(refs.select("ref_id", "data"), "ref_id") if total > rows else None
-    for a in range(0, total, rows):
-        part = refs.select("ref_id", "data") if slices is None else slices.where((F.col("rank") >= a) & (F.col("rank") < a + rows)).select("ref_id", "data")
-        part = part.orderBy("ref_id").toArrow().combine_chunks()
-        values = part.column("data").combine_chunks()
-        yield refs.sparkSession.sparkContext.broadcast((part.column("ref_id").to_numpy(), _wide(values, len(part))))
-
-
-def k_nearest(images: DataFrame, refs: DataFrame, k: int = 1, weight: list[float] | None = None, others: bool = False) -> DataFrame:
-    """image_id, ref_id, distance, rank: the k nearest references of each image, ties by lower ref_id. No references, no rows.
-
-    With ``others`` a reference with the image's own id doesn't count. References are a table of any size, but each PASS_VALUES of
-    their values take a further scan of the images.
-    """
-    found = None
-    w = np.array(weight) if weight is not None else None
-    for shared in _passes(refs):
-        part = images.select("image_id", "data").mapInArrow(_nearest(shared, k, w, others), "image_id long, ref_id long, distance double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return images.sparkSession.createDataFrame([], "image_id long, ref_id long, distance double, rank int")
-    best = found.groupBy("image_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "ref_id"))), 1, k).alias("best"))  # k rows from each pass
-    at = best.select("image_id", F.posexplode("best").alias("p", "b"))
-    return at.select("image_id", "b.ref_id", "b.distance", (F.col("p") + 1).alias("rank"))
-
-
-def pair_distances(images: DataFrame, refs: DataFrame, others: bool = False) -> DataFrame:
-    """image_id, ref_id, distance of a stated set of images to all references, in blocks."""
-    found = None
-    for shared in _passes(refs):
-        part = images.select("image_id", "data").mapInArrow(_nearest(shared, len(shared.value[0]), None, others), "image_id long, ref_id long, distance double")
-        found = part if found is None else found.union(part)
-    return images.sparkSession.createDataFrame([], "image_id long, ref_id long, distance double") if found is None else found
-
-
 _held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
 
@@ -171,7 +91,7 @@ def match_model(images: DataFrame, volume: np.ndarray, quats: np.ndarray, det: n
     schema = "image_id long, q array<double>, distance double, data array<double>"
     if not len(quats):
         return spark.createDataFrame([], schema)
-    std = 1.0 if scale == "none" else images.select(F.explode("data").alias("v")).agg(F.stddev_pop("v")).first()[0]
+    std = 1.0 if scale == "none" else std_of(images)
     total = model_sums(spark, volume, quats, det, batch) if scale == "global" and std is not None else None
     if std is None:
         return spark.createDataFrame([], schema)
@@ -220,10 +140,18 @@ def model_sums(spark, volume: np.ndarray, quats: np.ndarray, det: np.ndarray, ba
     return tuple(firsts.mapInArrow(run, "n double, s double, ss double").agg(F.sum("n"), F.sum("s"), F.sum("ss")).first())
 
 
+def std_of(images: DataFrame) -> float | None:
+    """The standard deviation of all values of all images: three sums of each row, no row for each value. None if there are no values."""
+    value = F.transform("data", lambda v: v.cast("double"))
+    total = lambda of: F.aggregate(of, F.lit(0.0), lambda acc, v: acc + v)
+    sums = images.select(F.size("data").alias("n"), total(value).alias("s1"), total(F.transform(value, lambda v: v * v)).alias("s2"))
+    n, s, ss = sums.agg(F.sum("n"), F.sum("s1"), F.sum("s2")).first()
+    return float(np.sqrt(max(0.0, ss / n - (s / n) ** 2))) if n else None
+
+
 def std_scale(images: DataFrame, refs: DataFrame) -> Column:
     """The factor that brings the references' standard deviation to the images', over all values of both."""
-    std = lambda df: df.select(F.explode("data").alias("v")).agg(F.stddev_pop("v")).first()[0]
-    a, b = std(images), std(refs)
+    a, b = std_of(images), std_of(refs)
     return F.lit(a / b if a is not None and b else 1.0)
 
 

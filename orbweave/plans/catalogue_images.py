@@ -8,6 +8,7 @@ from ..functions import quaternion as Q
 from ..operators import detector as D
 from ..operators import geometry as G
 from ..operators import matching as M
+from ..operators import nearest as N
 from ..operators import reports
 from ..sources import tables as T
 from ..streaming import generations as S
@@ -241,7 +242,7 @@ def std_match_scale(spark, d):
 
 @_r.add(f"with {PAIRS} select image_id, ref_id, round(distance, 6) + 0.0 as distance from pairs")
 def pair_distance(spark, d):
-    return rounded_columns(M.pair_distances(_asked(spark, d), _refs(spark, d), others=True), "distance")
+    return rounded_columns(N.pair_distances(_asked(spark, d), _refs(spark, d), others=True), "distance")
 
 
 _BEST = f"with {PAIRS}, best as (select image_id, ref_id, distance, row_number() over (partition by image_id order by distance, ref_id) as rank from pairs) "
@@ -254,7 +255,7 @@ def nearest_reference(spark, d):
 
 @_r.add(_BEST + "select image_id, ref_id, rank, round(distance, 6) + 0.0 as distance from best where rank <= 3")
 def knn_topk(spark, d):
-    return rounded_columns(M.k_nearest(_asked(spark, d), _refs(spark, d), 3, others=True), "distance")
+    return rounded_columns(N.k_nearest(_asked(spark, d), _refs(spark, d), 3, others=True), "distance")
 
 
 @_r.add(_BEST + "select round(avg(distance), 6) + 0.0 as mean, round(stddev_pop(distance), 6) + 0.0 as std from best where rank = 1")
@@ -264,7 +265,7 @@ def match_quality(spark, d):
 
 @_r.add(f"with {PAIRS} select image_id, arg_min(ref_id, weighted) as ref_id, round(min(weighted), 6) + 0.0 as distance from pairs group by 1")
 def weighted_nearest(spark, d):
-    got = M.k_nearest(_asked(spark, d), _refs(spark, d), 1, [1 / (1 + p) for p in range(64)], others=True)
+    got = N.k_nearest(_asked(spark, d), _refs(spark, d), 1, [1 / (1 + p) for p in range(64)], others=True)
     return rounded_columns(got.drop("rank"), "distance")
 
 

@@ -78,17 +78,31 @@ def range_scan(images: DataFrame, start: int, end: int, id_name: str = "image_id
     return found
 
 
-def ranked(df: DataFrame, order: str, run: int = 4096, name: str = "rank") -> DataFrame:
-    """``df`` with the position (from 0) of each row by an integer column, without bringing all rows to one task.
+def ranked(df: DataFrame, order: str, name: str = "rank", totals: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with the position (from 0) of each row by ``order``; equal values go by a hash of the whole row. Nothing is brought to one task.
 
-    Rows are numbered within runs of ``run`` consecutive values, and runs are offset by the counts before them.
+    totals: names of running sums, each with the column that it sums up to and with the row. A range exchange sorts the rows over all partitions; they are
+    written as they lie and numbered within their partitions, whose counts and sums (a row for each partition) come to the driver.
+    Values of ``order`` may be sparse, negative or repeated, up to all of them.
     """
     from pyspark.sql import Window
 
-    rows = df.withColumn("__run", F.floor(F.col(order) / run))
-    counts = rows.groupBy("__run").agg(F.count("*").alias("__n"))
-    # one row for each run
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__run", before.alias("__start"))
-    nth = F.row_number().over(Window.partitionBy("__run").orderBy(order)) - 1
-    return rows.join(starts, "__run").withColumn(name, F.col("__start") + nth).drop("__run", "__start")
+    spark, totals = df.sparkSession, totals or {}
+    keys = [order, "__tie", "__spread"]
+    rows = df.withColumns({"__tie": F.xxhash64(*df.columns), "__spread": F.monotonically_increasing_id() % 64})
+    rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    path = scratch(spark)
+    rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__row", 33).cast("int")).drop("__tie", "__spread").write.parquet(path)
+    rows = spark.read.parquet(path)
+    parts = rows.groupBy("__part").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"), *[F.sum(c).alias(n) for n, c in totals.items()]).orderBy("__part").collect()
+    before, starts = [0] * (1 + len(totals)), []
+    for p in parts:
+        starts.append((p["__part"], before[0] - p["__first"], *before[1:]))
+        before = [before[0] + p["__n"], *(b + (p[n] or 0) for b, n in zip(before[1:], totals, strict=True))]
+    kinds = dict(rows.select(*[F.sum(c).alias(n) for n, c in totals.items()]).dtypes) if totals else {}
+    schema = ", ".join(["__part int", "__shift long", *(f"__{n} {kinds[n]}" for n in totals)])
+    starts = spark.createDataFrame([(*s[:2], *(float(x) if kinds[n] == "double" else x for n, x in zip(totals, s[2:], strict=True))) for s in starts], schema)
+    rows = rows.join(F.broadcast(starts), "__part").withColumn(name, F.col("__row") + F.col("__shift"))
+    within = Window.partitionBy("__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"__{n}") for n, c in totals.items()})
+    return rows.drop("__part", "__row", "__shift", *[f"__{n}" for n in totals])

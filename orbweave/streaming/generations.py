@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import ranked
@@ -23,8 +23,8 @@ def assign(events: DataFrame, size: int, order: str = "event_id") -> DataFrame:
 def cumulative_mean(events: DataFrame, size: int, order: str = "event_id") -> DataFrame:
     """generation, n, mean over all events up to and with each generation."""
     per = assign(events, size, order).groupBy("generation").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
-    w = Window.orderBy("generation").rowsBetween(Window.unboundedPreceding, 0)  # one row for each generation
-    return per.select("generation", F.sum("n").over(w).alias("n"), (F.sum("total").over(w) / F.sum("n").over(w)).alias("mean"))
+    per = ranked(per, "generation", totals={"n_seen": "n", "sum_seen": "total"})
+    return per.select("generation", F.col("n_seen").alias("n"), (F.col("sum_seen") / F.col("n_seen")).alias("mean"))
 
 
 def capped(events: DataFrame, size: int, cap: int, generations: int, order: str = "event_id") -> DataFrame:
