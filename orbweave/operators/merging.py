@@ -168,10 +168,3 @@ def solve(grids: DataFrame, lambdas: DataFrame, n: int, estimate: np.ndarray | N
     both = grids.drop("member").crossJoin(F.broadcast(lambdas)) if grids.select("member").distinct().count() == 1 else grids.join(F.broadcast(lambdas), "member")
     schema = "member int, rlambda double, flambda double, v0 double, v1 double, v2 double, steps int, data array<double>"
     return both.groupBy("member").applyInArrow(_solve(n, estimate, oversampling, most), schema)
-
-
-def sum_volumes(parts: DataFrame) -> DataFrame:
-    """Voxel by voxel sum of long volumes."""
-    return parts.groupBy("i", "j", "k").agg(F.sum("v").alias("v"))
-
-

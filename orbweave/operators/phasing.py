@@ -15,24 +15,6 @@ from . import kernels
 BINS = 200
 
 
-def step(volumes: DataFrame, amplitude: float, beta: float | None = None, most: float = np.inf) -> DataFrame:
-    """vol_id, data after one step with a constant amplitude off the origin: error reduction, or hybrid with ``beta``; ``most`` caps the density."""
-
-    def fn(v: np.ndarray) -> dict[str, np.ndarray]:
-        mask = np.ones(v.shape[1:], dtype=bool)
-        mask[0, 0, 0] = False
-        support = np.ones(v.shape, dtype=bool)
-        new = kernels.error_reduction(v, amplitude, mask, support, most) if beta is None else kernels.hybrid(beta, v, amplitude, mask, support, most)
-        return {"data": new}
-
-    return kernels.map_volumes(volumes, fn, {"data": "array<double>"})
-
-
-def shrinkwrap(volumes: DataFrame, method: str, weight: float = 1.0, cutoff: float = 0.05) -> DataFrame:
-    """vol_id, data: 1 within the new support, 0 outside."""
-    return kernels.map_volumes(volumes, lambda v: {"data": kernels.shrink_wrap(v, method, weight, cutoff).astype(float)}, {"data": "array<double>"})
-
-
 def initial_support(volumes: DataFrame, quarter: int) -> DataFrame:
     return kernels.map_volumes(volumes, lambda v: {"data": kernels.box_support(v, quarter).astype(float)}, {"data": "array<double>"})
 

@@ -10,6 +10,7 @@ from ..operators import evaluation as E
 from ..operators import kernels as K
 from ..operators import merging as A
 from ..operators import phasing as P
+from ..operators import slabs as L
 from ..sources import mrc
 from ..sources import tables as T
 from . import reconstruct as R
@@ -133,9 +134,19 @@ def shift_to_center(spark, d):
 
 @_r.add()
 def phase_ensemble(spark, d):
-    """The autocorrelation that all images give, phased by four members."""
-    ac = np.array(_solved(spark, d, 1).first()["data"]).reshape((SIDE,) * 3)
-    return P.ensemble(spark, ac, 4, Settings(side=SIDE)).select("member", "skew", "height", "width", F.aggregate("support", F.lit(0.0), lambda a, x: a + x).alias("inside"))
+    """Every volume of the table taken as a density of which only the autocorrelation is known, phased by two members with different thresholds, all over slabs.
+    vol_id, member, skew of the density's histogram, inside (voxels of the support), mass, kept (the member of least skew)."""
+    members, thick = 2, T.CUBE // 2
+    each = T.wide(spark, d, "vol_id").select(F.explode(F.array(*[F.lit(m) for m in range(members)])).alias("m"), "vol_id", "data")
+    start = L.written(L.mapped(L.cut(each.select((F.col("vol_id") * members + F.col("m")).alias("vol_id"), "data"), T.CUBE, thick), np.abs))
+    ac = L.roll(L.autocorrelation(start, T.CUBE, thick), T.CUBE, thick, -(T.CUBE // 2))
+    weights = each.select((F.col("vol_id") * members + F.col("m")).alias("vol_id"), (0.5 + F.col("m") / members).alias("weight"))
+    rho, support = L.retrieve(ac, T.CUBE, thick, start, 1, 1, 1, 0.3, weights=weights)
+    skews = P.histogram_skew(P.histogram(L.voxels(rho, T.CUBE, thick, "v")))
+    found = L.sums(support).select("vol_id", F.col("s").alias("inside")).join(L.sums(rho).select("vol_id", F.col("s").alias("mass")), "vol_id").join(skews, "vol_id", "left")
+    found = found.select(F.expr(f"vol_id div {members}").alias("vol_id"), (F.col("vol_id") % members).cast("int").alias("member"), "skew", "inside", "mass")
+    best = found.where("skew is not null and not isnan(skew)").groupBy("vol_id").agg(F.expr("min_by(member, struct(skew, member))").alias("best"))
+    return found.join(best, "vol_id", "left").withColumn("kept", F.coalesce(F.col("member") == F.col("best"), F.lit(False))).drop("best")
 
 
 def _mean_volume(spark, d) -> np.ndarray:

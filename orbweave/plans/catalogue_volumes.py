@@ -12,6 +12,7 @@ from ..operators import geometry as G
 from ..operators import kernels as K
 from ..operators import merging as A
 from ..operators import phasing as P
+from ..operators import slabs as S
 from ..operators.detector import mean_image
 from ..sources import pdb
 from ..sources import tables as T
@@ -34,6 +35,18 @@ def _long(df, **names):
     return p.select("vol_id", *[e.cast("int").alias(n) for n, e in at.items()], *[rounded(F.col(f"x.{c}"), digits).alias(c if c != "data" else "v") for c, digits in names.items()])
 
 
+#: Planes of a slab, here: volumes of four are cut in two, so that what is exchanged is.
+THICK = N // 2
+
+
+def _cut(spark, d):
+    return S.cut(_wide(spark, d), N, THICK)
+
+
+def _placed(slabs, digits: int):
+    return rounded_columns(S.voxels(slabs, N, THICK, "v"), "v", digits=digits)
+
+
 # A direct discrete transform: 64 products for each coefficient.
 _T = "2 * pi() * (f.i * x.i + f.j * x.j + f.k * x.k) / 4"
 DFT = (
@@ -44,11 +57,7 @@ DFT = (
 
 @_r.add(f"with {DFT} select vol_id, i, j, k, {sql_columns('re', 'im')} from ft")
 def dft3(spark, d):
-    def fn(v):
-        f = np.fft.fftn(v, axes=(1, 2, 3))
-        return {"re": f.real, "im": f.imag}
-
-    return _long(K.map_volumes(_wide(spark, d), fn, {"re": "array<double>", "im": "array<double>"}), re=6, im=6)
+    return rounded_columns(S.voxels(S.forward(_cut(spark, d), N, THICK), N, THICK, "re", "im", pencils=True, complex_=True), "re", "im")
 
 
 @_r.add(f"with {DFT} select f.vol_id, f.i, f.j, f.k, round(sqrt(re * re + im * im), 6) + 0.0 as intensity, round(v * v, 6) + 0.0 as squared from ft f join vol using (vol_id, i, j, k)")
@@ -149,8 +158,7 @@ _OUT = (
     "join reg g on g.i = (r.i - o.i + 4) % 4 and g.j = (r.j - o.j + 4) % 4 and g.k = (r.k - o.k + 4) % 4 group by 1, 2, 3, 4"
 )
 def fourier_regulariser(spark, d):
-    out = A.outside_ball(N, 1.0)
-    return _long(K.map_volumes(_wide(spark, d), lambda v: {"data": K.fourier_reg(v, np.ones(v.shape), out)}, {"data": "array<double>"}), data=6)
+    return _placed(S.fourier_reg(_cut(spark, d), A.outside_ball(N, 1.0), N, THICK), 6)
 
 
 def _kernel() -> np.ndarray:
@@ -166,8 +174,7 @@ _AHA = (
 
 @_r.add(f"with {VOL}, {_AHA} select o.vol_id, r.i, r.j, r.k, round(sum(o.v * g.g), 5) + 0.0 as v from vol o cross join idx r join ker g on g.i = r.i - o.i and g.j = r.j - o.j and g.k = r.k - o.k group by 1, 2, 3, 4")
 def aha_convolution(spark, d):
-    kf = A.kernel_transform(_kernel())
-    return _long(K.map_volumes(_wide(spark, d), lambda v: {"data": K.convolve(v, kf, np.ones(v.shape))}, {"data": "array<double>"}), data=5)
+    return _placed(S.convolve(_cut(spark, d), A.kernel_transform(_kernel()), N, THICK), 5)
 
 
 _RL, _FL = 0.5, 2.0
@@ -205,10 +212,8 @@ _KEY = "using (vol_id, i, j, k)"
     f"select vol_id, i, j, k, round(a * v.v + a2 * p1.v, 5) + 0.0 as v from vol v join p1 {_KEY} join a0 using (vol_id) join a1 using (vol_id)"
 )
 def cg_two_steps(spark, d):
-    apply = _apply()
-    return _long(
-        K.map_volumes(_wide(spark, d), lambda v: {"data": np.stack([K.conjugate_gradient(apply, x, np.zeros(x.shape), 2, 0.0)[0] for x in v])}, {"data": "array<double>"}), data=5
-    )
+    kernel, outside = A.kernel_transform(_kernel()), A.outside_ball(N, 1.0)
+    return _placed(S.conjugate_gradient(lambda p: S.normal_product(p, kernel, outside, _RL, _FL, N, THICK), _cut(spark, d), N, THICK, 2), 5)
 
 
 def _gauss_sql(sigma: float, at: str, source: str = "vol") -> str:
@@ -229,7 +234,7 @@ def _gauss_sql(sigma: float, at: str, source: str = "vol") -> str:
 
 def _smooth(mode: str, sigma: float):
     def query(spark, d):
-        return _long(K.map_volumes(_wide(spark, d), lambda v: {"data": K.gauss(v, sigma, mode, 2.0 if sigma == 1 else 4.0)}, {"data": "array<double>"}), data=6)
+        return _placed(S.gauss(_cut(spark, d), N, THICK, sigma, mode, 2.0 if sigma == 1 else 4.0), 6)
 
     query.__name__ = f"gauss_smooth_{mode}"
     return query
@@ -326,12 +331,12 @@ _IMPOSED = (
 
 @_r.add(f"with {_IMPOSED} select vol_id, i, j, k, round(case when v > 0 then v else 0 end, 6) + 0.0 as v from new")
 def er_step(spark, d):
-    return _long(P.step(_wide(spark, d), 0.5), data=6)
+    return _placed(S.step(_cut(spark, d), N, THICK, 0.5), 6)
 
 
 @_r.add(f"with {_IMPOSED} select vol_id, i, j, k, round(case when n.v > 0 then n.v else o.v - 0.3 * n.v end, 6) + 0.0 as v from new n join vol o using (vol_id, i, j, k)")
 def hio_step(spark, d):
-    return _long(P.step(_wide(spark, d), 0.5, 0.3), data=6)
+    return _placed(S.step(_cut(spark, d), N, THICK, 0.5, beta=0.3), 6)
 
 
 _ABS = f"{VOL}, size as (select vol_id, i, j, k, abs(v) as v from vol), {_gauss_sql(1.0, 'wrap', 'size')}"
@@ -339,12 +344,12 @@ _ABS = f"{VOL}, size as (select vol_id, i, j, k, abs(v) as v from vol), {_gauss_
 
 @_r.add(f"with {_ABS}, lv as (select vol_id, stddev_pop(v) as s from smooth group by 1) select vol_id, i, j, k, (v > 4 * s)::int::double as v from smooth join lv using (vol_id)")
 def shrinkwrap_std(spark, d):
-    return _long(P.shrinkwrap(_wide(spark, d), "std", 4.0), data=1)
+    return _placed(S.shrink_wrap(_cut(spark, d), N, THICK, "std", 4.0), 1)
 
 
 @_r.add(f"with {_ABS}, lv as (select vol_id, max(v) as m from size group by 1) select vol_id, i, j, k, (v > 0.4 * m)::int::double as v from smooth join lv using (vol_id)")
 def shrinkwrap_max(spark, d):
-    return _long(P.shrinkwrap(_wide(spark, d), "max", 1.0, 0.4), data=1)
+    return _placed(S.shrink_wrap(_cut(spark, d), N, THICK, "max", 1.0, 0.4), 1)
 
 
 # Voxel centres of a side of 4 with the origin first: 1/4, 3/4, -3/4, -1/4.
@@ -370,7 +375,7 @@ def recenter(spark, d):
     "select vol_id, i, j, k, round(abs(v), 6) + 0.0 as v from s"
 )
 def density_autocorrelation(spark, d):
-    return _long(K.map_volumes(_wide(spark, d), lambda v: {"data": K.autocorrelation(v)}, {"data": "array<double>"}), data=6)
+    return _placed(S.autocorrelation(_cut(spark, d), N, THICK), 6)
 
 
 _HIST = (
