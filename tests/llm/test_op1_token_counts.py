@@ -63,18 +63,49 @@ def test_token_totals_hold_rows_without_an_id(spark, tmp_path):
     assert pairs(got, "source", "lang", "n_docs", "n_tokens") == [("a", "en", 4, sum(n.values())), ("b", "en", 1, n["one"]), ("z", "en", 1, n["alpha beta"])]
 
 
-def test_a_small_batch_reads_its_buckets_only(spark, tmp_path):
+def inserts(spark, n):
+    return spark.range(n).select(F.lit("insert").alias("op"), F.col("id").alias("doc_id"), F.lit("t").alias("tokenizer"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(3).alias("tokens"), F.lit(0).alias("seq"))
+
+
+def test_a_small_batch_reads_its_folders_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "FOLDER_ROWS", 16)
     ledger = token_counts.TokenLedger(spark, str(tmp_path / "l"))
-    many = spark.range(2000).select(F.lit("insert").alias("op"), F.col("id").alias("doc_id"), F.lit("t").alias("tokenizer"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(3).alias("tokens"), F.lit(0).alias("seq"))
+    many = inserts(spark, 4000)
     ledger.apply(1, many)
-    bucket = spark.range(1).select(F.lit(77).cast("long").alias("doc_id")).select(token_counts.bucket_of("doc_id")).first()[0]
-    plan = ledger.current([bucket])._jdf.queryExecution().executedPlan().toString()
+    some = many.where("doc_id % 400 = 7")
+    plan = ledger.current(some)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
-    assert ledger.current([bucket]).count() < 2000 / token_counts.BUCKETS * 2
-    ledger.apply(2, many.where("doc_id = 77").withColumn("tokens", F.lit(10)))
-    assert pairs(ledger.totals(), "n_docs", "n_tokens") == [(2000, 2000 * 3 + 7)]
-    written = spark.read.parquet(str(tmp_path / "l/ledger/batch=2"))
-    assert written.count() == 2 and written.select("bucket").distinct().count() == 1
+    ledger.apply(2, some.withColumn("tokens", F.lit(10)))
+    # a small batch lies in few folders, whatever the ledger's size
+    assert spark.read.parquet(str(tmp_path / "l/ledger/batch=2")).select("bucket").distinct().count() == 1 and token_counts.folders_for(10) == 1
+    want = [(4000, 4000 * 3 + 10 * 7)]
+    assert pairs(ledger.totals(), "n_docs", "n_tokens") == want
+    assert ledger.compact() == 1 and ledger.compact() == 1
+    assert pairs(ledger.totals(), "n_docs", "n_tokens") == want and ledger.current().count() == 4000
+    # of the compacted ledger ten documents read under a tenth, and a committed batch stays committed
+    assert ledger.current(some).count() < 400 and pairs(ledger.current(some).where("doc_id % 400 = 7"), "tokens") == [(10,)] * 10
+    assert not ledger.apply(2, many)
+    ledger.apply(3, some.withColumn("op", F.lit("delete")))
+    assert pairs(ledger.totals(), "n_docs", "n_tokens") == [(3990, 3990 * 3)]
+    assert ledger.compact() == 2 and pairs(ledger.totals(), "n_docs", "n_tokens") == [(3990, 3990 * 3)] and ledger.current().count() == 3990
+
+
+def test_a_broken_compaction_is_invisible(spark, tmp_path):
+    ledger = token_counts.TokenLedger(spark, str(tmp_path / "l"))
+    ledger.apply(1, inserts(spark, 50))
+    # all but the marker
+    junk = spark.createDataFrame([(9, "z", "en", "t", 1, 1000)], "doc_id long, source string, lang string, tokenizer string, docs long, tokens long")
+    junk.write.parquet(str(tmp_path / "l/bases/base=1/ledger/bucket=0"))
+    junk.drop("doc_id").write.parquet(str(tmp_path / "l/bases/base=1/totals"))
+    assert pairs(ledger.totals(), "n_docs", "n_tokens") == [(50, 150)] and ledger.current().count() == 50
+    assert ledger.compact() == 1
+    assert pairs(ledger.totals(), "n_docs", "n_tokens") == [(50, 150)] and ledger.current().where("source = 'z'").count() == 0
+    assert token_counts.TokenLedger(spark, str(tmp_path / "none")).compact() == 0
+
+
+def test_folders_grow_with_rows():
+    n = token_counts.FOLDER_ROWS
+    assert [token_counts.folders_for(x) for x in (0, 1, n, n + 1, 2 * n + 1, 5 * n, 10**13)] == [1, 1, 1, 2, 4, 8, token_counts.MOST_FOLDERS]
 
 
 def test_changes_with_further_columns(spark, tmp_path):
