@@ -9,13 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 HEADER = 1024
-_MODES = {0: "<i1", 1: "<i2", 2: "<f4", 6: "<u2"}
+MODES = {0: "<i1", 1: "<i2", 2: "<f4", 6: "<u2"}
 
 
-def to_bytes(vol: np.ndarray, voxel: float = 1.0, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> bytes:
-    """A float32 cube or box; the last axis is the file's fastest (columns)."""
-    data = np.asarray(vol, dtype="<f4")
-    nz, ny, nx = data.shape
+def header_bytes(shape: tuple[int, int, int], voxel: float, origin: tuple[float, float, float], stats: tuple[float, float, float, float]) -> bytes:
+    """The header of float32 values; stats: least, largest, mean and standard deviation."""
+    nz, ny, nx = shape
     head = np.zeros(HEADER // 4, dtype="<i4")
     real = head.view("<f4")
     head[0:4] = nx, ny, nz, 2
@@ -23,23 +22,30 @@ def to_bytes(vol: np.ndarray, voxel: float = 1.0, origin: tuple[float, float, fl
     real[10:13] = nx * voxel, ny * voxel, nz * voxel
     real[13:16] = 90.0
     head[16:19] = 1, 2, 3
-    real[19:22] = (data.min(), data.max(), data.mean()) if data.size else (0, 0, 0)
+    real[19:22] = stats[:3]
     head[27] = 20140
     real[49:52] = origin
     raw = bytearray(head.tobytes())
     raw[208:212] = b"MAP "
     raw[212:216] = bytes([0x44, 0x44, 0, 0])
-    raw[216:220] = np.array([data.std() if data.size else 0], dtype="<f4").tobytes()
-    return bytes(raw) + data.tobytes()
+    raw[216:220] = np.array([stats[3]], dtype="<f4").tobytes()
+    return bytes(raw)
+
+
+def to_bytes(vol: np.ndarray, voxel: float = 1.0, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> bytes:
+    """A float32 cube or box; the last axis is the file's fastest (columns)."""
+    data = np.asarray(vol, dtype="<f4")
+    stats = (data.min(), data.max(), data.mean(), data.std()) if data.size else (0, 0, 0, 0)
+    return header_bytes(data.shape, voxel, origin, stats) + data.tobytes()
 
 
 def from_bytes(raw: bytes) -> tuple[np.ndarray, float]:
     head = np.frombuffer(raw[:HEADER], dtype="<i4")
     nx, ny, nz, mode = (int(x) for x in head[:4])
-    if mode not in _MODES:
+    if mode not in MODES:
         raise ValueError(f"mode {mode} isn't supported")
     start = HEADER + int(head[23])
-    data = np.frombuffer(raw, dtype=_MODES[mode], count=nx * ny * nz, offset=start).reshape(nz, ny, nx)
+    data = np.frombuffer(raw, dtype=MODES[mode], count=nx * ny * nz, offset=start).reshape(nz, ny, nx)
     return data.astype(np.float64), float(head.view("<f4")[10]) / max(1, int(head[7]))
 
 
