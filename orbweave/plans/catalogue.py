@@ -5,7 +5,7 @@ The SQL is written from the definitions: transforms as direct sums, filters as j
 
 from __future__ import annotations
 
-from . import catalogue_images, catalogue_runs, catalogue_volumes
+from . import catalogue_images, catalogue_runs, catalogue_sql, catalogue_volumes
 
-QUERIES = catalogue_images.QUERIES | catalogue_volumes.QUERIES | catalogue_runs.QUERIES
-ORACLE_SQL = catalogue_images.ORACLE_SQL | catalogue_volumes.ORACLE_SQL | catalogue_runs.ORACLE_SQL
+QUERIES = catalogue_images.QUERIES | catalogue_volumes.QUERIES | catalogue_runs.QUERIES | catalogue_sql.QUERIES
+ORACLE_SQL = catalogue_images.ORACLE_SQL | catalogue_volumes.ORACLE_SQL | catalogue_runs.ORACLE_SQL | catalogue_sql.ORACLE_SQL

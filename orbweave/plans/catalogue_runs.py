@@ -11,7 +11,7 @@ from ..operators import kernels as K
 from ..operators import merging as A
 from ..operators import phasing as P
 from ..operators import slabs as L
-from ..sources import mrc
+from ..sources import mrc, stacks
 from ..sources import tables as T
 from . import reconstruct as R
 from .registry import VOL, Registry, rounded, rounded_columns
@@ -168,7 +168,9 @@ def checkpoint_roundtrip(spark, d):
 def mrc_roundtrip(spark, d):
     """The mean volume, written as an MRC file and read."""
     out = T.scratch(spark)
-    mrc.write_volume(spark, f"{out}/mean.mrc", _mean_volume(spark, d), 2.5)
+    mean = T.voxels(T.wide(spark, d, "vol_id")).groupBy("i", "j", "k").agg(F.avg("v").alias("v"))
+    planes = mean.groupBy(F.col("i").alias("image_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "k", "v"))), lambda x: x["v"]).alias("data"))  # a plane has a fixed size
+    stacks.write_stack(planes, f"{out.removeprefix('file://')}/mean.mrc", T.CUBE, T.CUBE, T.CUBE, 2.5)
     return rounded_columns(mrc.read_volumes(spark, f"{out}/mean.mrc").select("side", "voxel", F.posexplode("data").alias("p", "v")), "v", digits=5)
 
 

@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
@@ -75,16 +76,27 @@ class Range(InputPartition):
     last: int
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
+def _local(path: str) -> str | None:
+    """The path in a folder of this machine or one that it shares; None for other stores."""
+    at = urlparse(path)
+    return at.path if at.scheme in ("", "file") else None
+
+
+@contextmanager
+def _reading(path: str) -> Iterator[Callable[[int, int], bytes]]:
+    """A function that reads (bytes, place)."""
+    if (at := _local(path)) is not None:
+        with open(at, "rb") as f:
+            yield lambda n, place: os.pread(f.fileno(), n, place)
+    else:
+        system, at = fs.FileSystem.from_uri(path)
+        with system.open_input_file(at) as f:
+            yield f.read_at
 
 
 def header(path: str) -> Stack:
-    system, at = _open(path)
-    with system.open_input_file(at) as f:
-        head = np.frombuffer(f.read_at(mrc.HEADER, 0), dtype="<i4")
+    with _reading(path) as read:
+        head = np.frombuffer(read(mrc.HEADER, 0), dtype="<i4")
     cols, rows, sections, mode = (int(x) for x in head[:4])
     if mode not in mrc.MODES:
         raise ValueError(f"mode {mode} isn't supported")
@@ -93,14 +105,16 @@ def header(path: str) -> Stack:
 
 def stacks(path: str) -> list[Stack]:
     """The stacks of a file or folder, by name. Names that begin with . or _ are left out."""
-    system, at = _open(path)
-    info = system.get_file_info(at)
-    if info.type == fs.FileType.NotFound:
-        raise FileNotFoundError(path)
-    if info.type == fs.FileType.File:
-        return [header(path)]
-    found = [x.base_name for x in system.get_file_info(fs.FileSelector(at)) if x.type == fs.FileType.File and x.base_name[0] not in "._"]
-    return [header(f"{path.rstrip('/')}/{n}") for n in sorted(found)]
+    if (at := _local(path)) is not None:
+        if not os.path.isdir(at):
+            return [header(path)]
+        names = [x.name for x in os.scandir(at) if x.is_file()]
+    else:
+        system, at = fs.FileSystem.from_uri(path)
+        if system.get_file_info(at).type != fs.FileType.Directory:
+            return [header(path)]
+        names = [x.base_name for x in system.get_file_info(fs.FileSelector(at)) if x.type == fs.FileType.File]
+    return [header(f"{path.rstrip('/')}/{n}") for n in sorted(names) if n[0] not in "._"]
 
 
 def _ranges(stack: Stack, base: int, first: int, last: int, most: int) -> list[Range]:
@@ -110,12 +124,11 @@ def _ranges(stack: Stack, base: int, first: int, last: int, most: int) -> list[R
 
 def _read(part: Range) -> Iterator[pa.RecordBatch]:
     s = part.stack
-    system, at = _open(s.path)
     step = max(1, (4 << 20) // max(1, s.width))
-    with system.open_input_file(at) as f:
+    with _reading(s.path) as read:
         for a in range(part.first, part.last, step):
             n = min(step, part.last - a)
-            raw = f.read_at(n * s.width, s.start + a * s.width)
+            raw = read(n * s.width, s.start + a * s.width)
             if len(raw) < n * s.width:
                 raise ValueError(f"{s.path} ends before section {a + n}")
             values = np.frombuffer(raw, dtype=s.kind).astype("<f4")
@@ -197,10 +210,9 @@ class Written(WriterCommitMessage):
 
 class StackWriter(DataSourceArrowWriter):
     def __init__(self, path: str, sections: int, rows: int, cols: int, voxel: float, origin: tuple[float, float, float]):
-        kind = urlparse(path)
-        if kind.scheme not in ("", "file"):
+        self.path = _local(path)
+        if self.path is None:
             raise ValueError("a stack is written where any place of a file can be: a path in a folder that all share")
-        self.path = kind.path
         self.shape, self.voxel, self.origin = (sections, rows, cols), voxel, origin
         self.staging = os.path.join(os.path.dirname(self.path), f".{os.path.basename(self.path)}-{uuid.uuid4().hex}")
         os.makedirs(os.path.dirname(self.path), exist_ok=True)
@@ -265,8 +277,8 @@ class StackSource(DataSource):
 
     def writer(self, schema, overwrite: bool) -> StackWriter:
         o = self.options
-        path = urlparse(o["path"]).path if o["path"].startswith("file:") else o["path"]
-        if not overwrite and "://" not in path and os.path.exists(path):
+        path = o["path"]
+        if not overwrite and os.path.exists(_local(path) or ""):
             raise ValueError(f"{path} is there; write with mode overwrite")
         origin = tuple(float(x) for x in o.get("origin", "0,0,0").split(","))
         return StackWriter(path, int(o["sections"]), int(o["rows"]), int(o["cols"]), float(o.get("voxel", 1.0)), origin)
