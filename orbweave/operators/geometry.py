@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quaternion import inverse_rotate, quat
@@ -25,7 +25,7 @@ def normalise(positions: DataFrame, det: DataFrame, oversampling: float = 1.0) -
     return scaled.select("image_id", "panel", "r", "c", *[(F.col(n) * math.pi / (F.col("far") * oversampling)).alias(n) for n in "hkl"])
 
 
-def positions_from_energy(pixels: DataFrame, energy_ev: float) -> DataFrame:
+def positions_from_energy(pixels: DataFrame, energy_ev: float | Column) -> DataFrame:
     """Reciprocal positions qx, qy, qz (inverse metres) from places x, y, z (metres) behind the sample and the photon energy."""
     wavelength = 1.23984198e-6 / energy_ev
     norm = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))

@@ -12,7 +12,7 @@ from ..operators import nearest as N
 from ..operators import reports
 from ..sources import tables as T
 from ..streaming import generations as S
-from .registry import DET, HKL, ORIENT, PAIRS, PX, PX4, ROT, Registry, rounded, rounded_columns, sql_columns
+from .registry import DET, HKL, ORIENT, PAIRS, PX, PX4, ROT, VOL, Registry, rounded, rounded_columns, sql_columns
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -70,9 +70,11 @@ def mean_image(spark, d):
     return rounded_columns(D.mean_image(_px(spark, d)), "v")
 
 
-@_r.add(f"with {DET} select panel, r, c, round(sqrt(qx * qx + qy * qy + qz * qz), 6) + 0.0 as q from det")
+@_r.add(f"with {DET}, {ORIENT}, {ROT}, {HKL} select image_id, panel, r, c, round(sqrt(h * h + k * k + l * l), 6) + 0.0 as q from hkl")
 def pixel_distance(spark, d):
-    return T.detector(spark).select("panel", "r", "c", rounded(D.distance()).alias("q"))
+    """Of every image's rotated pixels."""
+    at = G.rotate_positions(T.orientations(spark, d), T.detector(spark))
+    return at.select("image_id", "panel", "r", "c", rounded(D.distance(*"hkl")).alias("q"))
 
 
 _BINNED = "q as (select panel, r, c, floor(100 * sqrt(qx * qx + qy * qy + qz * qz) / (select max(sqrt(qx * qx + qy * qy + qz * qz)) from det))::int as bin from det)"
@@ -90,9 +92,14 @@ def saxs_profile(spark, d):
     return every.join(F.broadcast(got.drop("q")), "bin", "left").select("bin", rounded(F.col("bin") * F.col("far") / D.SAXS_BINS).alias("q"), rounded("v").alias("v"))
 
 
-@_r.add(f"with {DET}, w as (select panel, r, c, 1 / pow(abs(sqrt(qx * qx + qy * qy) * 1e-10), 2) as w from det) select panel, r, c, round(w / sum(w) over (), 9) + 0.0 as w from w")
+@_r.add(
+    f"with {PX}, {DET}, w as (select panel, r, c, 1 / pow(abs(sqrt(qx * qx + qy * qy) * 1e-10), 2) as w from det), one as (select panel, r, c, w / sum(w) over () as w from w) "
+    "select image_id, round(sum(w * v * v), 9) + 0.0 as power from px join one using (panel, r, c) group by 1"
+)
 def resolution_weights(spark, d):
-    return D.resolution_weights(T.detector(spark), 2).select("panel", "r", "c", rounded("w", 9).alias("w"))
+    """The weighted mean square of every image."""
+    w = D.resolution_weights(T.detector(spark), 2).select("panel", "r", "c", "w")  # a row for each pixel of the detector
+    return _px(spark, d).join(F.broadcast(w), ["panel", "r", "c"]).groupBy("image_id").agg(rounded(F.sum(F.col("w") * F.col("v") * F.col("v")), 9).alias("power"))
 
 
 _FACTOR = (
@@ -123,11 +130,19 @@ def bin_mean(spark, d):
     return rounded_columns(D.bin_pixels(_px(spark, d), 2, "mean"), "v")
 
 
-@_r.add(f"with {DET} select panel, r // 2 as r, c // 2 as c, min(ix) // 2 as ix, min(iy) // 2 as iy from det group by 1, 2, 3")
+_PLACES = f"{PX}, places as (select image_id, panel, r, c, floor(1000 * (v + 1))::int as ix, floor(1000 * (1 - v))::int as iy from px)"
+
+
+def _places(spark, d):
+    """Maps of places: whole numbers made of each image's values."""
+    v = F.col("v")
+    return _px(spark, d).select("image_id", "panel", "r", "c", F.floor(1000 * (v + 1)).cast("int").alias("ix"), F.floor(1000 * (1 - v)).cast("int").alias("iy"))
+
+
+@_r.add(f"with {_PLACES} select image_id, panel, r // 2 as r, c // 2 as c, min(ix) // 2 as ix, min(iy) // 2 as iy from places group by 1, 2, 3, 4")
 def bin_index(spark, d):
-    det = T.detector(spark)
-    both = [D.bin_pixels(det, 1, "index", n, ()) for n in ("ix", "iy")]
-    return both[0].join(F.broadcast(both[1]), ["panel", "r", "c"])
+    both = [D.bin_pixels(_places(spark, d), 1, "index", n) for n in ("ix", "iy")]
+    return both[0].join(both[1], ["image_id", "panel", "r", "c"])
 
 
 @_r.add(f"with {PX} select image_id, panel, r - 2 as r, c - 2 as c, round(v, 6) + 0.0 as v from px where r between 2 and 5 and c between 2 and 5")
@@ -143,9 +158,9 @@ def clip_four_panel(spark, d):
     return rounded_columns(D.clip(_px4(spark, d), 1, 4, 4, 4), "v")
 
 
-@_r.add(f"with {DET}, k as (select panel, r - 2 as r, c - 2 as c, ix from det where r between 2 and 5 and c between 2 and 5) select panel, r, c, ix - min(ix) over () as ix from k")
+@_r.add(f"with {_PLACES}, k as (select image_id, panel, r - 2 as r, c - 2 as c, ix from places where r between 2 and 5 and c between 2 and 5) select image_id, panel, r, c, ix - min(ix) over () as ix from k")
 def clip_index(spark, d):
-    return D.clip_index(T.detector(spark), 1, 8, 8, 1, "ix").select("panel", "r", "c", "ix")
+    return D.clip_index(_places(spark, d), 1, 8, 8, 1, "ix").select("image_id", "panel", "r", "c", "ix")
 
 
 @_r.add(f"with {PX} select image_id, panel, (r - 2) // 2 as r, (c - 2) // 2 as c, round(avg(v), 6) + 0.0 as v from px where r between 2 and 5 and c between 2 and 5 group by all")
@@ -229,10 +244,12 @@ def star_filter(spark, d):
 
 
 @_r.add(
-    "with s as (select unnest(range(0, 5))::int as a) select i.a as i, j.a as j, k.a as k, i.a - 2.0::double as x, j.a - 2.0::double as y, k.a - 2.0::double as z from s i cross join s j cross join s k"
+    f"with {VOL} select vol_id, i, j, k, round(i * (4.0::double / 3) - 2, 6) + 0.0 as x, round(j * (4.0::double / 3) - 2, 6) + 0.0 as y, round(k * (4.0::double / 3) - 2, 6) + 0.0 as z, round(v, 6) + 0.0 as v from vol"
 )
 def reciprocal_mesh(spark, d):
-    return G.reciprocal_mesh(spark, 5, 2.0)
+    """Every volume's voxels at their places of the mesh."""
+    mesh = G.reciprocal_mesh(spark, T.CUBE, 2.0)  # n^3 rows
+    return rounded_columns(T.voxels(T.wide(spark, d, "vol_id")).join(F.broadcast(mesh), ["i", "j", "k"]), "x", "y", "z", "v")
 
 
 @_r.add("with e as (select vec_id, unnest(embedding)::double as v from embeddings) select round(stddev_pop(v) filter (vec_id % 20 = 0) / stddev_pop(v), 6) + 0.0 as factor from e")
@@ -289,12 +306,16 @@ def known_orientation_override(spark, d):
 
 
 @_r.add(
-    f"with {DET}, p as (select panel, r, c, qx * 0.001 as x, qy * 0.001 as y, 0.1::double as z from det), n as (select *, sqrt(x * x + y * y + z * z) as s from p) "
-    "select panel, r, c, " + ", ".join(f"round(({x} / s - {1 if x == 'z' else 0}) / (1.23984198e-6 / 9000) / 1e6, 6) + 0.0 as q{x}" for x in "xyz") + " from n"
+    f"with {DET}, p as (select panel, r, c, qx * 0.001 as x, qy * 0.001 as y, 0.1::double as z from det), n as (select *, sqrt(x * x + y * y + z * z) as s from p), "
+    "e as (select vec_id as image_id, 9000 + 1000 * embedding[1]::double as ev from embeddings) select image_id, panel, r, c, "
+    + ", ".join(f"round(({x} / s - {1 if x == 'z' else 0}) / (1.23984198e-6 / ev) / 1e6, 6) + 0.0 as q{x}" for x in "xyz") + " from n cross join e"
 )
 def energy_positions(spark, d):
+    """Of every shot, at its own photon energy."""
     px = T.detector(spark).select("panel", "r", "c", (F.col("qx") * 0.001).alias("x"), (F.col("qy") * 0.001).alias("y"), F.lit(0.1).alias("z"))
-    return G.positions_from_energy(px, 9000).select("panel", "r", "c", *[rounded(F.col(f"q{n}") / 1e6).alias(f"q{n}") for n in "xyz"])
+    shots = T.wide(spark, d).select("image_id", (9000 + 1000 * F.col("data")[0]).alias("ev"))
+    at = G.positions_from_energy(shots.join(F.broadcast(px), how="cross"), F.col("ev"))  # each shot with the fixed detector
+    return at.select("image_id", "panel", "r", "c", *[rounded(F.col(f"q{n}") / 1e6).alias(f"q{n}") for n in "xyz"])
 
 
 @_r.add("with e as (select event_id, row_number() over (order by event_id) - 1 as rank from events) select rank % 4 + 1 as worker, rank // 4 as slot, event_id from e where rank < 200")
@@ -336,18 +357,33 @@ def stream_cap_generations(spark, d):
     return S.capped(T.table(spark, d, "events"), 100, 500, 20)
 
 
-_LINES = [
-    "rank 0: AC recovered in 1.25s.", "rank 1: AC recovered in 1.75s.", "Phasing completed in 3.50s.", "Orientation matching completed in 2.00s. slice=0.10s. match=0.20s. slice_oh=0.01s. match_oh=0.02s.",
-    "Orientation matching completed in 4.00s. slice=0.30s. match=0.60s. slice_oh=0.03s. match_oh=0.04s.", "nothing to see", "Loaded in 12.00s",
-]
+# One line of a log for each event; times are whole hundredths of a second.
+_TIME = "((event_id * 37 + round(value * 100)::bigint) % 900 + 100)"
+_SECONDS = f"({_TIME} // 100)::varchar || '.' || lpad(({_TIME} % 100)::varchar, 2, '0') || 's'"
+_LOG = (
+    "lines as (select case event_id % 4 when 0 then 'rank ' || (event_id % 7)::varchar || ': AC recovered in ' || t || '.' when 1 then 'Phasing completed in ' || t || '.' "
+    "when 2 then 'Orientation matching completed in ' || t || '. slice=' || t || '. match=' || t || '. slice_oh=0.01s. match_oh=0.02s.' else 'nothing to see' end as value "
+    f"from (select event_id, {_SECONDS} as t from events where value is not null))"
+)
+
+
+def _log(events):
+    time = F.pmod(F.col("event_id") * 37 + F.round(F.col("value") * 100).cast("long"), F.lit(900)) + 100
+    t = F.concat(F.floor(time / 100).cast("string"), F.lit("."), F.lpad((time % 100).cast("string"), 2, "0"), F.lit("s"))
+    kind = F.col("event_id") % 4
+    line = F.when(kind == 0, F.concat(F.lit("rank "), (F.col("event_id") % 7).cast("string"), F.lit(": AC recovered in "), t, F.lit(".")))
+    line = line.when(kind == 1, F.concat(F.lit("Phasing completed in "), t, F.lit(".")))
+    line = line.when(kind == 2, F.concat(F.lit("Orientation matching completed in "), t, F.lit(". slice="), t, F.lit(". match="), t, F.lit(". slice_oh=0.01s. match_oh=0.02s.")))
+    return events.where("value is not null").select(line.otherwise("nothing to see").alias("value"))
 
 
 @_r.add(
-    "with lines(value) as (values " + ", ".join(f"('{x}')" for x in _LINES) + "), "
+    f"with {_LOG}, "
     f"found as (select 'stage' as kind, unnest(regexp_extract_all(value, '{reports.STAGE}', 1)) as stage, unnest(regexp_extract_all(value, '{reports.STAGE}', 2))::double as t from lines "
     f"union all select 'part', unnest(regexp_extract_all(value, '{reports.PART}', 1)), unnest(regexp_extract_all(value, '{reports.PART}', 2))::double from lines) "
     "select kind, stage, count(*) as n, max(t) as longest, min(t) as shortest, round(avg(t), 6) + 0.0 as mean, round(stddev_pop(t), 6) + 0.0 as std, round(sum(t) / 2, 6) + 0.0 as per_rank from found group by 1, 2"
 )
 def stage_timing_report(spark, d):
-    got = reports.stage_timings(spark.createDataFrame([(x,) for x in _LINES], "value string"), 2)
+    """Of a log with a line for each event."""
+    got = reports.stage_timings(_log(T.table(spark, d, "events")), 2)
     return rounded_columns(got, "mean", "std", "per_rank")

@@ -14,7 +14,7 @@ from ..operators import slabs as L
 from ..sources import mrc, stacks
 from ..sources import tables as T
 from . import reconstruct as R
-from .registry import VOL, Registry, rounded, rounded_columns
+from .registry import DET, PX, ROT, VOL, Registry, rounded, rounded_columns
 from .settings import Settings
 
 _r = Registry()
@@ -213,3 +213,42 @@ def stream_reconstruction(spark, d):
     source = spark.readStream.schema("image_id long, data array<double>").option("maxFilesPerTrigger", 1).parquet(f"{out}/source").select("image_id", "data")
     run_stream(spark, source, f"{out}/store", f"{out}/checkpoint", 100, generation)
     return rounded_columns(spark.createDataFrame(rows, "generation int, n long, mean double"), "mean")
+
+
+@_r.add("with each_ as (select unnest(embedding)::double as v, unnest(range(0, 64))::int as p from embeddings) select p, count(*) as n, round(avg(v), 6) + 0.0 as v from each_ group by p")
+def stream_running_mean(spark, d):
+    """The mean image of a stream of five files, kept by a stateful operator from what is new in each micro-batch."""
+    from ..streaming import running
+
+    out = T.scratch(spark)
+    T.wide(spark, d).repartition(5).write.parquet(f"{out}/source")
+    source = spark.readStream.schema("image_id long, data array<double>").option("maxFilesPerTrigger", 1).parquet(f"{out}/source")
+    running.run_sums(spark, source, f"{out}/sums", f"{out}/mark")
+    return rounded_columns(running.mean_image(running.latest(spark, f"{out}/sums")), "v")
+
+
+_GRID = 40
+
+
+def _match_sql() -> str:
+    quats = ", ".join(f"({i}, {', '.join(repr(float(x)) + '::double' for x in q)})" for i, q in enumerate(E.uniform_rotations(_GRID)))
+    rot = ROT.replace("image_id", "ref_id").replace("from orient", "from quat")
+    return (
+        f"with {PX}, {DET}, quat(ref_id, w, x, y, z) as (values {quats}), {rot}, far as (select max(sqrt(qx * qx + qy * qy + qz * qz)) as far from det), "
+        "place as (select ref_id, r, c, (m00 * qx + m10 * qy + m20 * qz) * pi() / far as h, (m01 * qx + m11 * qy + m21 * qz) * pi() / far as k, (m02 * qx + m12 * qy + m22 * qz) * pi() / far as l from rot cross join det cross join far), "
+        "vox as (select p // 16 - 2 as x, (p // 4) % 4 - 2 as y, p % 4 - 2 as z, avg(v) as v from each_ group by p), "
+        "slices as (select ref_id, r, c, sum(v * cos(h * x + k * y + l * z)) as s from place cross join vox group by 1, 2, 3), "
+        "f as (select (select stddev_pop(v) from each_) / (select stddev_pop(s) from slices) as f), "
+        "dist as (select image_id, ref_id, sum((v - f * s) * (v - f * s)) as d from px join slices using (r, c) cross join f group by 1, 2), "
+        "best as (select image_id, arg_min(ref_id, d) as ref_id, min(d) as d from dist group by 1) "
+        "select image_id, round(w, 6) + 0.0 as w, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(z, 6) + 0.0 as z, round(d, 5) + 0.0 as distance from best join quat using (ref_id)"
+    )
+
+
+@_r.add(_match_sql())
+def model_match(spark, d):
+    """Every image with the nearest slice of the mean volume over a grid of rotations, slices scaled to the images."""
+    from ..operators import matching as M
+
+    got = M.match_model(T.wide(spark, d), _mean_volume(spark, d), E.uniform_rotations(_GRID), R.positions(T.detector(spark), 1.0))
+    return rounded_columns(got.select("image_id", *[rounded(F.col("q")[i]).alias(n) for i, n in enumerate("wxyz")], "distance"), "distance", digits=5)

@@ -105,44 +105,50 @@ def nufft_type1_direct(spark, d):
 
 
 @_r.add(
-    "with s as (select unnest(range(0, 5))::int as a), q as (select a, a * pi() / 2 - pi() as x from s) "
-    "select i.a as i, j.a as j, k.a as k, round(sqrt(i.x * i.x + j.x * j.x + k.x * k.x), 4) > round(pi() / 1.5, 4) as outside from q i cross join q j cross join q k"
+    f"with {DFT}, q as (select a, ((a + 2) % 4) * 2 * pi() / 3 - pi() as x from (select unnest(range(0, 4))::int as a)) "
+    "select vol_id, round(sum(re * re + im * im) filter (round(sqrt(x.x * x.x + y.x * y.x + z.x * z.x), 4) > round(pi() / 1.5, 4)), 5) + 0.0 as outside, round(sum(re * re + im * im), 5) + 0.0 as power "
+    "from ft join q x on x.a = i join q y on y.a = j join q z on z.a = k group by 1"
 )
 def antisupport_mask(spark, d):
-    return G.antisupport(spark, 5, 1.5)
+    """How much of every volume's power lies outside the sampled ball."""
+    half = N // 2
+    mask = G.antisupport(spark, N, 1.5).select(*[F.pmod(F.col(c) - half, F.lit(N)).alias(c) for c in "ijk"], "outside")  # n^3 rows, origin first
+    f = S.voxels(S.forward(_cut(spark, d), N, THICK), N, THICK, "re", "im", pencils=True, complex_=True).join(F.broadcast(mask), ["i", "j", "k"])
+    power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    return f.groupBy("vol_id").agg(rounded(F.sum(F.when(F.col("outside"), power)), 5).alias("outside"), rounded(F.sum(power), 5).alias("power"))
 
 
-_ATOMS = [(1.25, -2.5, 0.75, "N"), (2.0, 1.5, -1.25, "C"), (-1.5, 0.25, 2.0, "O"), (0.5, -0.75, -2.25, "S"), (-2.25, 1.0, 0.5, ""), (0.0, 0.5, 0.0, "ZN")]
-_PDB = ["HEADER    A MADE-UP MOLECULE"] + [f"ATOM  {n:5d}  CA  GLY A{n:4d}    {x:8.3f}{y:8.3f}{z:8.3f}  1.00  0.00          {e:>2s}" for n, (x, y, z, e) in enumerate(_ATOMS)] + ["TER", "END"]
+_ELEMENTS = ["N", "C", "O", "S", ""]
 
 
 @_r.add(
-    "with lines(value) as (values " + ", ".join(f"('{x}')" for x in _PDB) + "), "
-    "a as (select trim(substr(value, 31, 8))::double as x, trim(substr(value, 39, 8))::double as y, trim(substr(value, 47, 8))::double as z, trim(substr(value, 77, 2)) as e from lines where value like 'ATOM  %'), "
-    "w as (select *, case e when 'N' then 7 when 'O' then 8 when 'S' then 16 when 'ZN' then 30 else 6 end as n from a), "
-    "m as (select avg(x) as mx, avg(y) as my, avg(z) as mz from w), p as (select n, (x - mx) / 1.0 + 4 as x, (y - my) / 1.0 + 4 as y, (z - mz) / 1.0 + 4 as z from w cross join m), "
+    "with a as (select floor(1000 * embedding[1]::double) / 100 as x, floor(1000 * embedding[2]::double) / 100 as y, floor(1000 * embedding[3]::double) / 100 as z, "
+    "case vec_id % 5 when 0 then 7 when 2 then 8 when 3 then 16 else 6 end as n from embeddings), "
+    "m as (select avg(x) as mx, avg(y) as my, avg(z) as mz from a), p as (select n, (x - mx) / 1.0 + 4 as x, (y - my) / 1.0 + 4 as y, (z - mz) / 1.0 + 4 as z from a cross join m), "
     "s as (select unnest(range(0, 9))::int as a) "
-    "select i.a as i, j.a as j, k.a as k, round(sum(n * exp(-((i.a - x) * (i.a - x) + (j.a - y) * (j.a - y) + (k.a - z) * (k.a - z)) / (2 * 0.64))), 6) + 0.0 as v "
+    "select i.a as i, j.a as j, k.a as k, round(sum(n * exp(-((i.a - x) * (i.a - x) + (j.a - y) * (j.a - y) + (k.a - z) * (k.a - z)) / (2 * 0.64))), 5) + 0.0 as v "
     "from p cross join s i cross join s j cross join s k where abs(i.a - floor(x + 0.5)) <= 3 and abs(j.a - floor(y + 0.5)) <= 3 and abs(k.a - floor(z + 0.5)) <= 3 group by 1, 2, 3"
 )
 def atom_density(spark, d):
-    lines = spark.createDataFrame([(x,) for x in _PDB], "value string")
-    return rounded_columns(pdb.density(pdb.parse(lines), 9, 1.0, 0.8), "v")
-
-
-_CLUSTER = [(0.0, 0.0, 0.0, 6.0), (1.5, 0.2, -0.3, 8.0), (-0.7, 1.1, 0.4, 7.0), (0.3, -0.9, 1.2, 16.0)]
+    """An atom for each vector of the table, as lines of the public format, read and added up."""
+    at = [F.floor(1000 * F.col("data")[i]) / 100 for i in range(3)]
+    element = F.element_at(F.array(*[F.lit(e) for e in _ELEMENTS]), (F.col("image_id") % 5 + 1).cast("int"))
+    lines = T.wide(spark, d).select(F.format_string("ATOM  %5d  CA  GLY A%4d    %8.3f%8.3f%8.3f  1.00  0.00          %2s", F.col("image_id") % 99999, F.col("image_id") % 9999, *at, element).alias("value"))
+    return rounded_columns(pdb.density(pdb.parse(lines), 9, 1.0, 0.8), "v", digits=5)
 
 
 @_r.add(
-    "with atoms(x, y, z, e) as (values " + ", ".join(str(tuple(a)) for a in _CLUSTER) + "), "
-    "about as (select x::double - avg(x::double) over () as x, y::double - avg(y::double) over () as y, z::double - avg(z::double) over () as z, e::double as e from atoms), "
-    "s as (select unnest(range(0, 5))::int as p), q as (select a.p as a, b.p as b, c.p as c from s a cross join s b cross join s c) "
-    "select i.p as i, j.p as j, k.p as k, round(sum(e * cos((q.a - 2) * x + (q.b - 2) * y + (q.c - 2) * z + 2 * pi() * ((q.a - 2) * (i.p - 2) + (q.b - 2) * (j.p - 2) + (q.c - 2) * (k.p - 2)) / 5)) / 125, 6) + 0.0 as v "
-    "from s i cross join s j cross join s k cross join q cross join about group by 1, 2, 3"
+    "with atoms as (select 5 * embedding[1]::double as x, 5 * embedding[2]::double as y, 5 * embedding[3]::double as z, (6 + vec_id % 3)::double as e from embeddings), "
+    "about as (select x - avg(x) over () as x, y - avg(y) over () as y, z - avg(z) over () as z, e from atoms), "
+    "s as (select unnest(range(0, 5))::int as p), q as (select a.p as a, b.p as b, c.p as c from s a cross join s b cross join s c), "
+    "f as (select a, b, c, sum(e * cos((a - 2) * x + (b - 2) * y + (c - 2) * z)) as re, sum(e * sin((a - 2) * x + (b - 2) * y + (c - 2) * z)) as im from q cross join about group by 1, 2, 3) "
+    "select i.p as i, j.p as j, k.p as k, round(sum(re * cos(2 * pi() * ((a - 2) * (i.p - 2) + (b - 2) * (j.p - 2) + (c - 2) * (k.p - 2)) / 5) "
+    "- im * sin(2 * pi() * ((a - 2) * (i.p - 2) + (b - 2) * (j.p - 2) + (c - 2) * (k.p - 2)) / 5)) / 125, 5) + 0.0 as v from s i cross join s j cross join s k cross join f group by 1, 2, 3"
 )
 def reference_density(spark, d):
-    atoms = spark.createDataFrame(_CLUSTER, "x double, y double, z double, electrons double")
-    return rounded_columns(pdb.reference_density(atoms, 5, 2.0), "v")
+    """From the diffraction of an atom for each vector of the table."""
+    atoms = T.wide(spark, d).select(*[(5 * F.col("data")[i]).alias(c) for i, c in enumerate("xyz")], (6 + F.col("image_id") % 3).cast("double").alias("electrons"))
+    return rounded_columns(pdb.reference_density(atoms, 5, 2.0), "v", digits=5)
 
 
 # Frequencies of a side of 4 that lie outside the ball, with the origin first; and what they make of an impulse.
@@ -286,10 +292,13 @@ def ac_support(spark, d):
 
 
 @_r.add(
-    "select k as member, round(81.0 * 81 * 81 / 1000000 * pow(2.0, k - 4.0), 9) + 0.0 as rlambda, 1e5::double * pow(10.0, k - 4) as flambda from (select unnest(range(0, 8))::int as k)"
+    "with n as (select sum(len(embedding)) as n from embeddings) select k as member, round(9.0 * 9 * 9 / n * pow(2.0, k - 4.0), 9) + 0.0 as rlambda, 1e5::double * pow(10.0, k - 4) as flambda "
+    "from (select unnest(range(0, 8))::int as k) cross join n"
 )
 def lambda_grid(spark, d):
-    return A.lambda_grid(spark, 8, 1_000_000, 81).select("member", rounded("rlambda", 9).alias("rlambda"), "flambda")
+    """For all values of the table's images, merged on a cube of side nine."""
+    n = _wide(spark, d).agg(F.sum(F.size("data"))).first()[0]
+    return A.lambda_grid(spark, 8, n, 9).select("member", rounded("rlambda", 9).alias("rlambda"), "flambda")
 
 
 def _solved(spark, d):
