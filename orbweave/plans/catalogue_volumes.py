@@ -13,10 +13,12 @@ from ..operators import kernels as K
 from ..operators import merging as A
 from ..operators import phasing as P
 from ..operators import slabs as S
+from ..operators import tiles as W
 from ..operators.detector import mean_image
 from ..sources import pdb
 from ..sources import tables as T
-from .registry import PX, VOL, Registry, rounded, rounded_columns, sql_columns
+from .reconstruct import positions
+from .registry import DET, HKL, ORIENT, PX, ROT, VOL, Registry, rounded, rounded_columns, sql_columns
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -455,3 +457,19 @@ def fsc_resolution(spark, d):
 def convergence_flags(spark, d):
     h = T.table(spark, d, "embeddings").groupBy(F.col("label").alias("generation")).agg((0.5 + F.avg(F.col("embedding")[0].cast("double"))).alias("cc"))
     return rounded_columns(E.convergence(h, 0.49, 0.01), "cc", "delta_cc")
+
+
+_SIDE = 6
+
+
+@_r.add(
+    f"with {PX}, {DET}, {ORIENT}, {ROT}, {HKL}, far as (select max(sqrt(qx * qx + qy * qy + qz * qz)) as far from det), "
+    "place as (select image_id, r, c, h * pi() / far as h, k * pi() / far as k, l * pi() / far as l from hkl cross join far), s as (select unnest(range(0, 6))::int as a) "
+    "select x.a as i, y.a as j, z.a as k, round(sum(v * cos(p.h * (x.a - 3) + p.k * (y.a - 3) + p.l * (z.a - 3))), 4) + 0.0 as v "
+    "from px join place p using (image_id, r, c) cross join s x cross join s y cross join s z group by 1, 2, 3"
+)
+def nufft_type1_tiled(spark, d):
+    """Every pixel of every image, at its place in the volume, gridded over slabs."""
+    images = T.wide(spark, d, "image_id").join(T.orientations(spark, d).select("image_id", F.array(*"wxyz").alias("q")), "image_id")
+    points = W.points_of(images.withColumn("member", F.lit(0)), positions(T.detector(spark), 1.0))
+    return rounded_columns(S.voxels(W.type1(points, _SIDE, 3, 2), _SIDE, 2, "v").select("i", "j", "k", "v"), "v", digits=4)
