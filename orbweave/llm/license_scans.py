@@ -7,7 +7,7 @@ it hits, so a k-gram that repeats counts once. A span that hits COVER of them is
 first hit to its last are compared with the whole template by edit distance over words. Its score is the lesser of the share of
 offsets hit and the share of words that agree, and it counts from COVER on; a span with fewer hits scores their share.
 
-The join confirms the words themselves beside their hash, and an exact phrase must have all its votes on one diagonal, so that
+Verification reads the texts that have such a span once more, so a hit carries nothing but its place. The join confirms the words themselves beside their hash, and an exact phrase must have all its votes on one diagonal, so that
 it is an exact occurrence.
 """
 
@@ -19,13 +19,15 @@ import operator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ascii_lower, let, table, text_or_empty, words
+from .common import ALNUM_WORD, ROW_KEY, ascii_lower, keep_rows, materialise, row_key, table, text_or_empty, words
 
 K = 2
 #: Diagonals of a span lie at most this far apart, all in all.
 DRIFT = 2
 #: Share of a template's k-grams that a span must hit, and of its words that must agree.
 COVER = 0.8
+#: Different words of templates at one place of a k-gram that stand in the plan, and places of templates that are broadcast, at most.
+WORDS_IN_PLAN, BROADCAST_GRAMS = 2000, 1_000_000
 #: Phrases that count exactly, and their labels.
 PHRASES = [
     ("gnu general public license", "gpl"),
@@ -63,35 +65,42 @@ def _gram_rows(rows: list[tuple[int, str, str, bool]]) -> list[tuple[str, list[t
     return list(at.items())
 
 
-def _hits(w: Column, known: list[str], most: int, alone: bool) -> Column:
-    """(position, hash, words, next) of every rolling k-gram of the word array that some template has.
-
-    next: the words from there on, as many as a span can have; null where no other hit comes within them, as then no span begins
-    (unless a single one makes a span: ``alone``).
-    """
+def _grams(w: Column, nth: list[list[str]] | None) -> Column:
+    """(position, hash, words) of every rolling k-gram of the word array; with ``nth`` only of those whose every word is among the words that templates have there."""
 
     def one(i: Column) -> Column:
         return F.concat_ws(" ", *[F.get(w, i + j) for j in range(K)])
 
-    # most places go by single words, before any words are joined
-    nth = [sorted({g.split(" ")[j] for g in known}) for j in range(K)]
-    at = F.filter(F.sequence(F.lit(0), F.size(w) - K), lambda i: functools.reduce(operator.and_, [F.get(w, i + j).isin(nth[j]) for j in range(K)]))
+    at = F.sequence(F.lit(0), F.size(w) - K)
+    if nth is not None:
+        at = F.filter(at, lambda i: functools.reduce(operator.and_, [F.get(w, i + j).isin(nth[j]) for j in range(K)]))
     grams = F.transform(at, lambda i: F.struct(i.alias("pos"), one(i).alias("g")))
-    kept = F.filter(grams, lambda x: x["g"].isin(known))
+    return F.when(F.size(w) >= K, F.transform(grams, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["g"]).alias("h"), x["g"].alias("g"))))
 
-    def hits(s: Column) -> Column:
-        def one_hit(x: Column, i: Column) -> Column:
-            near = F.lit(True) if alone else F.get(s, i + 1)["pos"] - x["pos"] <= most - K
-            return F.struct(x["pos"].alias("pos"), F.xxhash64(x["g"]).alias("h"), x["g"].alias("g"), F.when(near, F.array_join(F.slice(w, x["pos"] + 1, most), " ")).alias("next"))
 
-        return F.transform(s, one_hit)
+def _coded(phrase: str) -> tuple[dict[str, str], str]:
+    """A letter for each different word of a template, and the template in these letters."""
+    letters: dict[str, str] = {}
+    for w in phrase.split(" "):
+        code = 0x4E00 + len(letters) + 1
+        letters.setdefault(w, chr(code if code < 0xD800 else code + 0x800))  # past the surrogates
+    return letters, "".join(letters[w] for w in phrase.split(" "))
 
-    return F.when(F.size(w) >= K, let(kept, hits))
 
+#: The letter of a word that a template doesn't have.
+_OTHER = chr(0x4E00)
 
-def _letters(words_: Column, template: Column, alphabet: str) -> Column:
-    """One letter for each word: that of its first place in the template, or the first of the alphabet."""
-    return F.array_join(F.transform(words_, lambda x: F.substring(F.lit(alphabet), F.array_position(template, x).cast("int") + 1, F.lit(1))), "")
+
+def _agreement(docs: DataFrame, spans: DataFrame, names: DataFrame) -> DataFrame:
+    """The row's key, tid, start, agree of the given spans: the share of the template's words that the span's words have, by edit distance.
+
+    Only the texts with such a span are read again, each once; a span takes its words from there.
+    """
+    texts = keep_rows(docs.select("text", *row_key()), spans.select(*ROW_KEY)).dropDuplicates(ROW_KEY)
+    texts = texts.select(*ROW_KEY, words(ascii_lower(text_or_empty()), ALNUM_WORD).alias("w"))
+    met = spans.join(texts, ROW_KEY).join(names.select("tid", "letters", "coded", "n"), "tid")
+    own = F.array_join(F.transform(F.slice("w", F.col("from") + 1, F.col("length")), lambda x: F.coalesce(F.try_element_at("letters", x), F.lit(_OTHER))), "")
+    return met.select(*ROW_KEY, "tid", "start", F.greatest(F.lit(0.0), 1 - F.levenshtein(own, F.col("coded")) / F.col("n")).alias("agree"))
 
 
 def scan_licenses(docs: DataFrame, rows: list[tuple[int, str, str, bool]] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -100,45 +109,47 @@ def scan_licenses(docs: DataFrame, rows: list[tuple[int, str, str, bool]] | None
     docs: doc_id, text. spans: one row for each verified span (doc_id, sig, template, label, exact, start, votes, score,
     n_words); spans of one notice that overlap within DRIFT are all given. documents: one row for each document. Null and empty
     texts have no words and no spans. Equal rows stay as many as they were; documents of one doc_id and different texts are told
-    apart by a hash of the text (``sig``). Very long texts give one row for each hit. The templates are a fixed list of a few
-    lines, so the broadcast is bounded, and a hit carries no more words than the longest of them.
+    apart by a hash of the text (``sig``). Very long texts give one row for each k-gram whose words templates have.
+
+    rows: templates, of any number of words. A hit is a row of fixed width, whatever the templates' lengths. Up to WORDS_IN_PLAN
+    different words stand in the plan and rule out most places before the join; up to BROADCAST_GRAMS k-grams are broadcast, more are
+    joined by their hash.
     """
     spark = docs.sparkSession
     rows = templates() if rows is None else rows
-    longest = max((len(p.split(" ")) for _, p, _, _ in rows), default=1)
-    alphabet = "".join(chr(0x4E00 + i) for i in range(longest + 1))
     found = _gram_rows(rows)
-    alone = any(not e and len(p.split(" ")) <= K for _, p, _, e in rows)
-    grams = spark.createDataFrame(found, "gram string, hits array<struct<tid:int,off:int>>").withColumn("gram_hash", F.xxhash64("gram"))
-    names = spark.createDataFrame(
-        [(i, l, e, len(p.split(" ")) - K + 1, p.split(" ")) for i, p, l, e in rows], "tid int, label string, exact boolean, size int, template array<string>"
-    )
+    nth = [sorted({g.split(" ")[j] for g, _ in found}) for j in range(K)]
+    nth = nth if max(map(len, nth)) <= WORDS_IN_PLAN else None
+    small = F.broadcast if sum(len(h) for _, h in found) <= BROADCAST_GRAMS else (lambda df: df)
+    grams = small(spark.createDataFrame(found, "gram string, hits array<struct<tid:int,off:int>>").withColumn("gram_hash", F.xxhash64("gram")))
+    names = [(i, l, e, len(p.split(" ")) - K + 1, len(p.split(" ")), *_coded(p)) for i, p, l, e in rows]
+    names = small(spark.createDataFrame(names, "tid int, label string, exact boolean, size int, n int, letters map<string,string>, coded string"))
     text = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("sig"), words(ascii_lower(text_or_empty()), ALNUM_WORD).alias("w"))
-    text = text.select("doc_id", "sig", F.size("w").cast("long").alias("n_words"), _hits(F.col("w"), [g for g, _ in found], longest + DRIFT, alone).alias("grams"))
+    text = text.select("doc_id", "sig", F.size("w").cast("long").alias("n_words"), _grams(F.col("w"), nth).alias("grams"))
     each = text.select("doc_id", "sig", "n_words", F.posexplode_outer("grams").alias("nth_gram", "x"))
-    met = each.join(F.broadcast(grams), (F.col("x.h") == F.col("gram_hash")) & (F.col("x.g") == F.col("gram")), "left")
-    met = met.select("doc_id", "sig", "n_words", "nth_gram", F.col("x.pos").alias("pos"), F.col("x.next").alias("next"), F.posexplode_outer("hits").alias("nth", "hit"))
+    met = each.join(grams, (F.col("x.h") == F.col("gram_hash")) & (F.col("x.g") == F.col("gram")), "left")
+    met = met.select("doc_id", "sig", "n_words", "nth_gram", F.col("x.pos").alias("pos"), F.posexplode_outer("hits").alias("nth", "hit"))
     # every row of a document begins with one of these, so they count its repetitions
     first = F.when((F.coalesce("nth_gram", F.lit(0)) == 0) & (F.coalesce("nth", F.lit(0)) == 0), 1).otherwise(0)
     votes = (
         met.groupBy("doc_id", "sig", "n_words", F.col("hit.tid").alias("tid"), (F.col("pos") - F.col("hit.off")).alias("diag"))
-        .agg(F.collect_set("hit.off").alias("offs"), F.min("pos").alias("from"), F.max("pos").alias("to"), F.min_by("next", "pos").alias("next"), F.sum(first).alias("firsts"))
+        .agg(F.collect_set("hit.off").alias("offs"), F.min("pos").alias("from"), F.max("pos").alias("to"), F.sum(first).alias("firsts"))
     )
     key = ["doc_id", "sig"]
     votes = votes.withColumn("copies", F.sum("firsts").over(Window.partitionBy(*key)))
-    votes = votes.join(F.broadcast(names), "tid", "left")
+    votes = votes.join(names.select("tid", "label", "exact", "size"), "tid", "left")
     # a notice's span takes in the diagonals after its own; an exact phrase stands on its own diagonal
     near = Window.partitionBy(*key, "tid").orderBy(F.col("diag").cast("long")).rangeBetween(0, DRIFT)
     mine = lambda own, all_: F.when(F.col("exact"), own).otherwise(all_)
     spans = votes.select(
-        *key, "n_words", "copies", "tid", "label", "exact", "size", "template", F.col("diag").alias("start"),
+        *key, F.xxhash64("doc_id").alias(ROW_KEY[0]), F.col("sig").alias(ROW_KEY[1]), "n_words", "copies", "tid", "label", "exact", "size", F.col("diag").alias("start"),
         F.size(F.array_distinct(mine(F.col("offs"), F.flatten(F.collect_list("offs").over(near))))).alias("votes"),
-        (F.max("to").over(near) - F.min("from").over(near) + K).alias("length"),
-        F.min(F.struct("from", "next")).over(near)["next"].alias("next"),
+        F.min("from").over(near).alias("from"), (F.max("to").over(near) - F.min("from").over(near) + K).alias("length"),
     )
-    edits = F.levenshtein(_letters(F.slice(F.split("next", " "), F.lit(1), F.greatest(F.col("length"), F.lit(0))), F.col("template"), alphabet), _letters(F.col("template"), F.col("template"), alphabet))
-    cover, agree = F.col("votes") / F.col("size"), F.greatest(F.lit(0.0), 1 - edits / F.size("template"))
-    spans = spans.withColumn("score", F.when(F.col("exact") | (cover < COVER), cover).otherwise(F.least(cover, agree)))
+    spans = materialise(spans.withColumn("cover", F.col("votes") / F.col("size")), "spans")
+    agree = _agreement(docs, spans.where(~F.col("exact") & (F.col("cover") >= COVER)).select(*ROW_KEY, "tid", "start", "from", "length").distinct(), names)
+    spans = spans.join(materialise(agree, "agree"), [*ROW_KEY, "tid", "start"], "left")
+    spans = spans.withColumn("score", F.when(F.col("exact") | (F.col("cover") < COVER), F.col("cover")).otherwise(F.least("cover", "agree")))
     sure = F.col("tid").isNotNull() & F.when(F.col("exact"), F.col("votes") >= F.col("size")).otherwise(F.col("score") >= COVER)
     spans = spans.withColumn("sure", F.coalesce(sure, F.lit(False)))
     base = F.col("sure") & F.col("exact")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from llm_cases import odd_docs, pairs, same_count
 
 from orbweave.llm import license_scans
@@ -92,3 +93,26 @@ def test_templates_of_ones_own(spark):
     _, documents = license_scans.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rows)
     got = {r["doc_id"]: (r["labels"], r["base_labels"], r["score"]) for r in documents.collect()}
     assert got == {i: brute_scan(t, rows) for i, t in enumerate(texts)} and got[1][0] == "short" and got[2][0] == "long"
+
+
+@pytest.mark.parametrize("how", ["in the plan", "joined"])
+def test_long_templates_give_rows_of_fixed_width(spark, monkeypatch, how):
+    """Full texts of 5,000 words: found with words put in and left out, by rows that are no wider than those of short templates."""
+    if how == "joined":
+        monkeypatch.setattr(license_scans, "WORDS_IN_PLAN", 10)
+        monkeypatch.setattr(license_scans, "BROADCAST_GRAMS", 10)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    long = [[rng.choice(vocabulary) for _ in range(5000)] for _ in range(3)]
+    rows = [(i, " ".join(w), f"license-{i}", False) for i, w in enumerate(long)] + [(3, "one two", "short", True)]
+    put_in, left_out, changed = long[0][:900] + ["new", "words"] + long[0][900:], long[1][:3000] + long[1][3001:], list(long[2])
+    for at in range(0, 5000, 40):
+        changed[at] = "x"
+    half = long[2][:2500]
+    texts = ["before it " + " ".join(put_in) + " after it", " ".join(left_out), " ".join(changed), " ".join(half), "one two", None]
+    spans, documents = license_scans.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rows)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in documents.collect()}
+    assert [got[i][0] for i in range(6)] == ["license-0", "license-1", "license-2", "", "short", ""]
+    assert got[0][1] == round(1 - 2 / 5000, 6) or got[0][1] > 0.999
+    assert got[1][1] > 0.999 and abs(got[2][1] - (1 - 2 * 125 / 4999)) < 0.01 and abs(got[3][1] - 0.5) < 0.01
+    assert len(license_scans._coded(" ".join(f"v{i}" for i in range(60_000)))[1]) == 60_000
