@@ -29,25 +29,6 @@ def two_blobs(n: int = SIDE) -> np.ndarray:
     return blob(0, 0, -1, 0.9) + 0.6 * blob(1, 1, 1, 0.7)
 
 
-def synthetic_slices(spark, images: int, oversampling: float = 1.0, seed: int = 1):
-    """image_id, q, data: diffraction images of the two blobs at known orientations, on the 8 x 8 detector."""
-    import pyarrow as pa
-
-    det = R.positions(T.detector(spark), oversampling)
-    ac = np.fft.fftshift(K.autocorrelation(np.fft.ifftshift(two_blobs())))
-
-    def run(batches):
-        for b in batches:
-            data = []
-            for q in b.column(1).to_pylist():
-                h, k, l = K.matrix_of(np.array(q)).T @ det
-                data.append(K.nufft2(ac, h, k, l).real)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(data, pa.list_(pa.float64()))], names=["image_id", "q", "data"])
-
-    ids = R.random_orientations(spark.range(0, images, 1, 8).withColumnRenamed("id", "image_id"), seed)
-    return ids.mapInArrow(run, "image_id long, q array<double>, data array<double>")
-
-
 @_r.add()
 def full_reconstruction(spark, d):
     """Three generations over all driver images; generation, voxel, density."""

@@ -1,6 +1,7 @@
 """Operators on small inline tables: exact results, ties, gaps, empty tables, and a run that is resumed."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,23 @@ from orbweave.plans.settings import Settings, load
 from orbweave.sources import tables as T
 from orbweave.streaming import generations as S
 
+def synthetic_slices(spark, images: int, oversampling: float = 1.0, seed: int = 1):
+    """image_id, q, data: diffraction images of the two blobs at known orientations, on the 8 x 8 detector."""
+    det = R.positions(T.detector(spark), oversampling)
+    ac = np.fft.fftshift(K.autocorrelation(np.fft.ifftshift(C.two_blobs())))
+
+    def run(batches):
+        for b in batches:
+            data = []
+            for q in b.column(1).to_pylist():
+                h, k, l = K.matrix_of(np.array(q)).T @ det
+                data.append(K.nufft2(ac, h, k, l).real)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(data, pa.list_(pa.float64()))], names=["image_id", "q", "data"])
+
+    ids = R.random_orientations(spark.range(0, images, 1, 8).withColumnRenamed("id", "image_id"), seed)
+    return ids.mapInArrow(run, "image_id long, q array<double>, data array<double>")
+
+
 PX = "image_id long, panel int, r int, c int, v double"
 
 
@@ -92,7 +110,7 @@ def test_convergence_sign(spark):
 
 
 def test_parallel_grids_equal_one_pass(spark):
-    images = C.synthetic_slices(spark, 40).withColumn("member", F.lit(0))
+    images = synthetic_slices(spark, 40).withColumn("member", F.lit(0))
     det = R.positions(T.detector(spark), 1.0)
 
     def grids(df):
@@ -104,7 +122,7 @@ def test_parallel_grids_equal_one_pass(spark):
 
 
 def test_resume_equals_a_continuous_run(spark, tmp_path):
-    images = C.synthetic_slices(spark, 40).select("image_id", "data")
+    images = synthetic_slices(spark, 40).select("image_id", "data")
     base = dict(side=5, n_orientations=30, n_phase_loops=1, n_er=2, n_hio=1, members=2, solve_steps=15)
     whole = R.run(spark, images, T.detector(spark), Settings(n_generations=3, out=str(tmp_path / "a"), **base))
     R.run(spark, images, T.detector(spark), Settings(n_generations=2, out=str(tmp_path / "b"), **base))
@@ -211,7 +229,7 @@ def test_splines_pass_through_values_and_follow_cubics():
 def test_streamed_reconstruction(spark, tmp_path, warm):
     from orbweave.plans import stream
 
-    C.synthetic_slices(spark, 30).select("image_id", "data").repartition(3).write.parquet(str(tmp_path / "in"))
+    synthetic_slices(spark, 30).select("image_id", "data").repartition(3).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("image_id long, data array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     s = Settings(side=5, n_generations=4, n_orientations=20, n_phase_loops=1, n_er=1, n_hio=1, members=2, solve_steps=5, out=str(tmp_path / "out"))
     last = stream.run(spark, source, T.detector(spark), s, 10, warm_start=warm)
@@ -266,7 +284,7 @@ def brute_model_match(images, volume, quats, det, scale, batch):
 def test_model_match_equals_brute_force(spark, monkeypatch, scale, held, chunk):
     monkeypatch.setattr(M, "HELD_VALUES", held)
     monkeypatch.setattr(M, "CHUNK_VALUES", chunk)
-    images = C.synthetic_slices(spark, 40).select("image_id", "data")
+    images = synthetic_slices(spark, 40).select("image_id", "data")
     det, vol, quats = R.positions(T.detector(spark), 1.0), C.two_blobs(5), E.uniform_rotations(33)
     rows = images.orderBy("image_id").collect()
     at, least = brute_model_match(np.array([r["data"] for r in rows]), vol, quats, det, scale, min(8, chunk // 64))
@@ -279,7 +297,7 @@ def test_model_match_equals_brute_force(spark, monkeypatch, scale, held, chunk):
 
 
 def test_a_generation_shuffles_no_images(spark, tmp_path):
-    C.synthetic_slices(spark, 40).select("image_id", "data").write.parquet(str(tmp_path / "images"))
+    synthetic_slices(spark, 40).select("image_id", "data").write.parquet(str(tmp_path / "images"))
     det = R.positions(T.detector(spark), 1.0)
     matched = M.match_model(spark.read.parquet(str(tmp_path / "images")), C.two_blobs(5), E.uniform_rotations(9), det)
     assert "Exchange" not in matched._jdf.queryExecution().executedPlan().toString()
@@ -289,7 +307,7 @@ def test_a_generation_shuffles_no_images(spark, tmp_path):
 
 
 def test_slabs_of_many_tasks_add_up(spark):
-    images = C.synthetic_slices(spark, 90).withColumn("member", F.col("image_id") % 2)
+    images = synthetic_slices(spark, 90).withColumn("member", F.col("image_id") % 2)
     det = R.positions(T.detector(spark), 1.0)
     rows = lambda df: {(r["member"], r["part"], r["slab"]): np.array(r["data"]) for r in A.normal_grids(df, det, 3).collect()}
     a, b = rows(images.coalesce(1)), rows(images.repartition(150))
