@@ -38,8 +38,8 @@ EVERY = 20
 SHARD_ROWS, SHARD_VALUES = 16384, 4 << 20
 #: Points of a leaf, at most.
 LEAF = 256
-#: Shards, and blocks of queries, that meet in one task, about.
-SIDE = 8
+#: Shards, and blocks of queries, that meet in one task, about; of few shards fewer, so that there are some tasks.
+SIDE, LEAST_GROUPS = 8, 4
 #: Components beyond this (far outside any embedding) count as this.
 LARGEST = 2**31 - 1
 #: A score that is no score, and the vec_id that stands for null (it is the largest, so it loses all ties).
@@ -316,7 +316,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     found = blocks.mapInArrow(_home_rows(k), FOUND)
     n = shards.count()
     if n > 1:
-        groups = math.ceil(n / SIDE)
+        groups = max(math.ceil(n / SIDE), min(n, LEAST_GROUPS))
         own, other = F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
         none = F.lit(None).cast("binary")
         trees = shards.select("*", none.alias("score"), none.alias("best"), own.alias("at"), other.alias("asks"))
