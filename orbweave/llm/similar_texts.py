@@ -7,17 +7,21 @@ more similar pairs less. Beside that, scattered edits leave the sets of words cl
 linked through the vantage-point trees. What hangs together is a candidate component. Within it the exact similarities decide:
 documents are one group if links of 0.8 or more lead from one to the other.
 
-A component of bounded size is closed in one task. A larger one is closed in rounds: a block of its members is compared with
-all of them, map side, until the component hangs together or each member has been in a block.
+A component of bounded size is closed in one task. A larger one is closed in a fixed number of steps, whatever its members: first
+its members are sorted by minima of their hashes, ORDERS times over, and each run of bounded size is closed, which links most of what
+is alike. What then falls into several groups is joined on rare shingles: two texts of the least similarity share one of the rarest
+fifth, and one more, of each. Only texts that share such a shingle with another group are compared again, in parts that these shingles
+hang together, and a part that is still too large by all pairs of its blocks. No pairs of texts are ever rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ROW_KEY, SPACE_WORD, ascii_lower, drop_rows, join_counted, join_spread, keep_rows, let, materialise, row_key, small_batches, text_or_empty, words
@@ -34,10 +38,8 @@ FAMILIES = 6
 ROWS, BANDS = 5, 48
 #: Shingles of a component that one task closes: 16 MB of hashes.
 CLOSED = 2 << 20
-#: Members of a larger component that a round compares with all of it, about; fewer where they have more than CLOSED shingles.
-BLOCK = 128
-#: Tasks that share the members of a large component.
-SALTS = 16
+#: Orders in which the members of a larger component are closed by runs.
+ORDERS = 4
 
 _SEEDS = [(0x632BE59BD9B4E019 * (2 * i + 1)) % (1 << 64) for i in range(64)]
 _FACTORS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(_SEEDS[1])) | np.uint64(1)
@@ -148,9 +150,9 @@ def _close(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return edges
 
 
-def _close_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (component, node, shingles) come sorted by component; a component may run over several batches."""
-    comp, nodes, sets = None, [], []
+def _close_components(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (component, node, shingles) come sorted by component; a component may run over several batches. With ``most``, it is closed in runs of at most so many shingles."""
+    comp, nodes, sets, held = None, [], [], 0
 
     def done() -> Iterator[pa.RecordBatch]:
         if len(nodes) > 1 and (edges := _close(np.array(nodes), sets)):
@@ -158,11 +160,12 @@ def _close_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
     for batch in batches:
         for c, node, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if c != comp:
+            if c != comp or (most and held + len(s) > most):
                 yield from done()
-                comp, nodes, sets = c, [], []
+                comp, nodes, sets, held = c, [], [], 0
             nodes.append(node)
             sets.append(np.asarray(s.values, dtype=np.int64))
+            held += len(s)
     yield from done()
 
 
@@ -172,42 +175,69 @@ def _closed(members: DataFrame) -> DataFrame:
     return rows.mapInArrow(_close_components, "a long, b long")
 
 
-def _close_in_rounds(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Edges within components too large for a task. sizes: component, members, n (shingles)."""
-    spark = members.sparkSession
-    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("n") / CLOSED)))
-    sizes = materialise(sizes.select("component", "blocks", F.col("members").alias("n")), "blocks")
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = materialise(join_counted(members, sizes, ["component"], total), "large")
-    rounds = members.agg(F.max("blocks")).first()[0] or 0
-    edges = spark.createDataFrame([], "a long, b long")
-    open_ = sizes.select("component")
-    for r in range(rounds):
-        live = members.join(open_, "component", "left_semi")
-        block = live.where(F.pmod(F.xxhash64("node"), F.col("blocks")) == r).select("component", "node", "shingles")
-        block = materialise(block, "block")
-        inner = _closed(block)
-        names = connected_components(inner)
-        named = block.join(names, "node", "left").select("component", F.coalesce("root", "node").alias("name"), "shingles")
-        # about BLOCK rows in each open component
-        block_rows = named.groupBy("component").agg(F.collect_list(F.struct("name", "shingles")).alias("block"))
-
-        def like(p: Column) -> Column:
-            both = F.size(F.array_intersect("shingles", p["shingles"]))
-            return both * LEAST[1] >= LEAST[0] * (F.size("shingles") + F.size(p["shingles"]) - both)
-
-        salted = block_rows.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        met = live.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")).join(salted, ["component", "salt"])
-        near = F.array_distinct(F.transform(F.filter("block", like), lambda p: p["name"]))
-        met = met.select(F.col("node").alias("a"), F.explode(near).alias("b")).where("a != b")
-        edges = materialise(edges.union(inner).union(met).distinct(), "edges")
-        # a component that hangs together needs no more rounds
-        roots = connected_components(edges)
-        parts = members.select("component", "node").join(roots, "node", "left").groupBy("component").agg(F.min(F.coalesce("root", "node")).alias("low"), F.max(F.coalesce("root", "node")).alias("high"))
-        open_ = materialise(parts.where("low != high").select("component"), "open")
-        if not open_.take(1):
-            break
-    return edges
+def _closed_runs(members: DataFrame) -> DataFrame:
+    """Edges between members that lie in one run, in any of ORDERS orders by the least of the shingles' hashes. A run may end anywhere: these edges needn't be all."""
+    edges = members.sparkSession.createDataFrame([], "a long, b long")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for order in range(ORDERS):
+        least = F.array_min(F.transform("shingles", lambda s, o=order: F.xxhash64(s, F.lit(o))))
+        rows = members.select("component", least.alias("least"), "node", "shingles")
+        rows = rows.repartitionByRange(parts, "component", "least", "node").sortWithinPartitions("component", "least", "node")
+        edges = edges.union(rows.select("component", "node", "shingles").mapInArrow(partial(_close_components, most=CLOSED), "a long, b long"))
+    return materialise(edges, "runs")
+
+
+def _apart(live: DataFrame) -> DataFrame:
+    """node, part: the members of each component that may be like one of another group, in parts that hold both. live (a table): component, node, root, shingles."""
+    total = live.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    each = live.select("component", "node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    held = materialise(each.groupBy("component", "shingle").agg(F.count("*").alias("n")).withColumn("texts", F.col("n")), "held")
+    each = join_counted(each, held, ["component", "shingle"], total)
+    rarest = F.row_number().over(Window.partitionBy("node").orderBy("texts", "shingle"))  # the shingles of one text
+    most = F.col("size") - F.ceil(F.col("size") * LEAST[0] / LEAST[1]) + 1
+    rare = each.withColumn("rank", rarest).where(F.col("rank") <= most).where("texts > 1").select("component", "node", "root", "shingle")
+    rare = materialise(rare, "rare")
+    shared = rare.groupBy("component", "shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("first"), F.count("*").alias("n"))
+    shared = materialise(shared.where("low != high").select("component", "shingle", "first", "n"), "shared")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    edges = join_counted(rare, shared, ["component", "shingle"], total).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return connected_components(edges).withColumnRenamed("root", "part")
+
+
+def _close_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Edges within components too large for a task, all pairs of their blocks of about half as much. sizes: component, n (shingles), members."""
+    blocks = sizes.select("component", F.ceil(F.col("n") * 2 / CLOSED).alias("blocks"), F.col("members").alias("n"))
+    blocks = materialise(blocks, "blocks")
+    total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    own = join_counted(members, blocks, ["component"], total).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("own != other")
+    cell = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
+    return _closed(own.select(cell.alias("component"), "node", "shingles"))
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    return materialise(members.groupBy("component").agg(F.sum(F.size("shingles")).alias("n"), F.count("*").alias("members")), "sizes")
+
+
+def _close_large(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Edges within components too large for a task: enough to lead from each member to all of its group. sizes: component, members, n (shingles)."""
+
+    def of(rows: DataFrame, which: DataFrame, what: str) -> DataFrame:
+        total = which.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return materialise(join_counted(rows, which, ["component"], total), what)
+
+    members = of(members, sizes.select("component", F.col("members").alias("n")), "large")
+    edges = _closed_runs(members)
+    members = members.join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = materialise(members, "grouped")
+    # a component that is one group needs no more
+    open_ = members.groupBy("component").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    live = of(members, materialise(open_.where("low != high").select("component", "n"), "open"), "live")
+    parts = materialise(live.join(_apart(live), "node").select(F.col("part").alias("component"), "node", "shingles"), "parts")
+    sizes = _sizes(parts)
+    large = sizes.where(F.col("n") > CLOSED)
+    small = _closed(parts.join(large.select("component"), "component", "left_anti"))
+    return edges.union(small).union(_close_blocks(parts, large))
 
 
 def groups(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
@@ -233,12 +263,10 @@ def groups(docs: DataFrame, families: int = FAMILIES) -> DataFrame:
     texts = keep_rows(docs.select("text", *row_key()), members.select(*ROW_KEY))
     texts = texts.select(node_of(text_or_empty()).alias("node"), shingles(text_or_empty()).alias("shingles")).dropDuplicates(["node"])
     members = materialise(members.drop(*ROW_KEY).join(texts, "node"), "shingles")
-    sizes = members.groupBy("component").agg(F.sum(F.size("shingles")).alias("n"), F.count("*").alias("members"))
-    sizes = materialise(sizes, "sizes")
+    sizes = _sizes(members)
     large = sizes.where(F.col("n") > CLOSED)
     if large.take(1):
-        ids = large.select("component")
-        edges = _closed(members.join(ids, "component", "left_anti")).union(_close_in_rounds(members.join(ids, "component", "left_semi"), large))
+        edges = _closed(members.join(large.select("component"), "component", "left_anti")).union(_close_large(members, large))
     else:
         edges = _closed(members)
     roots = materialise(connected_components(edges), "roots")

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import brute_similar, odd_docs, pairs, same_count
 
@@ -29,15 +30,57 @@ def families_of_copies():
     return [(i, t) for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize("closed,block", [(2 << 20, 128), (100, 6)])
-def test_similar_groups_equal_brute_force(spark, monkeypatch, closed, block):
-    monkeypatch.setattr(similar_texts, "CLOSED", closed)  # the small bound sends the families through the rounds
-    monkeypatch.setattr(similar_texts, "BLOCK", block)
+@pytest.mark.parametrize("closed,orders", [(2 << 20, 4), (100, 4), (100, 0), (3000, 0)])
+def test_similar_groups_equal_brute_force(spark, monkeypatch, closed, orders):
+    monkeypatch.setattr(similar_texts, "CLOSED", closed)  # the small bounds close families by runs, by rare shingles and by pairs of blocks
+    monkeypatch.setattr(similar_texts, "ORDERS", orders)
     docs = families_of_copies()
     got = dict(pairs(similar_texts.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "component_id"))
     assert got == brute_similar(docs)
 
 
+def sets_by_groups(groups, rng):
+    """Sets of 21 around a core of 20 each, alike within a group (20 of 22); half of each core is that of all others."""
+    common = list(range(10))
+    for g in range(groups):
+        core = [1000 + 10 * g + i for i in range(10)] + common
+        for m in range(rng.randint(1, 4)):
+            yield g, [*core, 1_000_000 + 4 * g + m]
+
+
+@pytest.mark.parametrize("orders", [0, 4])
+def test_component_of_twenty_thousand_texts_is_closed_in_a_fixed_number_of_steps(spark, monkeypatch, orders):
+    steps = []
+    named = similar_texts.materialise
+    monkeypatch.setattr(similar_texts, "materialise", lambda df, what: steps.append(what) or named(df, what))
+    monkeypatch.setattr(similar_texts, "CLOSED", 40_000)
+    monkeypatch.setattr(similar_texts, "ORDERS", orders)
+    taken = {}
+    for groups in (800, 8000):
+        steps.clear()
+        rows = [(7, node, shingles, g) for node, (g, shingles) in enumerate(sets_by_groups(groups, random.Random(3)))]
+        members = similar_texts.materialise(spark.createDataFrame([r[:3] for r in rows], "component long, node long, shingles array<long>"), "members")
+        roots = similar_texts.connected_components(similar_texts._close_large(members, similar_texts._sizes(members)))
+        got = dict(pairs(roots, "node", "root"))
+        first = {}
+        for _, node, _, g in rows:
+            first.setdefault(g, node)
+        assert all(got.get(node, node) == first[g] for _, node, _, g in rows)
+        taken[groups] = list(steps)
+    assert len(rows) > 19_000 and taken[800] == taken[8000]
+
+
+def test_runs_of_a_component_are_bounded(monkeypatch):
+    seen = []
+    monkeypatch.setattr(similar_texts, "_close", lambda nodes, sets: seen.append(sum(map(len, sets))) or [])
+    batch = pa.record_batch([pa.array([1] * 50 + [2] * 3), pa.array(range(53)), pa.array([[1, 2, 3]] * 53, pa.list_(pa.int64()))], names=["component", "node", "shingles"])
+    list(similar_texts._close_components(iter([batch]), most=30))
+    assert seen == [30] * 5 + [9]
+    seen.clear()
+    list(similar_texts._close_components(iter([batch])))
+    assert seen == [150, 9]
+
+
 def test_recall_of_similar_groups_on_driver_documents(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
     want = brute_similar(docs)
