@@ -14,7 +14,7 @@ from ..operators import slabs as L
 from ..sources import mrc, stacks
 from ..sources import tables as T
 from . import reconstruct as R
-from .registry import DET, PX, ROT, VOL, Registry, rounded, rounded_columns
+from .registry import DET, ORIENT, PX, ROT, VOL, Registry, rounded, rounded_columns
 from .settings import Settings
 
 _r = Registry()
@@ -211,8 +211,8 @@ def stream_running_mean(spark, d):
 _GRID = 40
 
 
-def _match_sql() -> str:
-    quats = ", ".join(f"({i}, {', '.join(repr(float(x)) + '::double' for x in q)})" for i, q in enumerate(E.uniform_rotations(_GRID)))
+def _match_sql(grid: int = _GRID) -> str:
+    quats = ", ".join(f"({i}, {', '.join(repr(float(x)) + '::double' for x in q)})" for i, q in enumerate(E.uniform_rotations(grid)))
     rot = ROT.replace("image_id", "ref_id").replace("from orient", "from quat")
     return (
         f"with {PX}, {DET}, quat(ref_id, w, x, y, z) as (values {quats}), {rot}, far as (select max(sqrt(qx * qx + qy * qy + qz * qz)) as far from det), "
@@ -233,3 +233,33 @@ def model_match(spark, d):
 
     got = M.match_model(T.wide(spark, d), _mean_volume(spark, d), E.uniform_rotations(_GRID), R.positions(T.detector(spark), 1.0))
     return rounded_columns(got.select("image_id", *[rounded(F.col("q")[i]).alias(n) for i, n in enumerate("wxyz")], "distance"), "distance", digits=5)
+
+
+_NESTED = 300
+
+
+@_r.add(_match_sql(_NESTED))
+def nested_match(spark, d):
+    """As model_match, over more rotations and from coarse to fine: cells of rotations are left out by the triangle inequality."""
+    from ..operators import rotation_grid as G
+
+    got = G.match_nested(T.wide(spark, d), _mean_volume(spark, d), E.uniform_rotations(_NESTED), R.positions(T.detector(spark), 1.0))
+    return rounded_columns(got.select("image_id", *[rounded(F.col("q")[i]).alias(n) for i, n in enumerate("wxyz")], "distance"), "distance", digits=5)
+
+
+def _part(u: str) -> str:
+    return f"greatest(0, least(3, floor(4 * ({u}))))::bigint"
+
+
+@_r.add(
+    f"with {ORIENT}, turned as (select image_id, w * w + z * z - x * x - y * y as height, (atan2(z, w) + atan2(y, x)) / (2 * pi()) as s, (atan2(z, w) - atan2(y, x)) / (2 * pi()) as t from orient), "
+    f"part as (select image_id, {_part('(height + 1) / 2')} as h, {_part('s - floor(s)')} as s, {_part('t - floor(t)')} as t from turned), "
+    "cell as (select image_id, h // 2 * 32 + s // 2 * 16 + t // 2 * 8 + h % 2 * 4 + s % 2 * 2 + t % 2 as cell from part) "
+    "select cell, cell // 8 as parent, count(*) as n, min(image_id) as first from cell group by 1"
+)
+def rotation_cells(spark, d):
+    """The second level of the nested grid of rotations: each cell that holds orientations of the table, its parent, and how many they are."""
+    from ..operators import rotation_grid as G
+
+    own = T.orientations(spark, d).select("image_id", G.cell_of(Q.quat(), 2).alias("cell"))
+    return own.groupBy("cell").agg(F.count("*").alias("n"), F.min("image_id").alias("first")).withColumn("parent", F.expr("cell div 8"))
