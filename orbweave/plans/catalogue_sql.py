@@ -24,7 +24,7 @@ def sql_volume_at(spark, d):
     """Slicing in SQL: every volume's transform at eight points."""
     _views(spark, d)
     return spark.sql("""
-        with points as (select collect_list(0.1d * a) as h, collect_list(0.2d * a) as k, collect_list(-0.15d * a) as l from (select id as a from range(1, 9) order by id)),
+        with points as (select transform(a, x -> 0.1d * x) as h, transform(a, x -> 0.2d * x) as k, transform(a, x -> -0.15d * x) as l from (select sequence(1, 8) as a)),
         at as (select vol_id, posexplode(volume_at(data, h, k, l)) as (p, x) from orbweave_volumes cross join points)
         select vol_id, p + 1 as point, round(x.re, 6) + 0.0d as re, round(x.im, 6) + 0.0d as im from at""")
 
