@@ -32,8 +32,8 @@ RADIUS = 3
 SHINGLE = 3
 #: Ring width. 3 prunes most for each copy of a point that it makes.
 WIDTH = 3
-#: From so many fingerprints on, copies of points within trees over halves cost more than further trees over parts.
-PARTS_FROM = 4_000_000
+#: From so many fingerprints on, trees over halves, whose copies of a point grow with their depth, make more of them than the fixed number of trees over parts.
+PARTS_FROM = 4096
 #: What it costs to bring a fingerprint to a leaf, in comparisons within a leaf.
 COPY = 200
 #: Comparisons that a point meets in the leaves of a tree, about; deeper trees make fewer and copy more.
@@ -94,10 +94,12 @@ def _trees(n: float, radius: int) -> tuple[list[int], int]:
     return [sum(x) for x in itertools.combinations(part, m - radius)], 0
 
 
-def _rings(fp: Column, bits: Column, vantage: int, radius: int) -> Column:
-    d = F.bit_count(fp.bitwiseXOR(F.lit(vantage)).bitwiseAND(bits))
-    if not radius:
-        return F.array(d)
+def _away(vantage: int) -> Column:
+    return F.bit_count(F.col("fp").bitwiseXOR(F.lit(vantage)).bitwiseAND(F.col("bits")))
+
+
+def _rings(vantage: int, radius: int) -> Column:
+    d = _away(vantage)
     k = F.floor(d / WIDTH).cast("int")
     return F.when((d % WIDTH < radius) & (k > 0), F.array(k - 1, k)).otherwise(F.array(k))
 
@@ -185,10 +187,14 @@ def link(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     # of the about 10 distances that occur on a half, a ring of WIDTH + 1 holds half of the points; without overlap it holds a seventh
     depth = max(1, math.ceil(math.log(max(n, 2) / LEAF) / math.log(1 / 0.53 if search else 1 / 0.2))) if n > LEAF else 1
     vantages = [r["fp"] for r in nodes.orderBy(F.xxhash64("fp", F.lit(SEED))).limit(depth).collect()]
-    rows = nodes.select("fp", *family, F.explode(F.array(*[F.lit(_signed(t)) for t in trees])).alias("bits")).select("fp", "bits", F.xxhash64("bits", *family).alias("leaf"))
-    for v in vantages:
-        rows = rows.select("fp", "bits", "leaf", F.explode(_rings(F.col("fp"), F.col("bits"), v, search)).alias("ring"))
-        rows = rows.select("fp", "bits", F.xxhash64("leaf", "ring").alias("leaf"))
+    rows = nodes.select("fp", *family, F.explode(F.array(*[F.lit(_signed(t)) for t in trees])).alias("bits"))
+    if search:
+        rows = rows.select("fp", "bits", F.xxhash64("bits", *family).alias("leaf"))
+        for v in vantages:
+            rows = rows.select("fp", "bits", "leaf", F.explode(_rings(v, search)).alias("ring"))
+            rows = rows.select("fp", "bits", F.xxhash64("leaf", "ring").alias("leaf"))
+    else:  # a point has one place in a tree
+        rows = rows.select("fp", F.xxhash64("bits", *family, *map(_away, vantages)).alias("leaf"))
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = rows.select("leaf", "fp").repartition(tasks, "leaf").sortWithinPartitions("leaf")
     return leaves.mapInArrow(_link_leaves(radius), "a long, b long")
