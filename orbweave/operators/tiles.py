@@ -3,7 +3,8 @@
 A point's Gaussian covers 2 SPREAD planes of a grid of twice the side (``kernels.GriddedNufft``, the same weights); it goes to each slab
 that has one of them, and a slab's task adds only what falls on its own planes, so slabs need no halo afterwards. Points crowd in the
 middle of the grid: a slab's points are dealt to several tasks, which hand on one partial slab each, and those are added as a
-stream. A task holds one slab of ``thick`` planes, whatever the number of points and the side.
+stream. A task holds one slab of ``thick`` planes, whatever the number of points and the side. A grid no wider than the Gaussian is
+touched whole by every point: there points aren't dealt out, and each task adds them to small grids of its own.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ from .slabs import ROWS, _groups, _rows
 
 #: Tasks that a slab's points are dealt to.
 SALTS = 8
-#: Points that are spread together.
-CHUNK = 128
+#: Points that are spread together; on a grid narrower than the Gaussian, as products of matrices.
+CHUNK, NARROW_CHUNK = 128, 2048
+#: Grids narrower than the Gaussian (at most 175 KB each) that a task holds open.
+OPEN = 64
 
 
 def spread(points: DataFrame, n: int, thick: int) -> DataFrame:
@@ -31,6 +35,8 @@ def spread(points: DataFrame, n: int, thick: int) -> DataFrame:
     thick divides 2n. Volumes without a point have no rows.
     """
     g = kernels.GriddedNufft(n)
+    if g.m <= 2 * g.SPREAD:
+        return _added(points.select(F.col("vol_id").cast("long"), *[F.col(c).cast("double") for c in ("h", "k", "l", "v")]).mapInArrow(_narrow(g, thick), ROWS))
     m, near, step = g.m, g.SPREAD, 2 * math.pi / g.m
     blocks, width = m // thick, thick * m * m
     first = F.floor(F.col("h") / step).cast("long") - near + 1
@@ -69,6 +75,42 @@ def spread(points: DataFrame, n: int, thick: int) -> DataFrame:
     return _added(rows.mapInArrow(run, ROWS))
 
 
+def _narrow(g: kernels.GriddedNufft, thick: int):
+    """Slabs of a grid that is no wider than the Gaussian. Each point touches all of it, so points stay where they are, and a task hands on its own sums."""
+    m, blocks = g.m, g.m // thick
+
+    def weights(p: np.ndarray) -> np.ndarray:
+        """Of each point on each plane; a plane that is met more than once has the sum."""
+        at, w = g._near(p)
+        out, row = np.zeros((len(p), m)), np.arange(len(p))
+        for c in range(at.shape[1]):
+            out[row, at[:, c]] += w[:, c]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grids: dict[int, np.ndarray] = {}
+        task = TaskContext.get().partitionId()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if grids:
+                yield from _rows(np.repeat(np.array(list(grids)), blocks), np.tile(np.arange(blocks), len(grids)), task, np.stack(list(grids.values())))
+            grids.clear()
+
+        for b in (b for b in batches if b.num_rows):
+            vol, *rest = (b.column(c).to_numpy() for c in range(5))
+            for one in np.unique(vol).tolist():
+                if one not in grids and len(grids) >= OPEN:
+                    yield from close()
+                own = np.flatnonzero(vol == one)
+                for a in range(0, len(own), NARROW_CHUNK):
+                    h, k, l, v = (x[own[a : a + NARROW_CHUNK]] for x in rest)
+                    wide = (weights(k)[:, :, None] * weights(l)[:, None, :]).reshape(len(v), m * m)
+                    grids[one] = grids.get(one, 0) + (weights(h) * v[:, None]).T @ wide
+        yield from close()
+
+    return run
+
+
 def _added(parts: DataFrame) -> DataFrame:
     """One row for each slab: the sum of its parts, of which a task holds one at a time."""
 
