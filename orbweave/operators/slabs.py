@@ -25,7 +25,7 @@ SLAB_VALUES = 1 << 18
 #: Steps of an iteration between two writes of its state.
 WRITE_EVERY = 2
 #: Bytes of rows that a task takes at once, about.
-TAKE = 32 << 20
+TAKE = 4 << 20
 
 ROWS = "vol_id long, block int, part int, data binary"
 
@@ -115,7 +115,7 @@ def voxels(slabs: DataFrame, n: int, thick: int, *names: str, pencils: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, step := max(1, (1 << 18) // at.shape[1])):
+            for a in range(0, b.num_rows, step := max(1, (1 << 16) // at.shape[1])):
                 own = b.slice(a, step)
                 x = _bytes(own.column(3)).view("<c16" if complex_ else "<f8").reshape(own.num_rows, -1)
                 first = np.repeat(own.column(1).to_numpy() * thick, at.shape[1])
