@@ -12,6 +12,7 @@ code as a few large ones. Iterations write their state every few steps: a lost e
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,26 @@ TAKE = 4 << 20
 
 ROWS = "vol_id long, block int, part int, data binary"
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: The table that a table was mapped from, and by what.
+_MAPPED: WeakKeyDictionary[DataFrame, tuple[DataFrame, tuple[Run, ...]]] = WeakKeyDictionary()
+
+
+def _map(rows: DataFrame, run: Run, schema: str = ROWS) -> DataFrame:
+    """rows.mapInArrow(run, schema), in the same process as the steps that made the rows, if those come from here too: every mapInArrow of a
+    chain is a Python process of its own in each running task, and these outweigh what they hold."""
+    source, before = _MAPPED.get(rows, (rows, ()))
+    runs = (*before, run)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in runs:
+            batches = one(batches)
+        return batches
+
+    out = source.mapInArrow(chain, schema)
+    _MAPPED[out] = (source, runs)
+    return out
+
 
 def thickness(n: int) -> int:
     """Planes of a slab: the most that divide n and stay under SLAB_VALUES."""
@@ -105,7 +126,7 @@ def cut(volumes: DataFrame, n: int, thick: int) -> DataFrame:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(b.num_rows * (n // thick), -1)
             yield from _rows(np.repeat(b.column(0).to_numpy(), n // thick), np.tile(np.arange(n // thick), b.num_rows), 0, x)
 
-    return volumes.select(F.col("vol_id").cast("long"), F.col("data").cast("array<double>")).mapInArrow(run, ROWS)
+    return _map(volumes.select(F.col("vol_id").cast("long"), F.col("data").cast("array<double>")), run)
 
 
 def voxels(slabs: DataFrame, n: int, thick: int, *names: str, pencils: bool = False, complex_: bool = False) -> DataFrame:
@@ -124,7 +145,7 @@ def voxels(slabs: DataFrame, n: int, thick: int, *names: str, pencils: bool = Fa
                 values = [x.real.ravel(), x.imag.ravel()] if complex_ else [x.ravel()]
                 yield pa.record_batch([pa.array(np.repeat(own.column(0).to_numpy(), at.shape[1])), *(pa.array(z.astype(np.int32)) for z in index), *map(pa.array, values)], names=["vol_id", "i", "j", "k", *names])
 
-    return slabs.mapInArrow(run, "vol_id long, i int, j int, k int, " + ", ".join(f"{x} double" for x in names))
+    return _map(slabs, run, "vol_id long, i int, j int, k int, " + ", ".join(f"{x} double" for x in names))
 
 
 AtFrequency = Callable[[np.ndarray, np.ndarray, list[np.ndarray]], np.ndarray]
@@ -162,7 +183,7 @@ def forward(slabs: DataFrame, n: int, thick: int, m: int | None = None, then: At
             x = np.fft.ifft(f, axis=1)[:, :n].reshape(len(vol) * tiles, -1)
             yield from _rows(np.repeat(vol, tiles), np.tile(np.arange(tiles), len(vol)), np.repeat(block, tiles), x)
 
-    return _exchange(slabs.mapInArrow(within, ROWS), others, tiles).mapInArrow(across, ROWS)
+    return _map(_exchange(_map(slabs, within), others, tiles), across)
 
 
 def backward(tiles: DataFrame, n: int, thick: int, m: int | None = None, then: InSpace | None = None, others: list[DataFrame] | None = None) -> DataFrame:
@@ -179,7 +200,7 @@ def backward(tiles: DataFrame, n: int, thick: int, m: int | None = None, then: I
                 x = then(x, block, [np.ascontiguousarray(raw[:, own + c * 8 * thick * n * n :][:, : 8 * thick * n * n]).view("<f8").reshape(x.shape) for c in range(more)])
             yield from _rows(vol, block, 0, np.asarray(x, dtype="<f8"))
 
-    return _exchange(tiles, others, m // thick).mapInArrow(run, ROWS)
+    return _map(_exchange(tiles, others, m // thick), run)
 
 
 def pencils_of(volume: np.ndarray, thick: int) -> AtFrequency:
@@ -283,7 +304,7 @@ def gauss(slabs: DataFrame, n: int, thick: int, sigma: float, mode: str, truncat
                     x = sum(v * np.take(wide, range(i, i + n), axis=axis) for i, v in enumerate(w))
                 yield from _rows(vol[at], block[at], 0, x)
 
-    return _exchange(slabs.mapInArrow(planes, ROWS), [], 0).mapInArrow(smooth, ROWS)
+    return _map(_exchange(_map(slabs, planes), [], 0), smooth)
 
 
 def _ragged(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
@@ -306,7 +327,7 @@ def sums(slabs: DataFrame) -> DataFrame:
             cols = [np.full(len(x), float(x.shape[1])), x.sum(1), (x * x).sum(1), x.max(1)]
             yield pa.record_batch([b.column(0), *map(pa.array, cols)], names=["vol_id", "n", "s", "ss", "top"])
 
-    parts = slabs.mapInArrow(run, "vol_id long, n double, s double, ss double, top double")
+    parts = _map(slabs, run, "vol_id long, n double, s double, ss double, top double")
     return parts.groupBy("vol_id").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")], F.max("top").alias("top"))
 
 
@@ -326,7 +347,7 @@ def shrink_wrap(rho: DataFrame, n: int, thick: int, method: str = "std", weight:
             x = _bytes(b.column(3)).view("<f8").reshape(b.num_rows, -1)
             yield from _rows(b.column(0).to_numpy(), b.column(1).to_numpy(), 0, (x > b.column(4).to_numpy()[:, None]).astype("<f8"))
 
-    return smooth.join(level.select("vol_id", "level"), "vol_id").select("vol_id", "block", "part", "data", "level").mapInArrow(run, ROWS)
+    return _map(smooth.join(level.select("vol_id", "level"), "vol_id").select("vol_id", "block", "part", "data", "level"), run)
 
 
 def mapped(slabs: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -334,7 +355,7 @@ def mapped(slabs: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFram
         for b in (b for b in batches if b.num_rows):
             yield from _rows(b.column(0).to_numpy(), b.column(1).to_numpy(), 0, fn(_bytes(b.column(3)).view("<f8").reshape(b.num_rows, -1)))
 
-    return slabs.mapInArrow(run, ROWS)
+    return _map(slabs, run)
 
 
 def amplitudes(ac: DataFrame, n: int, thick: int) -> tuple[DataFrame, DataFrame]:
@@ -359,7 +380,7 @@ def roll(slabs: DataFrame, n: int, thick: int, by: int) -> DataFrame:
         for vol, block, raw in _groups(batches, thick):
             yield from _rows(vol, block, 0, raw)
 
-    return _exchange(slabs.mapInArrow(planes, ROWS), [], 0).mapInArrow(together, ROWS)
+    return _map(_exchange(_map(slabs, planes), [], 0), together)
 
 
 def retrieve(ac: DataFrame, n: int, thick: int, start: DataFrame, loops: int, n_er: int, n_hio: int, beta: float, method: str = "std", weight: float = 1.0, cutoff: float = 0.05, most: float = np.inf, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -379,7 +400,7 @@ def retrieve(ac: DataFrame, n: int, thick: int, start: DataFrame, loops: int, n_
             block = b.column(1).to_numpy()
             yield from _rows(b.column(0).to_numpy(), block, 0, ((x > b.column(4).to_numpy()[:, None]) & box[block]).astype("<f8"))
 
-    support = written(smooth.join(top, "vol_id").select("vol_id", "block", "part", "data", "level").mapInArrow(first, ROWS))
+    support = written(_map(smooth.join(top, "vol_id").select("vol_id", "block", "part", "data", "level"), first))
     rho = written(_product(start, support))
     done = 0
 
@@ -403,7 +424,7 @@ def _product(a: DataFrame, b: DataFrame) -> DataFrame:
             x = np.ascontiguousarray(raw).view("<f8").reshape(len(vol), 2, -1)
             yield from _rows(vol, block, 0, x[:, 0] * x[:, 1])
 
-    return _exchange(a.select("vol_id", "block", F.lit(0).alias("part"), "data"), [b], 1).mapInArrow(run, ROWS)
+    return _map(_exchange(a.select("vol_id", "block", F.lit(0).alias("part"), "data"), [b], 1), run)
 
 
 def normal_product(slabs: DataFrame, kernel_f: np.ndarray | DataFrame, outside: np.ndarray, rlambda: float, flambda: float, n: int, thick: int) -> DataFrame:
@@ -451,13 +472,13 @@ def conjugate_gradient(apply: Callable[[DataFrame], DataFrame], d: DataFrame, n:
 
         return run
 
-    now = d.mapInArrow(state, ROWS)
+    now = _map(d, state)
     for nth in range(steps):
-        w = apply(now.mapInArrow(last(2), ROWS))
-        both = written(_exchange(now, [w], 1).mapInArrow(dots, ROWS + ", rr double, pw double, rw double, ww double"))
+        w = apply(_map(now, last(2)))
+        both = written(_map(_exchange(now, [w], 1), dots, ROWS + ", rr double, pw double, rw double, ww double"))
         total = both.groupBy("vol_id").agg(*[F.sum(c).alias(c) for c in ("rr", "pw", "rw", "ww")])
         a = F.coalesce(F.try_divide("rr", "pw"), F.lit(0.0))
         total = total.select("vol_id", a.alias("a"), F.coalesce(F.try_divide(F.col("rr") - 2 * a * F.col("rw") + a * a * F.col("ww"), F.col("rr")), F.lit(0.0)).alias("beta"))
-        now = both.drop("rr", "pw", "rw", "ww").join(total, "vol_id").select("vol_id", "block", "part", "data", "a", "beta").mapInArrow(advance, ROWS)
+        now = _map(both.drop("rr", "pw", "rw", "ww").join(total, "vol_id").select("vol_id", "block", "part", "data", "a", "beta"), advance)
         now = written(now) if nth % WRITE_EVERY else now
-    return now.mapInArrow(last(0), ROWS)
+    return _map(now, last(0))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels, merging, slabs
-from .slabs import ROWS, _groups, _rows
+from .slabs import _groups, _map, _rows
 
 #: Tasks that a slab's points are dealt to.
 SALTS = 8
@@ -36,7 +36,7 @@ def spread(points: DataFrame, n: int, thick: int) -> DataFrame:
     """
     g = kernels.GriddedNufft(n)
     if g.m <= 2 * g.SPREAD:
-        return _added(points.select(F.col("vol_id").cast("long"), *[F.col(c).cast("double") for c in ("h", "k", "l", "v")]).mapInArrow(_narrow(g, thick), ROWS))
+        return _added(_map(points.select(F.col("vol_id").cast("long"), *[F.col(c).cast("double") for c in ("h", "k", "l", "v")]), _narrow(g, thick)))
     m, near, step = g.m, g.SPREAD, 2 * math.pi / g.m
     blocks, width = m // thick, thick * m * m
     first = F.floor(F.col("h") / step).cast("long") - near + 1
@@ -72,7 +72,7 @@ def spread(points: DataFrame, n: int, thick: int) -> DataFrame:
         if key is not None:
             yield from _rows(np.array([key[0]]), np.array([key[1]]), key[2], grid[None])
 
-    return _added(rows.mapInArrow(run, ROWS))
+    return _added(_map(rows, run))
 
 
 def _narrow(g: kernels.GriddedNufft, thick: int):
@@ -128,7 +128,7 @@ def _added(parts: DataFrame) -> DataFrame:
         if key is not None:
             yield from _rows(np.array([key[0]]), np.array([key[1]]), 0, total[None])
 
-    return parts.repartition("vol_id", "block").sortWithinPartitions("vol_id", "block", "part").mapInArrow(run, ROWS)
+    return _map(parts.repartition("vol_id", "block").sortWithinPartitions("vol_id", "block", "part"), run)
 
 
 def type1(points: DataFrame, n: int, grid_thick: int, thick: int) -> DataFrame:
@@ -157,7 +157,7 @@ def type1(points: DataFrame, n: int, grid_thick: int, thick: int) -> DataFrame:
             x = np.ascontiguousarray(raw).view("<f8").reshape(len(vol), n, thick, n).transpose(0, 2, 1, 3)
             yield from _rows(vol, block, 0, x)
 
-    return slabs._exchange(pencils.mapInArrow(lines, ROWS), [], 0).mapInArrow(together, ROWS)
+    return _map(slabs._exchange(_map(pencils, lines), [], 0), together)
 
 
 def points_of(images: DataFrame, det: np.ndarray) -> DataFrame:
@@ -187,7 +187,7 @@ def normal_equations(images: DataFrame, det: np.ndarray, n: int, thick: int) ->
                 x = np.frombuffer(data, dtype="<c16")
                 yield from _rows(np.array([vol]), np.array([block]), 0, np.concatenate([x.real, x.imag])[None])
 
-    return slabs.written(rhs), slabs.written(f.mapInArrow(parts, ROWS))
+    return slabs.written(rhs), slabs.written(_map(f, parts))
 
 
 def solve(images: DataFrame, det: np.ndarray, n: int, thick: int, rlambda: float, flambda: float, steps: int, oversampling: float = 1.0) -> DataFrame:
